@@ -2,11 +2,17 @@
 
 from .ans import op1_rans_tokens
 from .chat import ORACLE_OP10, op10_prefix_targets
+from .packing import op4_pattern_packing
 from .sharding import op2_hypergeometric_shards
+from .simhash import op5_simhash_pigeonhole
+from .sketch import op3_scaled_sketch
 
 QUERIES = {
     "op1_rans_tokens": op1_rans_tokens,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
+    "op3_scaled_sketch": op3_scaled_sketch,
+    "op4_pattern_packing": op4_pattern_packing,
+    "op5_simhash_pigeonhole": op5_simhash_pigeonhole,
     "op10_prefix_targets": op10_prefix_targets,
 }
 
