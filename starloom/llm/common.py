@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MASK64 = (1 << 64) - 1
-#: Words remembered by a Python worker before its memo starts anew.
 MEMO_WORDS = 400_000
 _fallback: dict[str, str] = {}
 
@@ -52,23 +52,6 @@ def with_offsets(df: DataFrame, groups: list[str], bucket: str, order: list, out
     return placed.join(offsets, [*groups, bucket]).withColumn(out, F.col("_before") + F.col("_place")).drop("_before", "_place")
 
 
-class HashMemo(dict):
-    """word -> unsigned XXH64, remembered up to a bound."""
-
-    def __init__(self, seed: int = 0) -> None:
-        super().__init__()
-        self.seed = seed
-
-    def __missing__(self, word) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, self.seed)
-        return value
-
-    def array(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose every output bit depends on every input bit (splitmix64's last steps)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -111,3 +94,79 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """window_hashes, but a shorter, non-empty sequence is one shingle."""
     return window_hashes(h, min(k, len(h))) if len(h) else h
+
+
+def runs(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(first, count) of runs of texts of about `size` bytes together, one text at least."""
+    length = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    run = (np.cumsum(length) - length) // size
+    cuts = np.r_[0, np.flatnonzero(run[1:] != run[:-1]) + 1, len(run)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield int(a), int(b - a)
+
+
+def byte_table(spaces: bytes, lower: bool = False, digits: bool = False) -> np.ndarray:
+    """What each byte counts as in a word: 0 ends words; lower: A-Z as a-z; digits: 0-9 as 0."""
+    table = np.arange(256, dtype=np.uint8)
+    if lower:
+        table[65:91] += 32
+    if digits:
+        table[48:58] = 48
+    table[list(spaces)] = 0
+    return table
+
+
+#: ASCII white space: 0x20 and 0x09 to 0x0D. Other characters, also byte 0, are part of words.
+SPACES = b" \t\n\v\f\r"
+
+
+class Words:
+    """The words of a run of texts: where they are in `raw`, their hashes, and each text's share of them."""
+
+    def __init__(self, texts: pa.Array, table: np.ndarray, spaces: bytes = SPACES, split: int | None = None, fold: bool = False, classes: np.ndarray | None = None) -> None:
+        """table: see byte_table; split: a byte that also ends texts (lines); fold: upper-case Latin-1 letters as lower.
+
+        classes, instead of spaces: the class of each byte, 0 between words; a change of class starts a word, and a
+        point or comma between two digits (class 2) is a digit.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        if not isinstance(texts, pa.Array):
+            texts = texts.combine_chunks()
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        self.raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        self.text_bounds = bounds = bounds - bounds[0]
+        if classes is None:
+            classes = np.ones(256, np.uint8)
+            classes[list(spaces)] = 0
+        self.kind = kind = classes[self.raw]
+        inner = bounds[1:-1]
+        inner = inner[(inner > 0) & (inner < len(kind))]
+        if classes.max() > 1:
+            edge = np.zeros(len(kind) + 1, bool)
+            edge[inner] = True
+            mark = np.isin(self.raw[1:-1], np.frombuffer(b".,", np.uint8)) & (kind[:-2] == 2) & (kind[2:] == 2) & ~edge[1:-2] & ~edge[2:-1]
+            kind[1:-1][mark] = 2
+        if split is not None:
+            cut = np.flatnonzero(self.raw == split)
+            bounds = np.sort(np.r_[bounds, cut + 1], kind="stable")
+        self.bounds = bounds  # of texts, or of their lines
+        before, after = np.r_[np.uint8(0), kind[:-1]], np.r_[kind[1:], np.uint8(0)]
+        before[inner] = 0
+        after[inner - 1] = 0
+        self.start, self.end = np.flatnonzero((kind > 0) & (kind != before)), np.flatnonzero((kind > 0) & (kind != after)) + 1
+        value = table[self.raw]
+        if fold:
+            high = np.flatnonzero((self.raw[1:] >= 0x80) & (self.raw[1:] <= 0x9E) & (self.raw[1:] != 0x97) & (self.raw[:-1] == 0xC3)) + 1
+            value[high] += 0x20
+        sums = np.zeros(len(self.raw) + 1, np.uint64)
+        np.cumsum((value.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(self.raw)), out=sums[1:])
+        self.hash = mix((sums[self.end] - sums[self.start]) * powers(INVERSE, len(self.raw) + 1)[self.start])
+        #: text (or line) i has words offsets[i] : offsets[i + 1]
+        self.offsets = np.searchsorted(self.start, bounds)
+
+
+def bytes_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """values[offsets[i] : offsets[i + 1]] as a binary array, without a copy of each."""
+    width = values.dtype.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * width).astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())

@@ -8,16 +8,14 @@ texts of the same shape are not.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashMemo, materialise, mix, window_hashes
+from .common import Words, byte_table, materialise, mix, runs, window_hashes
 
 #: Template tokens of a window; the share of them that must be words; the share of an item's windows that must match.
 WINDOW, LITERALS, COVERAGE = 8, 0.5, 0.5
@@ -25,92 +23,106 @@ WINDOW, LITERALS, COVERAGE = 8, 0.5, 0.5
 PROBE_WINDOWS = 2_000_000
 #: Words that are units when they follow a number.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hour hours day days week weeks month months year years minute minutes second seconds percent % $ € £ ¢ °c °f c f k j kj cal kcal w kw mw v a hz khz mhz ghz b kb mb gb tb usd eur gbp dollar dollars euro euros pound pounds cent cents mile miles meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres foot feet inch inches".split())
-TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[%$€£¢]|[.!?\n]")
-WORD, NUMBER, NAME, UNIT, STOP = 0, 1, 2, 3, 4
-PLACEHOLDER = np.array([xxhash.xxh64_intdigest(x) for x in ("word", "<number>", "<name>", "<unit>", "stop")], np.uint64)
-
-
-class Kinds(dict):
-    """token -> kind; capitalised words are NAME and unit words UNIT until their neighbours say otherwise."""
-
-    def __missing__(self, token: str) -> int:
-        if token in ".!?\n":
-            kind = STOP
-        elif token[0].isdigit():
-            kind = NUMBER
-        elif token.lower() in UNITS:
-            kind = UNIT
-        else:
-            kind = NAME if token[0].isupper() and not token.isupper() else WORD
-        if len(self) > 400_000:
-            self.clear()
-        self[token] = kind
-        return kind
-
-
-def canonical(text: str | None, memo: HashMemo, kinds: Kinds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template hashes, kinds, value hashes) of a text's template tokens. Null and empty texts have none."""
-    tokens = TOKEN.findall(text or "")
-    kind = np.fromiter(map(kinds.__getitem__, tokens), np.int8, len(tokens))
-    value = memo.array([x.lower() for x in tokens])
-    before = np.r_[np.int8(STOP), kind[:-1]] if len(kind) else kind
-    kind = np.where((kind == NAME) & (before == STOP) | (kind == UNIT) & (before != NUMBER), WORD, kind)
-    keep = kind != STOP
-    kind, value = kind[keep], value[keep]
-    # a name of several words is one placeholder, with the value of all its words
-    joined = (kind == NAME) & (np.r_[np.int8(STOP), kind[:-1]] == NAME) if len(kind) else kind.astype(bool)
-    if joined.any():
-        place = np.flatnonzero(~joined)
-        value = np.add.reduceat(value * np.uint64(3), place)
-        kind = kind[place]
+WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
+#: Classes of bytes: letters and all beyond ASCII 1, digits 2, signs that are units 3; the rest ends words.
+CLASSES = np.zeros(256, np.uint8)
+CLASSES[[b for b in range(256) if b > 127 or chr(b).isalpha()]] = 1
+CLASSES[48:58] = 2
+CLASSES[list(b"%$")] = 3
+LOWER = byte_table(bytes(b for b in range(256) if not CLASSES[b]), lower=True)
+LOWER[list(b".,")] = list(b".,")
+UNIT_HASHES = np.sort(Words(pa.array(sorted(UNITS)), LOWER, fold=True, classes=CLASSES).hash)
+PLACEHOLDER = mix(np.arange(4, dtype=np.uint64) + np.uint64(77))
+
+
+def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template hashes, kinds, value hashes, offsets) of the template tokens of a run of texts.
+
+    A name is a capitalised word, not all capitals, that doesn't begin a sentence; several in a row are one
+    placeholder with the value of all. Null and empty texts have no tokens.
+    """
+    words = Words(texts, LOWER, fold=True, classes=CLASSES)
+    raw, start, end = words.raw, words.start, words.end
+    if not len(start):
+        return np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    stops = np.r_[0, np.cumsum(np.isin(raw, np.frombuffer(b".!?\n", np.uint8)) & (words.kind == 0))]
+    opens = np.r_[True, stops[start[1:]] > stops[end[:-1]]]
+    opens[words.offsets[:-1][words.offsets[:-1] < len(start)]] = True  # each text's first word
+    first, second = raw[start], raw[np.minimum(start + 1, len(raw) - 1)]
+    upper = lambda x: (x >= 65) & (x <= 90)
+    capital = upper(first) & ~((end - start > 1) & upper(second)) | (first == 0xC3) & (second >= 0x80) & (second <= 0x9E)
+    what = words.kind[start]
+    after_number = np.r_[False, what[:-1] == 2] & ~opens
+    kind = np.where(what == 2, NUMBER, np.where((what == 3) | after_number & np.isin(words.hash, UNIT_HASHES), UNIT, np.where(capital & ~opens & (what == 1), NAME, WORD))).astype(np.int8)
+    keep = np.flatnonzero(~((kind == NAME) & np.r_[False, kind[:-1] == NAME]))
+    value = np.add.reduceat(words.hash * np.uint64(3), keep)
+    kind = kind[keep]
+    return np.where(kind == WORD, value, PLACEHOLDER[kind]), kind, value, np.searchsorted(keep, words.offsets)
+
+
+def windows(texts: pa.Array, size: int, literals: float) -> tuple[np.ndarray, ...]:
+    """(text, place, template hash, exact hash, first token, kinds, values) of the windows of a run of texts.
+
+    Template hash 0: too few of its tokens are words. A text of fewer tokens than a window is one window.
+    """
+    template, kind, value, offsets = canonical(texts)
+    length = np.diff(offsets)
+    count = np.where(length >= size, length - size + 1, 0)
+    text = np.repeat(np.arange(len(length)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = offsets[text] + place
+    enough = np.r_[0, np.cumsum(kind == WORD)]
+    if len(at):
+        hashes = np.where(enough[at + size] - enough[at] >= literals * size, window_hashes(template, size)[at], np.uint64(0))
+        exact = mix(window_hashes(value, size)[at] + np.uint64(size))
     else:
-        value = value * np.uint64(3)
-    return np.where(kind == WORD, value, PLACEHOLDER[kind]), kind, value
+        hashes = exact = np.empty(0, np.uint64)
+    for i in np.flatnonzero((length > 0) & (length < size)).tolist():
+        a, k = int(offsets[i]), int(length[i])
+        words = enough[a + k] - enough[a] >= literals * size
+        text, place, at = np.r_[text, i], np.r_[place, 0], np.r_[at, a]
+        hashes = np.r_[hashes, window_hashes(template[a : a + k], k) if words else np.zeros(1, np.uint64)]
+        exact = np.r_[exact, mix(window_hashes(value[a : a + k], k) + np.uint64(k))]
+    return text, place, hashes, exact, at, kind, value
 
 
-def windows(text: str | None, memo: HashMemo, kinds: Kinds, size: int = WINDOW, literals: float = LITERALS) -> tuple[np.ndarray, ...]:
-    """(place, template hash, exact hash, kinds, values) of a text's windows; template hash 0: too few words in it.
+class Probe:
+    """Which of many hashes are among a table's: a table of bits first, then a search."""
 
-    A text of fewer tokens than a window is one window.
-    """
-    template, kind, value = canonical(text, memo, kinds)
-    k = min(size, len(template))
-    if not k:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), kind, value
-    words = np.convolve(kind == WORD, np.ones(k, np.int64), "valid")
-    hashes = np.where(words >= literals * size, window_hashes(template, k), np.uint64(0))
-    return np.arange(len(hashes)), hashes, mix(window_hashes(value, k) + np.uint64(k)), kind, value
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.sort(hashes)
+        self.mask = np.uint64((1 << max(16, (16 * len(hashes)).bit_length())) - 1)
+        self.bits = np.zeros(int(self.mask) + 1, bool)
+        self.bits[(hashes & self.mask).astype(np.int64)] = True
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        maybe = np.flatnonzero(self.bits[(hashes & self.mask).astype(np.int64)])
+        found = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
+        return maybe[self.hashes[found] == hashes[maybe]]
 
 
 SCHEMA = "key long, exact boolean, id long, place int, slots array<struct<kind: tinyint, value: long>>"
 
 
-def _rows(ids: list, texts: list, memo: HashMemo, kinds: Kinds, size: int, literals: float, probe: np.ndarray | None) -> pa.RecordBatch:
-    keys, exact, owner, places, slots = [], [], [], [], []
-    for key, text in zip(ids, texts):
-        place, template, whole, kind, value = windows(text, memo, kinds, size, literals)
-        for hashes, is_exact in ((template, False), (whole, True)):
-            found = np.flatnonzero(hashes) if probe is None else np.flatnonzero((hashes != 0) & (probe[np.minimum(np.searchsorted(probe, hashes), len(probe) - 1)] == hashes))
-            for i in found.tolist():
-                keys.append(int(hashes[i].view(np.int64)))
-                exact.append(is_exact)
-                owner.append(key)
-                places.append(int(place[i]))
-                span = slice(i, i + min(size, len(kind)))
-                slots.append([] if is_exact else [{"kind": int(a), "value": int(b)} for a, b in zip(kind[span], value[span].view(np.int64)) if a != WORD])
-    types = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.struct([("kind", pa.int8()), ("value", pa.int64())])))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, exact, owner, places, slots), types)], ["key", "exact", "id", "place", "slots"])
+def _rows(ids: pa.Array, texts: pa.Array, size: int, literals: float, probe: Probe | None) -> Iterator[pa.RecordBatch]:
+    text, place, template, whole, at, kind, value = windows(texts, size, literals)
+    for hashes, is_exact in ((template, False), (whole, True)):
+        found = np.flatnonzero(hashes) if probe is None else probe.places(hashes)
+        found = found[hashes[found] != 0]
+        if not len(found):
+            continue
+        slots = [[] if is_exact else [{"kind": int(a), "value": int(b)} for a, b in zip(kind[i : i + size], value[i : i + size].view(np.int64)) if a != WORD] for i in at[found].tolist()]
+        columns = [pa.array(hashes[found].view(np.int64)), pa.array(np.full(len(found), is_exact)), ids.take(pa.array(text[found])), pa.array(place[found].astype(np.int32)), pa.array(slots, pa.list_(pa.struct([("kind", pa.int8()), ("value", pa.int64())])))]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "exact", "id", "place", "slots"])
 
 
-def template_windows(texts: DataFrame, size: int, literals: float, probe: np.ndarray | None = None) -> DataFrame:
-    """texts (id long, text) to their windows, those whose hash is in `probe` (ascending) if it is given."""
+def template_windows(texts: DataFrame, size: int, literals: float, probe: Probe | None = None) -> DataFrame:
+    """texts (id long, text) to their windows, those whose hash is among the probe's if one is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, kinds = HashMemo(2), Kinds()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                yield _rows(some.column(0).to_pylist(), some.column(1).to_pylist(), memo, kinds, size, literals, probe)
+            for at, n in runs(batch.column(1)):
+                yield from _rows(batch.column(0).slice(at, n), batch.column(1).slice(at, n), size, literals, probe)
 
     return texts.mapInArrow(run, SCHEMA)
 
@@ -128,7 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lite
     n = items.count()
     probe = None
     if 0 < n <= probe_windows:
-        probe = np.unique(np.array([r["key"] for r in items.select("key").distinct().collect()], np.int64).view(np.uint64))
+        probe = Probe(np.array([r["key"] for r in items.select("key").distinct().collect()], np.int64).view(np.uint64))
     found = template_windows(docs.select(F.col("doc").cast("long"), "text").where("doc IS NOT NULL"), size, literals, probe)
     mine = items.select("key", "exact", F.col("id").alias("item"), F.col("place").alias("at"), F.col("slots").alias("own"))
     hits = materialise(found.withColumnRenamed("id", "doc").join(mine, ["key", "exact"]), "hits")

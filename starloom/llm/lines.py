@@ -8,7 +8,6 @@ chains; the first occurrence of a group, by (doc_id, row, line), stays and the o
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,41 +16,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashMemo, materialise, mix
+from .common import BASE, Words, byte_table, bytes_array, materialise, mix, runs
 from .graph import components
-from .simhash import local_labels, majority, near_pairs, whole_groups
+from .simhash import local_labels, near_pairs, whole_groups
 
 RADIUS, SIMILARITY, MIN_WORDS = 3, 0.8, 5
 #: Lines of a bucket that are compared in one task; larger buckets are compared tile by tile.
 BUCKET = 512
-WORDS = re.compile(r"[^\W\d_]+|\d+")
-DIGITS = re.compile(r"\d")
+#: Bytes that end words: ASCII but for letters and digits.
+MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
+NORMAL = byte_table(MARKS, lower=True, digits=True)
 
 
-class LineMemo(HashMemo):
-    """HashMemo of a word with its digits as 0."""
+def line_features(texts: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
+    """(text, line, hash, SimHash, words' codes, their offsets) of all lines of min_words words or more.
 
-    def __missing__(self, word: str) -> int:
-        if word.isalpha():
-            return super().__missing__(word)
-        value = self[DIGITS.sub("0", word)] if not set(word) <= {"0"} else super().__missing__(word)
-        self[word] = value
-        return value
-
-
-def line_words(line: str, memo: HashMemo) -> np.ndarray:
-    """The hashes of a line's normalised words."""
-    return memo.array(WORDS.findall(line.lower()))
-
-
-def line_hash(h: np.ndarray) -> int:
-    """One 64-bit value for a normalised line; lines with the same value count as equal."""
-    place = np.arange(1, len(h) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return int(mix(np.array([np.bitwise_xor.reduce(mix(h ^ mix(place))) + np.uint64(len(h))], np.uint64))[0]) if len(h) else 0
-
-
-def line_simhash(h: np.ndarray) -> int:
-    return majority(np.concatenate([h, mix(h[:-1] * np.uint64(3) + h[1:])]))
+    Words are runs of letters, digits and non-ASCII characters; A-Z and Latin-1 letters are lowered and digits are 0.
+    A line's hash stands for its word sequence: lines with the same 64 bits count as equal.
+    """
+    words = Words(texts, NORMAL, MARKS, split=10, fold=True)
+    count = np.diff(words.offsets)
+    line = np.flatnonzero(count >= min_words)
+    text = np.searchsorted(words.text_bounds, words.bounds[line], side="right") - 1
+    first, n = words.offsets[line], count[line]
+    ends = np.cumsum(n)
+    place = np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n, n)
+    h = words.hash[np.repeat(first, n) + place]
+    if not len(h):
+        return text, line, np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint8), np.zeros(1, np.int64)
+    cuts = ends - n
+    ordered = mix(h ^ mix((place.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)))
+    whole = mix(np.bitwise_xor.reduceat(ordered, cuts) + n.astype(np.uint64))
+    pairs = mix(h * np.uint64(3) + np.r_[h[1:], np.uint64(0)])
+    ones = bit_sums(h, cuts) + bit_sums(pairs, cuts) - bits_of(pairs[ends - 1])
+    simhash = np.packbits(2 * ones > (2 * n - 1)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    number = line - np.searchsorted(words.bounds, words.text_bounds[text], side="left")
+    return text, number, whole, simhash, (h >> np.uint64(24)).astype(np.uint8), np.r_[0, ends]
+
+
+def bits_of(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").astype(np.int32)
+
+
+def bit_sums(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many hashes of each segment, from its cut to the next, have each bit."""
+    bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little")
+    return np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
 
 
 def edit_similarity(a: bytes, b: bytes) -> float:
@@ -83,19 +93,12 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     """docs (_row, doc_id, text) to their lines of min_words words or more: _row, doc_id, line, h, fp, codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = LineMemo(3)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = []
-                for row, doc, text in zip(*(batch.column(i).slice(at, 200).to_pylist() for i in range(3))):
-                    for i, line in enumerate((text or "").split("\n")):
-                        h = line_words(line, memo)
-                        if len(h) >= min_words:
-                            codes = (h >> np.uint64(24)).astype(np.uint8).tobytes()
-                            rows.append((row, doc, i, line_hash(h), line_simhash(h), codes))
-                columns = list(zip(*rows)) or [()] * 6
-                signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[3:5]]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), *signed, pa.array(columns[5], pa.binary())], ["_row", "doc_id", "line", "h", "fp", "codes"])
+            for at, n in runs(batch.column(2)):
+                some = batch.slice(at, n)
+                text, line, h, fp, codes, offsets = line_features(some.column(2), min_words)
+                place = pa.array(text)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(place), some.column(1).take(place), pa.array(line.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(fp.view(np.int64)), bytes_array(codes, offsets)], ["_row", "doc_id", "line", "h", "fp", "codes"])
 
     return docs.select("_row", "doc_id", "text").mapInArrow(run, "_row long, doc_id long, line int, h long, fp long, codes binary")
 

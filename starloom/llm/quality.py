@@ -16,42 +16,48 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashMemo
+from .common import SPACES, Words, byte_table, runs
 
 #: Hash buckets of words, rank of the interactions, quantile bins of a statistic.
 BUCKETS, RANK, BINS = 1 << 12, 8, 8
 #: Labelled rows that the fit takes at most: those with the least hash of their doc_id.
 SAMPLE_ROWS = 20_000
 STATISTICS = ["log_words", "log_chars", "word_length", "word_spread", "upper", "digits", "symbols", "points", "spaces", "distinct", "top_word", "log_lines", "line_words", "line_repeats", "line_ends", "pipes", "exclaims", "pair_repeats", "capital_words", "non_ascii", "longest_word"]
-_POINT = np.zeros(128, np.int8)
-for _i, _set in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#$%&*+/<=>@\\^_`{}~|", ".,;:!?'\"()-", " \t\n\r"), 1):
-    _POINT[[ord(c) for c in _set]] = _i
-
-
-def statistics(text: str, words: list[str], h: np.ndarray) -> list[float]:
-    """The structure statistics of a text, in the order of STATISTICS."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    kinds = np.bincount(_POINT[raw[raw < 128]], minlength=6) / max(1, len(raw))
-    n = max(1, len(words))
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1)
+CLASSES = np.zeros(256, np.uint8)
+for _i, _set in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*+/<=>@\\^_`{}~|", b".,;:!?'\"()-", b" \t\n\r"), 1):
+    CLASSES[list(_set)] = _i
+CLASSES[128:] = 6
+LOWER = byte_table(SPACES, lower=True)
+
+
+def statistics(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, text: str) -> list[float]:
+    """The structure statistics of a text, in the order of STATISTICS: from its bytes and its words' places there."""
+    kinds = np.bincount(CLASSES[raw], minlength=7) / max(1, len(raw))
+    words, n = len(h), max(1, len(h))
+    lengths = ends - starts if words else np.zeros(1)
     lines = [x for x in text.split("\n") if x.strip()]
-    counts = np.unique(h, return_counts=True)[1] if len(h) else np.ones(1)
+    counts = np.unique(h, return_counts=True)[1] if words else np.ones(1)
     pairs = h[:-1] * np.uint64(3) + h[1:]
     return [
-        np.log1p(len(words)), np.log1p(len(text)), lengths.mean(), lengths.std(), *kinds[1:6], len(counts) / n, counts.max() / n,
+        np.log1p(words), np.log1p(len(text)), lengths.mean(), lengths.std(), *kinds[1:6], len(counts) / n, counts.max() / n,
         np.log1p(len(lines)), n / max(1, len(lines)), 1 - len(set(lines)) / max(1, len(lines)), sum(x.rstrip()[-1] in ".!?" for x in lines) / max(1, len(lines)),
-        text.count("|") / n, text.count("!") / n, 1 - len(np.unique(pairs)) / max(1, len(pairs)), sum(x[0].isupper() for x in words) / n,
-        float((raw >= 128).mean()) if len(raw) else 0.0, np.log1p(lengths.max()),
+        text.count("|") / n, text.count("!") / n, 1 - len(np.unique(pairs)) / max(1, len(pairs)), float((CLASSES[raw[starts]] == 1).sum()) / n,
+        kinds[6], np.log1p(lengths.max()),
     ]
 
 
-def features(text: str | None, memo: HashMemo) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """(bucket, value) of the hashed words, values with length 1, and the statistics. Null is an empty text."""
-    words = (text or "").split()
-    h = memo.array([w.lower() for w in words])
-    bucket, count = np.unique((h >> np.uint64(20)).astype(np.int64) % BUCKETS, return_counts=True)
-    value = np.log1p(count)
-    return bucket, value / max(1e-9, float(np.sqrt((value**2).sum()))), statistics(text or "", words, h)
+def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[float]]]:
+    """Of each text, (bucket, value) of the hashed words, values with length 1, and the statistics. Null is empty."""
+    for at, n in runs(texts):
+        some = texts.slice(at, n)
+        words = Words(some, LOWER)
+        for i, text in enumerate(some.to_pylist()):
+            part = slice(words.offsets[i], words.offsets[i + 1])
+            first, last = words.text_bounds[i], words.text_bounds[i + 1]
+            h = words.hash[part]
+            bucket, count = np.unique((h >> np.uint64(20)).astype(np.int64) % BUCKETS, return_counts=True)
+            value = np.log1p(count)
+            yield bucket, value / max(1e-9, float(np.sqrt((value**2).sum()))), statistics(words.raw[first:last], words.start[part] - first, words.end[part] - first, h, text or "")
 
 
 @dataclass
@@ -140,11 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, metadata: list[str] | None = None,
     picked = docs.select(F.col("doc_id").alias("_id"), "text", *(F.col(c).cast("double").alias(f"_m{i}") for i, c in enumerate(meta))).join(F.broadcast(chosen), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = HashMemo(4)
         for batch in batches:
             out = []
-            for _, text, *more, label in zip(*(c.to_pylist() for c in batch.columns)):
-                bucket, value, dense = features(text, memo)
+            others = zip(*(c.to_pylist() for c in batch.columns[2:]))
+            for (*more, label), (bucket, value, dense) in zip(others, features(batch.column(1))):
                 out.append((bucket.astype(np.int32).tolist(), value.astype(np.float32).tolist(), [*dense, *(np.nan if m is None else m for m in more)], label))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, (pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.float64()), pa.float64()))], ["bucket", "value", "dense", "label"])
 
@@ -164,14 +169,12 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine, metadata: list
     given = base.withColumns({f"_m{i}": F.col(c).cast("double") for i, c in enumerate(meta)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = HashMemo(4)
         for batch in batches:
             names = batch.schema.names
             stay = [i for i, c in enumerate(names) if c not in {f"_m{j}" for j in range(len(meta))}]
             more = [batch.column(names.index(f"_m{j}")).to_pylist() for j in range(len(meta))]
             scores = []
-            for i, text in enumerate(batch.column(names.index("text"))):
-                bucket, value, dense = features(text.as_py(), memo)
+            for i, (bucket, value, dense) in enumerate(features(batch.column(names.index("text")))):
                 scores.append(machine.score(bucket, value, np.array([*dense, *(np.nan if m[i] is None else m[i] for m in more)])))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), pa.array(scores, pa.float64())], [*(names[i] for i in stay), "score"])
 

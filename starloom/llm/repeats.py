@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, INVERSE, HashMemo, materialise, mix, powers, window_hashes
+from .common import BASE, INVERSE, SPACES, Words, byte_table, materialise, mix, powers, runs, window_hashes
 
 WINDOW, ANCHOR = 35, 8
+PLAIN = byte_table(SPACES)
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -60,15 +61,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     start elsewhere. docs is read twice and must give the same rows each time."""
 
     def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = HashMemo(1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows, parts = batch.column(0)[at : at + 200].to_numpy(), []
-                for row, text in zip(rows, batch.column(1)[at : at + 200]):
-                    found = phrases(memo.array(word_list(text.as_py())), window, anchor)
+            for at, n in runs(batch.column(1)):
+                rows, parts = batch.column(0)[at : at + n].to_numpy(), []
+                words = Words(batch.column(1).slice(at, n), PLAIN)
+                for row, a, b in zip(rows, words.offsets, words.offsets[1:]):
+                    found = phrases(words.hash[a:b], window, anchor)
                     parts.append((*found, np.full(len(found[0]), row, np.int64)))
-                a, p, first, n, row = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(p), pa.array(row), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "phrase", "_row", "first", "n"])
+                a, p, first, count, row = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(p), pa.array(row), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["anchor", "phrase", "_row", "first", "n"])
 
     index = materialise(docs.select("_row", "text").mapInArrow(factor, "anchor long, phrase long, _row long, first int, n int"), "phrases")
     again = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("anchor")
@@ -82,10 +83,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     by_doc = border.groupBy("_row").agg(F.collect_list(F.struct("anchor", "once", "first", "n")).alias("phrases"))
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = HashMemo(1)
         for batch in batches:
-            for row, text, found in zip(*(batch.column(i) for i in range(3))):
-                h = memo.array(word_list(text.as_py()))
+            for i, (row, found) in enumerate(zip(batch.column(0), batch.column(2))):
+                h = Words(batch.column(1).slice(i, 1), PLAIN).hash
                 items = found.as_py()
                 n = np.array([x["n"] for x in items])
                 first = np.repeat([x["first"] for x in items], n)

@@ -8,6 +8,7 @@ sketch: base64 of the ascending, distinct 64-bit hashes, little-endian.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,19 +17,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashMemo, shingle_hashes, width
+from .common import SPACES, Words, byte_table, runs, shingle_hashes, width, window_hashes
 
 WORDS = 5
 FRACTION = 1 / 8
 
 
-def sketch(text: str | None, memo: HashMemo, fraction: float = FRACTION, words: int = WORDS) -> np.ndarray:
-    """The distinct hashes of a text's word shingles below the threshold, ascending.
+LOWER = byte_table(SPACES, lower=True)
 
-    Null and empty texts, and texts of white space, have no shingle; fewer words than a shingle are one shingle.
+
+def sketches(texts: pa.Array, fraction: float = FRACTION, words: int = WORDS) -> list[np.ndarray]:
+    """For each text, the distinct hashes of its word shingles below the threshold, ascending.
+
+    A-Z count as a-z; words end at ASCII white space. Null and empty texts, and texts of white space, have no shingle;
+    fewer words than a shingle are one shingle.
     """
-    h = shingle_hashes(memo.array((text or "").lower().split()), words)
-    return np.unique(h[h < np.uint64(int(fraction * 2**64))])
+    out, top = [], np.uint64(int(fraction * 2**64) - 1)
+    for at, n in runs(texts):
+        found = Words(texts.slice(at, n), LOWER)
+        every = window_hashes(found.hash, words)
+        for a, b in zip(found.offsets.tolist(), found.offsets[1:].tolist()):
+            h = every[a : b - words + 1] if b - a >= words else shingle_hashes(found.hash[a:b], words)
+            out.append(np.unique(h[h <= top]))
+    return out
 
 
 def pack(hashes: np.ndarray) -> str:
@@ -104,26 +115,18 @@ def edited_fingerprints(docs: DataFrame, fraction: float = FRACTION, words: int
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        memo, held, rows = HashMemo(), None, []
+        held = None  # the last row of what came before, with its sketch; a guest ends its range
         for batch in batches:
-            for doc, text, where, guest in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                done = held is not None and held[2] == where and held[3]
-                if held is not None and held[2] == where and not done:
-                    mine = held[4]
-                    other = sketch(text, memo, fraction, words)
-                    changed = edit(held[1], text)
-                    after = sketch(changed, memo, fraction, words)
-                    rows.append((held[0], len(held[1]), hashlib.sha256(changed.encode()).hexdigest(), pack(mine), pack(after), likeness(mine, after), likeness(mine, other)))
-                    held = (doc, text, where, guest, other)
-                elif not done:
-                    held = (doc, text, where, guest, sketch(text, memo, fraction, words))
-                if len(rows) >= 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            for at, n in runs(batch.column(1)):
+                some = batch.slice(at, n)
+                rows = [*([held] if held else []), *zip(*(c.to_pylist() for c in some.columns), sketches(some.column(1), fraction, words))]
+                held = rows[-1]
+                pairs = [(x, y) for x, y in zip(rows, rows[1:]) if x[2] == y[2] and not x[3]]
+                changed = [edit(x[1], y[1]) for x, y in pairs]
+                after = sketches(pa.array(changed, pa.large_string()), fraction, words)
+                out = [(x[0], len(x[1]), hashlib.sha256(c.encode()).hexdigest(), pack(x[4]), pack(z), likeness(x[4], z), likeness(x[4], y[4])) for (x, y), c, z in zip(pairs, changed, after)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     return dealt.select("doc_id", "text", "_range", "_guest").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
