@@ -85,7 +85,7 @@ def decode_blocks(coded: list[tuple[int, bytes, bytes, bytes]], freq: np.ndarray
     x = np.frombuffer(b"".join(s for _, s, _, _ in coded), np.uint64).reshape(-1, LANES).copy()
     counts = [len(p) // 4 for _, _, p, _ in coded]
     at = np.frombuffer(b"".join(p for _, _, p, _ in coded), np.uint32).astype(np.int64) + np.repeat(base, counts)
-    symbol = np.repeat(np.arange(len(freq)), freq)
+    symbol = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.uint32), freq)
     start, f = (np.cumsum(freq) - freq).astype(np.uint64), freq.astype(np.uint64)
     out = np.zeros((len(x), STRIDE, LANES), np.uint32)
     longest = max([0, *(n for n, *_ in coded)])
@@ -115,26 +115,27 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_tokens: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         part, block, start, held = TaskContext.get().partitionId(), 0, 0, 0
-        size, end = np.dtype(encode.code).itemsize, encode.pack([end_id])
-        ids: list[bytes] = []
+        end = np.array([end_id], encode.code)
+        ids: list[np.ndarray] = []
+        lengths: list[int] = []
         docs: list[int | None] = []
 
         def row() -> pa.RecordBatch:
-            lengths = [len(x) // size for x in ids]
-            columns = [[part], [block], [start], [docs], [lengths], [b"".join(ids)]]
+            columns = [[part], [block], [start], [docs], [lengths], [np.concatenate(ids).tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], ["part", "block", "start", "doc_ids", "doc_tokens", "ids"])
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for at in range(0, len(keys), 256):
-                for key, packed in zip(keys[at : at + 256], encode(batch.column(1)[at : at + 256].to_pylist())):
-                    ids.append(packed + end)
-                    docs.append(key)
-                    held += len(ids[-1]) // size
+            for at, flat, offsets in encode.batches(batch.column(1)):
+                for i, (a, b) in enumerate(zip(offsets, offsets[1:])):
+                    ids += (flat[a:b], end)
+                    docs.append(keys[at + i])
+                    lengths.append(int(b - a) + 1)
+                    held += lengths[-1]
                     if held >= block_tokens:
                         yield row()
-                        block, start, held, ids, docs = block + 1, start + held, 0, [], []
-        if ids:
+                        block, start, held, ids, lengths, docs = block + 1, start + held, 0, [], [], []
+        if docs:
             yield row()
 
     return materialise(ordered.mapInArrow(run, IDS), "ids")

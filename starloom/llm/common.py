@@ -12,7 +12,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MEMO_WORDS = 400_000
 _fallback: dict[str, str] = {}
 
 

@@ -169,14 +169,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = S
         encode = encoder(tokenizer)
         names = ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some, rows = batch.slice(at, 256), []
-                for row, doc, packed in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), encode(some.column(2).to_pylist())):
-                    raw = np.frombuffer(packed + encode.pack([end_id]), encode.code).astype("<u4").tobytes()
-                    for a in range(0, len(raw), 4 * sequence):
-                        ids = raw[a : a + 4 * sequence]
-                        rows.append((row, doc, a // 4, len(ids) // 4, zlib.crc32(ids), len(raw) // 4, ids if keep_ids else None))
+            keys, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at, flat, offsets in encode.batches(batch.column(2)):
+                rows, all_ids = [], flat.astype("<u4").tobytes()
+                for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+                    raw = all_ids[4 * a : 4 * b] + end
+                    for c in range(0, len(raw), 4 * sequence):
+                        ids = raw[c : c + 4 * sequence]
+                        rows.append((keys[at + i], docs[at + i], c // 4, len(ids) // 4, zlib.crc32(ids), len(raw) // 4, ids if keep_ids else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")

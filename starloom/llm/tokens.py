@@ -4,16 +4,53 @@ from __future__ import annotations
 
 import array
 import json
-
-from .common import MEMO_WORDS
+import os
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import runs
+
+#: Chunks that a Python worker remembers (about 200 bytes each) before it starts anew.
+MEMO_CHUNKS = 800_000
+#: Normalizers that leave a Latin letter a letter, at most lower-cased: after them a word is one piece.
+PLAIN = {"NFC", "Replace", "Lowercase"}
+
+
+class ChunkMemo(dict):
+    """chunk -> packed ids. A chunk is what stands between spaces and line ends."""
+
+    def __init__(self, tokenizer, code: str, by_word: bool) -> None:
+        super().__init__()
+        self.tokenizer, self.code, self.by_word = tokenizer, code, by_word
+        self.piece_ids = tokenizer.model.tokenize
+        # the ByteLevel alphabet: printable bytes stand for themselves, the others for the characters from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.bytes = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= MEMO_CHUNKS:
+            self.clear()
+        if self.by_word and chunk[-1:] in (",", ".") and chunk[-2:-1].isalpha() and chunk[-2] < "Ā":
+            ids = self[chunk[:-1]] + self[chunk[-1]]  # a mark after a letter is a piece of its own
+        elif self.by_word and chunk.isalpha() and max(chunk) < "Ā":
+            raw = chunk.lower()
+            raw = raw if raw.isascii() else raw.encode().decode("latin-1").translate(self.bytes)
+            ids = array.array(self.code, [x.id for x in self.piece_ids(raw)]).tobytes()
+        else:
+            ids = array.array(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = ids
+        return ids
 
 
 class ChunkEncoder:
-    """Encodes a text chunk by chunk and remembers the chunks.
+    """Encodes texts, chunk by chunk where the tokenizer's file allows that.
 
-    The vocabularies this takes split texts at white space and drop it, so the ids of a text are those of its pieces
-    between spaces and line ends, one after another. That is checked for the file given: it needs a Split
-    pre-tokenizer that drops what it doesn't match. Other files, and texts with a control string, are encoded whole.
+    A Split pre-tokenizer that drops what it doesn't match, white space among it, makes a text's ids those of its
+    chunks, one after another. Under plain normalizers a word of Latin letters is one piece and goes straight to the
+    library's model. Other files, and texts with a control string, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -23,38 +60,46 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.size = max(self.tokenizer.get_vocab_size(True), 1)
-        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        first = steps[0] if steps else {}
-        self.by_chunk = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
+        split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) or [{}]
+        pattern = (split.get("pattern") or {}).get("Regex", "")
+        self.by_chunk = split.get("type") == "Split" and split.get("behavior") == "Removed" and bool(split.get("invert")) and r"[^\s\p{L}\p{N}]+" in pattern
+        normal = spec.get("normalizer") or {}
+        byte_level = [x["type"] for x in rest] == ["ByteLevel"] and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
+        by_word = self.by_chunk and byte_level and r"[\p{L}]+" in pattern and spec["model"]["type"] == "BPE" and {x["type"] for x in normal.get("normalizers", [normal])} == PLAIN
         self.control = [x["content"] for x in spec.get("added_tokens", [])]
         self.code = "H" if self.size <= 1 << 16 else "I"
-        self.memo: dict[str, bytes] = {}
-
-    def pack(self, ids) -> bytes:
-        return array.array(self.code, ids).tobytes()
-
-    def learn(self, chunks: set[str]) -> None:
-        """Remember chunks. A comma or full stop after a Latin letter is a piece of its own: only what precedes it is encoded."""
-        split = {x: x[:-1] for x in chunks if x[-1:] in (",", ".") and x[-2:-1].isalpha() and x[-2] < "\u0100"}
-        new = [x for x in {*(chunks - split.keys()), *split.values(), ",", "."} if x not in self.memo]
-        for chunk, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.memo[chunk] = self.pack(x.ids)
-        for chunk, stem in split.items():
-            self.memo[chunk] = self.memo[stem] + self.memo[chunk[-1]]
-
-    def whole(self, text: str) -> bytes:
-        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, packed in 2 bytes each (4 where the vocabulary needs them)."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo = self.memo
-        by_chunk = [self.by_chunk and not any(c in (x or "") for c in self.control) for x in texts]
-        split = [(x or "").replace("\n", " ").split(" ") if cut else [] for x, cut in zip(texts, by_chunk)]
-        if new := {x for chunks in split for x in chunks if x not in memo}:
-            self.learn(new)
-        return [b"".join([memo[x] for x in chunks]) if cut else self.whole(x) for x, chunks, cut in zip(texts, split, by_chunk)]
+        self.memo = ChunkMemo(self.tokenizer, self.code, by_word)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.code)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): text i has ids[offsets[i] : offsets[i + 1]]; null texts have none.
+
+        Distinct chunks are found by Arrow; only they are looked up.
+        """
+        apart = [i for i, x in enumerate(texts) if x.is_valid and any(c in x.as_py() for c in self.control)] if any(pc.any(pc.match_substring(texts, c)).as_py() for c in self.control) else []
+        if not self.by_chunk or apart:
+            rows = [self.whole(x) if x and (not self.by_chunk or i in set(apart)) else self(texts.slice(i, 1))[0] if x else np.empty(0, self.code) for i, x in enumerate(texts.to_pylist())]
+            return np.concatenate([np.empty(0, self.code), *rows]), np.cumsum([0, *map(len, rows)])
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        bounds = np.asarray(lists.offsets).astype(np.int64)
+        bounds -= bounds[0]
+        found = list(map(self.memo.__getitem__, coded.dictionary.to_pylist()))
+        size = np.dtype(self.code).itemsize
+        length = np.fromiter(map(len, found), np.int64, len(found)) // size
+        flat, first = np.frombuffer(b"".join(found), self.code), np.cumsum(length) - length
+        index = np.asarray(coded.indices)
+        each = length[index]
+        upto = np.r_[0, np.cumsum(each)]
+        place = np.repeat(first[index] - upto[:-1], each) + np.arange(upto[-1])
+        return flat[place], upto[bounds]
+
+    def batches(self, texts: pa.Array, size: int = 12 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first text, ids, offsets) of runs of texts of about `size` bytes."""
+        for at, n in runs(texts, size):
+            yield at, *self(texts.slice(at, n))
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -63,8 +108,6 @@ _encoders: dict[str, ChunkEncoder] = {}
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder of a tokenizer file."""
     if path not in _encoders:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]
