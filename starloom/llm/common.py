@@ -95,6 +95,22 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return window_hashes(h, min(k, len(h))) if len(h) else h
 
 
+#: A byte's bits, each in a byte of its own: adding these counts bits, eight at a time, up to 255 of each.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8), bitorder="little").view(np.uint64)
+
+
+def bit_counts(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many of the hashes of each segment have each of the 64 bits. A segment goes from its cut to the next; none
+    is empty."""
+    length = np.diff(np.r_[cuts, len(h)])
+    pieces = -(-length // 255)
+    first = np.cumsum(pieces) - pieces
+    at = np.repeat(cuts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    sums = np.add.reduceat(SPREAD[np.ascontiguousarray(h).view(np.uint8).reshape(len(h), 8)], at, axis=0)
+    counts = sums.view(np.uint8).reshape(len(at), 64)
+    return counts.astype(np.int32) if len(at) == len(cuts) else np.add.reduceat(counts, first, axis=0, dtype=np.int32)
+
+
 def runs(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """(first, count) of runs of texts of about `size` bytes together, one text at least."""
     length = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)

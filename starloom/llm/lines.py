@@ -1,8 +1,8 @@
 """Fuzzy line dedup: one occurrence of each group of near equal lines stays in the corpus.
 
 Lines are normalised (lower case, words and numbers only, digits as 0) and get a SimHash over words and word pairs.
-SimHashes within RADIUS bits share two of five blocks of bits (pigeonhole), so lines are joined on the ten pairs of
-blocks; what is near there is verified by the edit similarity of the word sequences. Verified lines form groups by
+SimHashes within RADIUS bits share three of six blocks of bits (pigeonhole), so lines are joined on the twenty choices
+of blocks; what is near there is verified by the edit similarity of the word sequences. Verified lines form groups by
 chains; the first occurrence of a group, by (doc_id, row, line), stays and the others go.
 """
 
@@ -13,14 +13,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, Words, byte_table, bytes_array, materialise, mix, runs
+from .common import BASE, Words, bit_counts, byte_table, bytes_array, materialise, mix, runs
 from .graph import components
 from .simhash import local_labels, near_pairs, whole_groups
 
 RADIUS, SIMILARITY, MIN_WORDS = 3, 0.8, 5
+#: Blocks of bits of six that a key takes: 32 bits.
+KEPT_BLOCKS = 3
 #: Lines of a bucket that are compared in one task; larger buckets are compared tile by tile.
 BUCKET = 512
 #: Bytes that end words: ASCII but for letters and digits.
@@ -48,22 +50,12 @@ def line_features(texts: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
     ordered = mix(h ^ mix((place.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)))
     whole = mix(np.bitwise_xor.reduceat(ordered, cuts) + n.astype(np.uint64))
     pairs = mix(h * np.uint64(3) + np.r_[h[1:], np.uint64(0)])
-    ones = bit_sums(h, cuts) + bit_sums(pairs, cuts) - bits_of(pairs[ends - 1])
+    ones = bit_counts(h, cuts) + bit_counts(pairs, cuts) - bit_counts(pairs[ends - 1], np.arange(len(ends)))
     simhash = np.packbits(2 * ones > (2 * n - 1)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     number = line - np.searchsorted(words.bounds, words.text_bounds[text], side="left")
     return text, number, whole, simhash, (h >> np.uint64(24)).astype(np.uint8), np.r_[0, ends]
 
 
-def bits_of(h: np.ndarray) -> np.ndarray:
-    return np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").astype(np.int32)
-
-
-def bit_sums(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """How many hashes of each segment, from its cut to the next, have each bit."""
-    bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little")
-    return np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
-
-
 def edit_similarity(a: bytes, b: bytes) -> float:
     """1 - edits / words of the longer, over sequences of word codes; the bit-vector way, a word of b at a time."""
     if len(a) > len(b):
@@ -103,11 +95,13 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("_row", "doc_id", "text").mapInArrow(run, "_row long, doc_id long, line int, h long, fp long, codes binary")
 
 
-def block_masks(radius: int) -> np.ndarray:
-    """The bits of each pair of radius + 2 blocks: values within radius bits agree on one pair at least."""
-    cuts = [64 * i // (radius + 2) for i in range(radius + 3)]
+def block_masks(radius: int, kept: int = KEPT_BLOCKS) -> np.ndarray:
+    """The bits of each choice of `kept` of radius + kept blocks: values within radius bits agree on one choice at
+    least. More kept blocks give longer keys, so that what shares one by chance stays rare, and more keys."""
+    n = radius + kept
+    cuts = [64 * i // n for i in range(n + 1)]
     blocks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
-    return np.array([a | b for a, b in combinations(blocks, 2)], np.uint64)
+    return np.array([sum(x) for x in combinations(blocks, kept)], np.uint64)
 
 
 def tiled(rows: DataFrame, size: str, key: list[str], member: str, bucket: int) -> DataFrame:
@@ -162,8 +156,7 @@ def near_lines(lines: DataFrame, radius: int = RADIUS, similarity: float = SIMIL
             yield pa.RecordBatch.from_arrays([pa.array(h[far]), pa.array(h[roots[far]])], ["a", "b"])
 
     blocks = lines.select("fp").distinct().mapInArrow(probe, "block long, fp long")
-    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialise(blocks.join(sizes, "block"), "blocks")
+    buckets = materialise(blocks.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("block"))).where("size > 1"), "blocks")
     grouped = tiled(buckets, "size", ["block"], "fp", bucket)
     links = materialise(grouped.select("group", "fp").repartition("group").sortWithinPartitions("group").mapInArrow(pick, "a long, b long").distinct(), "near")
     # chains of near SimHashes, and with them all lines of one SimHash: the lines to verify, without their pairs

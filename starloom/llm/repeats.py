@@ -72,7 +72,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(p), pa.array(row), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["anchor", "phrase", "_row", "first", "n"])
 
     index = materialise(docs.select("_row", "text").mapInArrow(factor, "anchor long, phrase long, _row long, first int, n int"), "phrases")
-    again = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("anchor")
+    # a table of its own, so that the join's other side can be split where one anchor has most rows
+    again = materialise(index.groupBy("anchor").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("anchor"), "again")
     shared = materialise(index.join(again, "anchor"), "shared")
     each = shared.groupBy("anchor", "phrase").agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct("_row", "first", "n")).alias("at"))
     each = materialise(each, "kinds")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bit_counts, materialise
 from .graph import components
 
 BITS = 64
@@ -27,10 +27,9 @@ BUCKET = 512
 
 def majority(hashes: np.ndarray) -> int:
     """The fingerprint of these hashes: a bit is 1 if it is 1 in over half of them. None: zero."""
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        some = np.ascontiguousarray(hashes[at : at + (1 << 16)])
-        ones += np.unpackbits(some.view(np.uint8).reshape(len(some), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    if not len(hashes):
+        return 0
+    ones = bit_counts(hashes, np.zeros(1, np.int64))[0]
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
