@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BASE, Words, bit_counts, byte_table, bytes_array, materialise, mix, runs
-from .graph import components
-from .simhash import local_labels, near_pairs, whole_groups
+from .graph import components, local_labels
+from .simhash import near_pairs, whole_groups
 
 RADIUS, SIMILARITY, MIN_WORDS = 3, 0.8, 5
 #: Blocks of bits of six that a key takes: 32 bits.

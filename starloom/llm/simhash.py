@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bit_counts, materialise
-from .graph import components
+from .graph import components, local_labels
 
 BITS = 64
 #: Members of a probed bucket that are compared with each other; larger buckets take the exact way of bridge_links.
@@ -137,21 +137,6 @@ def probe_masks(n: int, both: np.ndarray, radius: int, most_parts: int = 5) -> n
     return np.array(masks, np.uint64)
 
 
-def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index that each of n items is connected to by the pairs (a, b)."""
-    label = np.arange(n)
-    while len(a):
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
 def near_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j), i < j, of rows of one group within radius. Rows of a group stand together."""
     left, right, place = [], [], np.arange(len(fp))
