@@ -77,7 +77,9 @@ class ModelYAMLSource(YAMLSource):
     def after_load(self, raw: Kinds) -> Kinds:
         out = {kind: {name: dict(spec or {}) for name, spec in (specs or {}).items()} for kind, specs in raw.items()}
         for section in NESTED:
-            found = {name: _with_params(section, spec) for name, spec in out.get(section, {}).items()}
+            found = {}
+            for key, spec in out.get(section, {}).items():
+                found[key] = {**_with_params(section, spec), "name": key.removeprefix(f"{spec.get('query')}:")}
             for query, spec in out.get("queries", {}).items():
                 for name, inner in (spec.pop(section, None) or {}).items():
                     key = name if name not in found else f"{query}:{name}"
