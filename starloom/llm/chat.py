@@ -1,7 +1,7 @@
 """Chat formatting: every assistant turn becomes an example with all earlier turns as its context.
 
 The template writes a turn as <s>[role]text</s>. Inside roles and texts the characters &, < and [ are written as
-&amp; &lt; &#91;, so no control string can come from them and unescaping is exact. The loss mask of an example is its
+&amp; &lt; &#91;, and ] inside roles as &#93;, so no control string can come from them and unescaping is exact. The loss mask of an example is its
 target: the escaped text of that one assistant turn.
 """
 
@@ -18,6 +18,7 @@ def escape(text: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     out = F.replace(F.replace(text, F.lit("&#91;"), F.lit("[")), F.lit("&lt;"), F.lit("<"))
+    out = F.replace(out, F.lit("&#93;"), F.lit("]"))
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
@@ -34,7 +35,7 @@ def prefix_target_examples(turns: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turn = F.struct(F.col("turn"), role.alias("role"), text.alias("text"))
     conv = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    opening = lambda t: F.concat(F.lit("<s>["), escape(t["role"]), F.lit("]"))
+    opening = lambda t: F.concat(F.lit("<s>["), F.replace(escape(t["role"]), F.lit("]"), F.lit("&#93;")), F.lit("]"))
     whole = lambda t: F.concat(opening(t), escape(t["text"]), F.lit("</s>"))
     parts = conv.select("conv_id", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), opening(t).alias("opening"), escape(t["text"]).alias("body"), whole(t).alias("whole"))).alias("ts"))
     made = F.transform(
@@ -81,7 +82,7 @@ WITH turns AS (
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), sized AS (
   SELECT *, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'))
-    + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) + 9 AS chars
+    + length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), ']', '&#93;')) + 9 AS chars
   FROM turns
 ), summed AS (
   SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM sized

@@ -103,6 +103,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]], rank: int
     limits = np.nanquantile(some, np.arange(1, BINS) / BINS, axis=0).T
     machine = FactorisationMachine(0.0, weight, factor, mean, spread, limits)
     if not rows:
+        factor[:] = 0
         return machine
     label = np.array([r[3] for r in rows], np.float32)
     rate_of_1 = float(np.clip(label.mean(), 1e-3, 1 - 1e-3))
