@@ -42,7 +42,6 @@ def test_little_to_learn_from(spark, docs, none):
 
 ITEM = "Maria buys 12 boxes of apples in Lisbon for 30 dollars each, and then sells 7 of them to Peter. How much money did Maria spend on the boxes that she keeps?"
 CHANGED = ITEM.replace("Maria", "Anna").replace("12", "48").replace("30", "25").replace("7 of", "9 of").replace("Peter", "Tom").replace("Lisbon", "Berlin")
-MIXED = ITEM.replace("did Maria spend", "did Peter spend").replace("in Lisbon for 30", "in Lisbon for 12")
 CLEAN = "The river ran past the old stone bridge, and the lanterns of the market were lit long before the winter evening came down over the harbor."
 
 
@@ -58,12 +57,14 @@ def test_templates(spark):
 
 
 def test_slots_must_be_consistent(spark):
-    """The same shape with values that change meaning half way counts less than a consistent change."""
-    docs = spark.createDataFrame([(1, CHANGED), (2, MIXED)], "doc long, text string")
-    items = spark.createDataFrame([(10, ITEM)], "item long, text string")
+    """The same shape with a value that changes its meaning on the way counts less than a consistent change."""
+    item = "At noon Maria buys 12 boxes of apples and then Maria sells 12 of the boxes to Peter, while Peter keeps 12 of the old crates in the yard for Maria"
+    same = item.replace("Maria", "Anna").replace("Peter", "Tom").replace("12", "48")
+    mixed = same.replace("48", "49", 1).replace("keeps 48", "keeps 50")
+    docs = spark.createDataFrame([(1, same), (2, mixed)], "doc long, text string")
+    items = spark.createDataFrame([(10, item)], "item long, text string")
     found = {r["doc"]: r for r in contamination.contaminated(docs, items, coverage=0.0).collect()}
-    # the first word of a sentence is no name: the window of the changed "Maria" there differs
-    assert found[1]["matched_windows"] == found[1]["item_windows"] - 1 > found[2]["matched_windows"]
+    assert found[1]["matched_windows"] == found[1]["item_windows"] > found[2]["matched_windows"] > 0
 
 
 def test_canonical_tokens():
