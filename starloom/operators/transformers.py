@@ -1,7 +1,7 @@
 """Transformers: add columns to a query's result. Built-in ones are window expressions.
 
-Without `by`, a transformer looks at the whole result, which Spark puts into one task: results are aggregates, but give
-`by` where they are large.
+Without `by`, a transformer looks at the whole result, which a window puts into one task. Results are aggregates and
+mostly small; for large ones give distributed=True, which deals rows to ranges of the order and writes them once.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.keyspace import col
+from . import ordered
 
 
 class Transformer(ABC):
@@ -34,11 +35,19 @@ def _on(params: dict[str, Any], name: str) -> str:
     return params["on"]
 
 
-def _ordered(df: DataFrame, params: dict[str, Any]):
-    """The window's partition, in the order of sort_by, or else of the columns before `on` (a query's dimensions)."""
+def _order(df: DataFrame, params: dict[str, Any]) -> list[Column]:
+    """The order of sort_by, or else of the columns before `on` (a query's dimensions)."""
     by = _names(params.get("by"))
     sort = _names(params.get("sort_by")) or [c for c in df.columns[: df.columns.index(params["on"])] if c not in by] or [params["on"]]
-    return Window.partitionBy(*(col(c) for c in by)).orderBy(*(col(c).asc_nulls_last() for c in sort))
+    return [col(c).asc_nulls_last() for c in sort]
+
+
+def _ordered(df: DataFrame, params: dict[str, Any]):
+    return Window.partitionBy(*(col(c) for c in _names(params.get("by")))).orderBy(*_order(df, params))
+
+
+def _spread(params: dict[str, Any]) -> bool:
+    return bool(params.get("distributed")) and not params.get("by")
 
 
 class MovingAverage(Transformer):
@@ -48,9 +57,12 @@ class MovingAverage(Transformer):
         on, n = _on(params, "moving_average"), int(params.get("window", 3))
         least = n if params.get("min_periods") is None else int(params["min_periods"])
         first, last = (-(n // 2), (n - 1) // 2) if params.get("center") else (1 - n, 0)
+        new = params.get("new_column") or f"{on}_ma_{n}"
+        if _spread(params):
+            return ordered.rolling_mean(df, col(on), _order(df, params), first, last, least, new)
         frame = _ordered(df, params).rowsBetween(first, last)
         mean = F.when(F.count(col(on)).over(frame) >= max(least, 1), F.avg(col(on)).over(frame))
-        return df.withColumn(params.get("new_column") or f"{on}_ma_{n}", mean)
+        return df.withColumn(new, mean)
 
 
 class ZScore(Transformer):
@@ -75,8 +87,11 @@ class Cumulative(Transformer):
 
     def transform(self, df: DataFrame, **params: Any) -> DataFrame:
         on = _on(params, "cumulative")
+        new = params.get("new_column") or f"{on}_cum"
+        if _spread(params):
+            return ordered.running_sum(df, col(on), _order(df, params), new)
         frame = _ordered(df, params).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(params.get("new_column") or f"{on}_cum", F.when(col(on).isNotNull(), F.sum(col(on)).over(frame)))
+        return df.withColumn(new, F.when(col(on).isNotNull(), F.sum(col(on)).over(frame)))
 
 
 class Rank(Transformer):
@@ -87,9 +102,12 @@ class Rank(Transformer):
         ranks = {"dense": F.dense_rank, "min": F.rank, "first": F.row_number}
         if method not in ranks:
             raise ValueError(f"rank: method must be one of {sorted(ranks)}")
+        new = params.get("new_column") or f"{on}_rank"
+        if _spread(params):
+            return ordered.ranked(df, col(on), bool(params.get("ascending", False)), method, new)
         key = col(on).asc_nulls_last() if params.get("ascending", False) else col(on).desc_nulls_last()
         w = Window.partitionBy(*(col(c) for c in by)).orderBy(key)
-        return df.withColumn(params.get("new_column") or f"{on}_rank", F.when(col(on).isNotNull(), ranks[method]().over(w)))
+        return df.withColumn(new, F.when(col(on).isNotNull(), ranks[method]().over(w)))
 
 
 class Pareto(Transformer):
@@ -97,10 +115,12 @@ class Pareto(Transformer):
 
     def transform(self, df: DataFrame, **params: Any) -> DataFrame:
         on, by = _on(params, "pareto"), _names(params.get("by"))
-        parts = [col(c) for c in by]
+        new, parts = params.get("new_column") or f"{on}_share", [col(c) for c in by]
+        if _spread(params):
+            return ordered.running_share(df, col(on), new)
         upto = Window.partitionBy(*parts).orderBy(col(on).desc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
         share = F.try_divide(F.sum(col(on)).over(upto).cast("double"), F.sum(col(on)).over(Window.partitionBy(*parts)).cast("double"))
-        return df.withColumn(params.get("new_column") or f"{on}_share", share)
+        return df.withColumn(new, share)
 
 
 class GroupedPandas(Transformer):

@@ -76,6 +76,17 @@ def test_more_transformers(cube, spark):
         cube.transform(df, "zscore")
 
 
+@pytest.mark.parametrize("name,params", [("cumulative", {"sort_by": ["i"]}), ("pareto", {}), ("rank", {"method": "dense"}), ("rank", {"method": "min", "ascending": True}), ("moving_average", {"sort_by": ["i"], "window": 5, "min_periods": 2}), ("moving_average", {"sort_by": ["i"], "window": 4, "center": True})])
+def test_spread_over_tasks_gives_the_same(cube, spark, monkeypatch, name, params):
+    from starloom.operators import ordered
+
+    monkeypatch.setattr(ordered.rolling_mean, "__defaults__", (7,))
+    df = spark.createDataFrame([(i, float(i * 7 % 23) if i % 6 else None) for i in range(90)], "i int, v double").repartition(3)
+    one, two = (sorted(map(tuple, cube.transform(df, name, {"on": "v", "new_column": "x", **params, "distributed": d}).collect())) for d in (False, True))
+    assert [r[:2] for r in one] == [r[:2] for r in two] and len(one) == 90
+    assert [None if r[2] is None else round(r[2], 9) for r in one] == [None if r[2] is None else round(r[2], 9) for r in two]
+
+
 def define_all(cube):
     cube.define_metric("Filled", "[qty]", "mean", fillna=0, metric_filters={"region": ["North"]})
     cube.define_derived_metric("Price", "[Revenue] / [Units]")
