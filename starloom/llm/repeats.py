@@ -97,7 +97,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
     windows = docs.select("_row", "text").join(by_doc, "_row").mapInArrow(unfold, "anchor long, code long, once boolean, _row long, first int")
     windows = materialise(windows, "windows")
-    twice = windows.groupBy("anchor", "code").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("anchor", "code")
+    twice = materialise(windows.groupBy("anchor", "code").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("anchor", "code"), "twice")
     partly = windows.where("once").join(twice, ["anchor", "code"]).select("_row", "first", F.lit(1).alias("n"))
     return whole.union(partly)
 
