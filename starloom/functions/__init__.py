@@ -1 +1 @@
-
+"""Expressions, aggregations and registered functions."""

@@ -1 +1 @@
-
+"""Transformers of results."""

@@ -1 +1 @@
-
+"""The link model, filter states and query plans."""

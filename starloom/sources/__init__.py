@@ -1 +1 @@
-
+"""Readers and model catalogs."""
