@@ -111,7 +111,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]], rank: int
     placed = []
     for bucket, value, d, _ in rows:
         index, more = machine.place(np.asarray(d, float))
-        placed.append((np.r_[bucket, index], np.r_[value, more].astype(np.float32)))
+        placed.append((np.r_[bucket, index].astype(np.int32), np.r_[value, more].astype(np.float32)))
     params = [weight, factor, np.array([machine.bias], np.float32)]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
@@ -151,13 +151,14 @@ def train(docs: DataFrame, labels: DataFrame, metadata: list[str] | None = None,
             out = []
             others = zip(*(c.to_pylist() for c in batch.columns[2:]))
             for (*more, label), (bucket, value, dense) in zip(others, features(batch.column(1))):
-                out.append((bucket.astype(np.int32).tolist(), value.astype(np.float32).tolist(), [*dense, *(np.nan if m is None else m for m in more)], label))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, (pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.float64()), pa.float64()))], ["bucket", "value", "dense", "label"])
-
-    rows = picked.mapInArrow(run, "bucket array<int>, value array<float>, dense array<double>, label double").limit(sample_rows).toArrow()
-    gathered = [(np.array(b, np.int64), np.array(v, np.float32), np.array(d), y) for b, v, d, y in zip(*(rows.column(i).to_pylist() for i in range(4)))]
-    gathered.sort(key=lambda r: (r[2].tolist(), r[0].tolist()))  # the order that rows arrive in doesn't matter
-    return fit(gathered)
+                wide = np.array([*dense, *(np.nan if m is None else m for m in more)], np.float64)
+                out.append((bucket.astype(np.uint16).tobytes(), value.astype(np.float32).tobytes(), wide.tobytes(), label))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, (pa.binary(), pa.binary(), pa.binary(), pa.float64()))], ["bucket", "value", "dense", "label"])
+
+    rows = picked.mapInArrow(run, "bucket binary, value binary, dense binary, label double").limit(sample_rows).toArrow()
+    gathered = sorted(zip(*(rows.column(i).to_pylist() for i in (2, 0, 1, 3))))  # the order that rows arrive in doesn't matter
+    del rows
+    return fit([(np.frombuffer(b, np.uint16), np.frombuffer(v, np.float32), np.frombuffer(d), y) for d, b, v, y in gathered])
 
 
 def score_quality(docs: DataFrame, machine: FactorisationMachine, metadata: list[str] | None = None) -> DataFrame:
