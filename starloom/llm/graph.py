@@ -30,9 +30,9 @@ def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def contract(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the same nodes: of what is connected within CHUNK edges of a partition, each node
-    linked to the least."""
+def contract(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) that connect the same nodes: of what is connected within a chunk of a partition, each node linked
+    to the least."""
 
     def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
@@ -44,10 +44,11 @@ def contract(edges: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= CHUNK:
-                yield stars(held)
-                held = []
+            for at in range(0, batch.num_rows, chunk):
+                held.append(batch.slice(at, chunk))
+                if sum(b.num_rows for b in held) >= chunk:
+                    yield stars(held)
+                    held = []
         if held:
             yield stars(held)
 
@@ -61,23 +62,23 @@ def _is_stars(edges: DataFrame) -> bool:
     return seen.where("least <> most OR (least IS NOT NULL AND below > 0)").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """edges (a long, b long), in either direction, repeated or looped, to (node, component): each node that has an
     edge to another, with the smallest node it is connected to.
 
     Each round contracts what lies together, then links each node's larger neighbours, and after that its smaller
-    ones, to the least of all (large-star, small-star); rounds grow with the logarithm of the longest chain. Minima
-    are aggregated before they are joined back, so a node with any number of neighbours is never gathered in one
-    place. Every round is written to the shared folder.
+    ones, to the least of all (large-star, small-star); rounds grow with the logarithm of the longest chain. Every
+    round is written to the shared folder. A node may be the least neighbour of any number of others: minima come from
+    a table of their own, so that the join's other side can be split; of lesser neighbours a node has one from each
+    contracted chunk at most.
     """
-    now = materialise(contract(edges.where("a <> b")), "edges")
+    now = materialise(edges.where("a <> b").select("a", "b"), "edges")
     while True:
-        now = contract(now)
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        now = materialise(small, "edges")
+        now = materialise(contract(now, chunk), "stars")
         if _is_stars(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+        up = materialise(now.groupBy("a").agg(F.min("b").alias("m")), "least").withColumnRenamed("a", "b")
+        large = now.join(up, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        now = materialise(small.distinct(), "edges")

@@ -131,12 +131,13 @@ def test_thresholds_are_the_cheapest_and_cover():
     assert sorted(b for p in parts for b in p) == list(range(64))
 
 
-@pytest.mark.parametrize("n,edges", [(1, []), (300, "chain"), (400, "random"), (200, "star")])
-def test_components(spark, n, edges):
+@pytest.mark.parametrize("chunk", [1_000_000, 3])
+@pytest.mark.parametrize("n,edges", [(1, []), (150, "chain"), (400, "random"), (200, "star")])
+def test_components(spark, n, edges, chunk):
     rng = np.random.default_rng(n)
     made = {"chain": [(i, i + 1) for i in range(n - 1)], "random": rng.integers(0, n, (n * 3 // 4, 2)).tolist(), "star": [(0, i) for i in range(1, n)] + [(5, 5)] * 3}.get(edges, []) if edges else []
     df = spark.createDataFrame([tuple(map(int, e)) for e in made], "a long, b long").repartition(5)
-    got = {r["node"]: r["component"] for r in graph.components(df).collect()}
+    got = {r["node"]: r["component"] for r in graph.components(df, chunk).collect()}
     real = [(a, b) for a, b in made if a != b]
     label = graph.local_labels(n, *(np.array(x, np.int64) for x in zip(*real))) if real else []
     assert got == {int(x): int(label[x]) for e in real for x in e}
