@@ -1,18 +1,21 @@
 """Fuzzy line dedup: one occurrence of each group of near equal lines stays in the corpus.
 
-Lines are normalised (lower case, words and numbers only, digits as 0) and get a SimHash over words and word pairs.
-SimHashes within RADIUS bits share three of six blocks of bits (pigeonhole), so lines are joined on the twenty choices
-of blocks; what is near there is verified by the edit similarity of the word sequences. Verified lines form groups by
-chains; the first occurrence of a group, by (doc_id, row, line), stays and the others go.
+Lines are normalised (lower case, words and numbers only, digits as 0) and their word pairs are put in one order for
+all lines, rare ones first. Lines within the edit similarity share so many word pairs that they share one among the
+first of each (prefix filter, no such pair is lost): lines are joined on these, and what meets there is verified by the
+edit similarity of the word sequences. Verified lines form groups by chains; the first occurrence of a group, by
+(doc_id, row, line), stays and the others go. near_lines is the search by SimHash, which reaches a few bits only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +31,35 @@ BUCKET = 512
 #: Bytes that end words: ASCII but for letters and digits.
 MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
 NORMAL = byte_table(MARKS, lower=True, digits=True)
-
-
-def line_features(texts: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
+#: Characters of scripts without spaces: each is a word.
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+#: One line of so many, and of their word pairs at most so many, tell which pairs are common. It sets the order only.
+COMMON_LINES, COMMON_PAIRS = 16, 50_000
+
+
+def spaced(texts: pa.Array) -> pa.Array:
+    """texts with spaces around each character of a script without spaces."""
+    raw = texts.cast(pa.large_binary()).buffers()[2]
+    if raw is None or not (np.frombuffer(raw, np.uint8) >= 0xE0).any():
+        return texts
+    return pc.replace_substring_regex(texts, UNSPACED, r" \1 ")
+
+
+def wordless_lines(texts: pa.Array) -> tuple[list[int], list[int], list[int]]:
+    """(text, line, hash) of the lines that aren't blank and have no words, as a rule of signs."""
+    text, number, h = [], [], []
+    some = pc.fill_null(pc.match_substring_regex(texts, r"(?m)^[[:^alnum:]]*[[:punct:]][[:^alnum:]]*$"), False)
+    for i in np.flatnonzero(np.asarray(some)).tolist():
+        for j, line in enumerate(texts[i].as_py().split("\n")):
+            bare = line.encode().strip()
+            if bare and not bare.translate(None, MARKS):
+                text.append(i)
+                number.append(j)
+                h.append(xxhash.xxh64_intdigest(bare, 7))
+    return text, number, h
+
+
+def line_features(texts: pa.Array, min_words: int, code: type = np.uint8) -> tuple[np.ndarray, ...]:
     """(text, line, hash, SimHash, words' codes, their offsets) of all lines of min_words words or more.
 
     Words are runs of letters, digits and non-ASCII characters; A-Z and Latin-1 letters are lowered and digits are 0.
@@ -45,7 +74,7 @@ def line_features(texts: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
     place = np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n, n)
     h = words.hash[np.repeat(first, n) + place]
     if not len(h):
-        return text, line, np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint8), np.zeros(1, np.int64)
+        return text, line, np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, code), np.zeros(1, np.int64)
     cuts = ends - n
     ordered = mix(h ^ mix((place.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)))
     whole = mix(np.bitwise_xor.reduceat(ordered, cuts) + n.astype(np.uint64))
@@ -53,10 +82,10 @@ def line_features(texts: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
     ones = bit_counts(h, cuts) + bit_counts(pairs, cuts) - bit_counts(pairs[ends - 1], np.arange(len(ends)))
     simhash = np.packbits(2 * ones > (2 * n - 1)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     number = line - np.searchsorted(words.bounds, words.text_bounds[text], side="left")
-    return text, number, whole, simhash, (h >> np.uint64(24)).astype(np.uint8), np.r_[0, ends]
+    return text, number, whole, simhash, (h >> np.uint64(24)).astype(code), np.r_[0, ends]
 
 
-def edit_similarity(a: bytes, b: bytes) -> float:
+def edit_similarity(a: Sequence[int], b: Sequence[int]) -> float:
     """1 - edits / words of the longer, over sequences of word codes; the bit-vector way, a word of b at a time."""
     if len(a) > len(b):
         a, b = b, a
@@ -81,18 +110,27 @@ def edit_similarity(a: bytes, b: bytes) -> float:
     return 1 - edits / len(b)
 
 
-def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """docs (_row, doc_id, text) to their lines of min_words words or more: _row, doc_id, line, h, fp, codes."""
+def line_table(docs: DataFrame, min_words: int, short: bool) -> DataFrame:
+    """docs (_row, doc_id, text) to their lines: _row, doc_id, line, h, codes (16 bits a word).
+
+    Lines of fewer than min_words words are there if short is set, with no codes; blank lines never are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n in runs(batch.column(2)):
                 some = batch.slice(at, n)
-                text, line, h, fp, codes, offsets = line_features(some.column(2), min_words)
+                text, line, h, _, codes, offsets = line_features(spaced(some.column(2)), 1 if short else min_words, np.uint16)
+                length = np.diff(offsets)
+                long = length >= min_words
+                codes, offsets = codes[np.repeat(long, length)], np.r_[0, np.cumsum(np.where(long, length, 0))]
+                if short:
+                    more_text, more_line, more_h = wordless_lines(some.column(2))
+                    text, line, h = np.r_[text, np.array(more_text, np.int64)], np.r_[line, np.array(more_line, np.int64)], np.r_[h, np.array(more_h, np.uint64)]
+                    offsets = np.r_[offsets, np.full(len(more_h), offsets[-1])]
                 place = pa.array(text)
-                yield pa.RecordBatch.from_arrays([some.column(0).take(place), some.column(1).take(place), pa.array(line.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(fp.view(np.int64)), bytes_array(codes, offsets)], ["_row", "doc_id", "line", "h", "fp", "codes"])
+                yield pa.RecordBatch.from_arrays([some.column(0).take(place), some.column(1).take(place), pa.array(line.astype(np.int32)), pa.array(h.view(np.int64)), bytes_array(codes, offsets)], ["_row", "doc_id", "line", "h", "codes"])
 
-    return docs.select("_row", "doc_id", "text").mapInArrow(run, "_row long, doc_id long, line int, h long, fp long, codes binary")
+    return docs.select("_row", "doc_id", "text").mapInArrow(run, "_row long, doc_id long, line int, h long, codes binary")
 
 
 def block_masks(radius: int, kept: int = KEPT_BLOCKS) -> np.ndarray:
@@ -169,19 +207,164 @@ def near_lines(lines: DataFrame, radius: int = RADIUS, similarity: float = SIMIL
     return whole.select("group", "h", "fp", "codes").repartition("group").sortWithinPartitions("group", "h").mapInArrow(verify, "a long, b long")
 
 
-def dedup_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+def most_edits(n: np.ndarray | int, similarity: float) -> np.ndarray:
+    """Edits that lines within the similarity have at most, the longer of n words."""
+    return np.floor((1 - similarity) * np.asarray(n) + 1e-9).astype(np.int64)
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """How many first word pairs of a line of n words hold one that is also among the first of any line within the
+    similarity, of n words or more. An edit takes two word pairs at most, so of a longer line of m words m - 1 - 2 edits
+    are common."""
+    longer = np.arange(n, int(n / similarity + 1e-9) + 1)
+    common = longer - 1 - 2 * most_edits(longer, similarity)
+    return int(n - np.clip(common.min(), 1, n - 1))
+
+
+def code_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a binary column without nulls, and the rows' offsets among them."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return np.frombuffer(raw.tobytes(), np.uint16), (at - at[0]) // 2
+
+
+def word_pairs(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the pairs of words that follow each other."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    inside = np.flatnonzero(row[1:] == row[:-1])
+    wide = codes.astype(np.uint64)
+    return row[inside], mix((wide[inside] << np.uint64(16)) + wide[inside + 1] + np.uint64(1))
+
+
+def line_sketches(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """48 parities of the words' codes and, in the low 16 bits, the words of each row: an edit changes two parities at
+    most. No row is empty."""
+    bit = np.uint64(1) << (np.uint64(16) + mix(codes.astype(np.uint64) + np.uint64(9)) % np.uint64(48))
+    return np.bitwise_xor.reduceat(bit, offsets[:-1]) | np.minimum(np.diff(offsets), 65535).astype(np.uint64)
+
+
+def close_pairs(sketch: np.ndarray, group: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of rows of one group whose sketches don't rule the similarity out."""
+    n = (sketch & np.uint64(65535)).astype(np.int64)
+    parity, most = sketch >> np.uint64(16), most_edits(n, similarity)
+    left, right, place = [], [], np.arange(len(sketch))
+    for shift in range(1, len(sketch)):
+        place = place[: np.searchsorted(place, len(sketch) - shift)]
+        place = place[group[place] == group[place + shift]]
+        if not len(place):
+            break
+        edits = np.maximum(most[place], most[place + shift])
+        near = place[(np.abs(n[place] - n[place + shift]) <= edits) & (np.bitwise_count(parity[place] ^ parity[place + shift]) <= 2 * edits)]
+        left.append(near)
+        right.append(near + shift)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
+
+
+def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """lines (h, codes of 16 bits, five words at least; one row a distinct line; a written table) to links (a, b) of
+    lines h that connect all that chains of pairs of at least this edit similarity (0.7 or more) connect."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(word_pairs(*code_arrays(batch.column(0)))[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["pair", "n"])
+
+    sample = lines.where(F.pmod("h", F.lit(COMMON_LINES)) == 0).select("codes").mapInArrow(counts, "pair long, n long")
+    top = sample.groupBy("pair").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "pair").limit(COMMON_PAIRS).collect()
+    common = np.array([r["pair"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(common)
+    common, often = common[order], np.array([r["n"] for r in top], np.int64)[order]
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5_000):
+                some = batch.slice(at, 5_000)
+                codes, offsets = code_arrays(some.column(1))
+                row, pair = word_pairs(codes, offsets)
+                by = np.lexsort((pair, row))
+                row, pair = row[by], pair[by]
+                # a pair's repeats in a line are told apart by number
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])])
+                nth = np.arange(len(row)) - np.repeat(new, np.diff(np.r_[new, len(row)]))
+                rank = np.zeros(len(row), np.int64)
+                if len(common):
+                    found = np.minimum(np.searchsorted(common, pair), len(common) - 1)
+                    rank = np.where(common[found] == pair, often[found], 0)
+                key = mix(pair + nth.astype(np.uint64) * np.uint64(BASE))
+                by = np.lexsort((key, rank, row))
+                row, key = row[by], key[by]
+                n = np.diff(offsets)
+                sizes, which = np.unique(n, return_inverse=True)
+                first = np.array([prefix_length(x, similarity) for x in sizes.tolist()])[which]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < first[row]
+                row, key = row[kept], key[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), some.column(0).take(pa.array(row)), pa.array(line_sketches(codes, offsets)[row].view(np.int64))], ["block", "h", "sketch"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each group, the sets of lines that close pairs connect, under a hash of their members."""
+        for table in whole_groups(batches, "group"):
+            group, h, sketch = (np.asarray(table[c]) for c in ("group", "h", "sketch"))
+            a, b = close_pairs(sketch.view(np.uint64), group, similarity)
+            near = np.unique(np.concatenate([a, b]))
+            label = local_labels(len(h), a, b)[near]
+            _, place = np.unique(label, return_inverse=True)
+            total = np.zeros(place.max() + 1 if len(near) else 0, np.uint64)
+            np.add.at(total, place, mix(h[near].view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(total[place].view(np.int64)), pa.array(h[near])], ["set", "h"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "set", 4_000):
+            group, h = (np.asarray(table[c]) for c in ("set", "h"))
+            codes, offsets = code_arrays(table["codes"].combine_chunks())
+            n, parent, said, bags = np.diff(offsets), list(range(len(h))), {}, {}
+
+            def find(i: int) -> int:
+                while parent[i] != i:
+                    parent[i] = i = parent[parent[i]]
+                return i
+
+            def line(i: int) -> np.ndarray:
+                return codes[offsets[i] : offsets[i + 1]]
+
+            def bag(i: int) -> np.ndarray:
+                if i not in bags:
+                    bags[i] = np.bincount(line(i) & 255, minlength=256)
+                return bags[i]
+
+            for i, j in zip(*(x.tolist() for x in close_pairs(line_sketches(codes, offsets), group, similarity))):
+                if (p := find(i)) == (q := find(j)):
+                    continue
+                pair = (h[i], h[j])
+                if pair not in said:
+                    few = np.abs(bag(i) - bag(j)).sum() <= 2 * most_edits(max(n[i], n[j]), similarity)
+                    said[pair] = bool(few) and edit_similarity(line(i).tolist(), line(j).tolist()) >= similarity - 1e-9
+                if said[pair]:
+                    parent[max(p, q)] = min(p, q)
+            roots = np.array([find(i) for i in range(len(h))], np.int64)
+            far = np.flatnonzero(roots != np.arange(len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(h[far]), pa.array(h[roots[far]])], ["a", "b"])
+
+    probed = lines.select("h", "codes").mapInArrow(probe, "block long, h long, sketch long")
+    buckets = materialise(probed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("block"))).where("size > 1"), "blocks")
+    grouped = tiled(buckets, "size", ["block"], "h", bucket)
+    sets = materialise(grouped.select("group", "h", "sketch").repartition("group").sortWithinPartitions("group", "h").mapInArrow(pick, "set long, h long").distinct(), "sets")
+    return sets.join(lines.select("h", "codes"), "h").select("set", "h", "codes").repartition("set").sortWithinPartitions("set", "h").mapInArrow(verify, "a long, b long")
+
+
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """docs with the lines removed that repeat, exactly or nearly, a line that comes earlier by (doc_id, row, line).
 
-    Lines end at line feeds. Lines of fewer than min_words words, blank ones too, always stay. Returns docs' columns with
-    text replaced, and n_lines and n_removed (long). A null text stays null with no lines, an empty text is one blank
+    Lines end at line feeds. Blank lines always stay; lines of fewer than min_words words (5 or more) are compared
+    exactly if short is set, and stay otherwise. A character of a script without spaces is a word. Returns docs' columns with text replaced, and n_lines and n_removed (long). A null text stays null with no lines, an empty text is one blank
     line; a document of which every line goes keeps its row with an empty text; a null doc_id comes first; a repeated
     row comes after the first. No rows give none. docs is read twice and must give the same rows in the same order,
     as files do; columns n_lines and n_removed are replaced, _row and _gone are used inside.
     """
     numbered = docs.drop("n_lines", "n_removed").withColumn("_row", F.monotonically_increasing_id())
-    lines = materialise(line_table(numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words), "lines")
-    distinct = materialise(lines.groupBy("h").agg(F.min("fp").alias("fp"), F.min("codes").alias("codes"), F.min(F.struct("doc_id", "_row", "line")).alias("at"), F.count(F.lit(1)).alias("uses")), "distinct")
-    groups = components(near_lines(distinct.select("h", "fp", "codes"), radius, similarity)).select(F.col("node").alias("h"), "component")
+    lines = materialise(line_table(numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words, short), "lines")
+    distinct = materialise(lines.groupBy("h").agg(F.min("codes").alias("codes"), F.min(F.struct("doc_id", "_row", "line")).alias("at"), F.count(F.lit(1)).alias("uses")), "distinct")
+    groups = components(similar_lines(distinct.where("length(codes) > 0").select("h", "codes"), similarity)).select(F.col("node").alias("h"), "component")
     named = materialise(distinct.join(groups, "h", "left").select("h", "at", "uses", F.coalesce("component", "h").alias("component")), "named")
     kept = named.groupBy("component").agg(F.min("at").alias("keep"), F.sum("uses").alias("total")).where("total > 1")
     by_line = named.join(kept, "component").select("h", "keep")

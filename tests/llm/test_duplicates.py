@@ -211,6 +211,33 @@ def test_near_lines_lose_nothing(spark, tmp_path, bucket):
     assert near and Counter(map(frozenset, group(zip(ids, (got.get(i, i) for i in ids))))) == Counter(map(frozenset, group(zip(ids, label.tolist()))))
 
 
+@pytest.mark.parametrize("bucket", [512, 6])
+def test_similar_lines_are_all_pairs_of_the_similarity(spark, tmp_path, bucket):
+    """Against all pairs by edit similarity alone, 5 to 120 words, up to a fifth of them edited; common passages too."""
+    rng = random.Random(bucket)
+    texts, passage = set(), prose(rng, 20).replace("\n", " ").split(" ")
+    for i in range(60):
+        w = prose(rng, rng.choice([5, 6, 7, 9, 12, 15, 19, 25, 40, 120])).replace("\n", " ").split(" ")
+        w = w[: len(w) // 2] + passage + w[len(w) // 2 :] if i % 5 == 0 else w
+        texts.add(" ".join(w))
+        for _ in range(rng.choice([1, 1, 8])):
+            other = list(w)
+            for _ in range(rng.randint(1, max(1, len(w) // 4))):
+                at = rng.randrange(len(other))
+                other[at : at + rng.choice([0, 1, 1])] = rng.choice([[], ["altered"], ["changed"], [other[0]]])
+            texts.add(" ".join(other))
+    import pyarrow as pa
+
+    _, _, h, _, codes, at = lines.line_features(pa.array(["\n".join(sorted(texts))]), 5, np.uint16)
+    rows = {int(x): codes[a:b] for x, a, b in zip(h.view(np.int64), at, at[1:])}
+    spark.createDataFrame([(x, c.tobytes()) for x, c in rows.items()], "h long, codes binary").write.parquet(str(tmp_path / "n"))
+    got = {r["node"]: r["component"] for r in graph.components(lines.similar_lines(spark.read.parquet(str(tmp_path / "n")), bucket=bucket)).collect()}
+    ids, uniq = list(rows), [c.tolist() for c in rows.values()]
+    near = [(i, j) for i in range(len(uniq)) for j in range(i) if 5 * edits(uniq[i], uniq[j]) <= max(len(uniq[i]), len(uniq[j]))]
+    label = graph.local_labels(len(uniq), *(np.array(x, np.int64) for x in zip(*near)))
+    assert len(near) > 50 and Counter(map(frozenset, group(zip(ids, (got.get(i, i) for i in ids))))) == Counter(map(frozenset, group(zip(ids, label.tolist()))))
+
+
 # --- passages
 
 
