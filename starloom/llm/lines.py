@@ -380,4 +380,4 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated lines: doc_id, n_lines, n_removed, kept_sha256 (of the text that stays)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup_lines(docs, short=True).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

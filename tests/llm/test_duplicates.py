@@ -238,6 +238,14 @@ def test_similar_lines_are_all_pairs_of_the_similarity(spark, tmp_path, bucket):
     assert len(near) > 50 and Counter(map(frozenset, group(zip(ids, (got.get(i, i) for i in ids))))) == Counter(map(frozenset, group(zip(ids, label.tolist()))))
 
 
+def test_short_lines_and_scripts_without_spaces(spark, tmp_path):
+    chinese = "今天天气很好我们一起去公园散步吧"
+    rows = [(1, f"All rights reserved.\n\n{chinese}\n-----\n{LINES[0]}"), (2, f"all rights reserved\n\n{chinese}\n-----\nall rights"), (3, f"{chinese.replace('公', '花')}\n{LINES[2]}\n \n====")]
+    make(spark, rows).coalesce(1).write.parquet(str(tmp_path / "l"))
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.read.parquet(str(tmp_path / "l")), short=True).collect()}
+    assert out == {1: rows[0][1], 2: "\nall rights", 3: " \n===="}
+
+
 # --- passages
 
 
