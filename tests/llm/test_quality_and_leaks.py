@@ -80,3 +80,13 @@ def test_benchmark_passages_are_found(spark):
     docs = spark.createDataFrame([*planted, *clean], "doc long, text string")
     found = {(r["doc"], r["item"]) for r in contamination.contaminated(docs, items.withColumnRenamed("item_id", "item")).collect()}
     assert {(d, d) for d, _ in planted} <= found and not [d for d, _ in found if d >= 100]
+
+
+def test_names_that_open_sentences(spark):
+    item = "Tom has 12 apples. Tom gives Anna 5 apples. How many apples does Tom have left?"
+    once = "Tom has 12 apples and gives 5 apples to the boy who lives next door. How many are left?"
+    changed = [x.replace("Tom", "Bill").replace("Anna", "Eve").replace("12", "31").replace("5", "8") for x in (item, once)]
+    docs = spark.createDataFrame([(1, f"{CLEAN} {changed[0]} {CLEAN}"), (2, f"{CLEAN} {changed[1]} {CLEAN}"), (3, f"Question: {changed[0]}"), (4, CLEAN)], "doc long, text string")
+    items = spark.createDataFrame([(10, item), (11, once)], "item long, text string")
+    found = {(r["doc"], r["item"]): r["coverage"] for r in contamination.contaminated(docs, items).collect()}
+    assert set(found) == {(1, 10), (2, 11), (3, 10)} and min(found.values()) > 0.75
