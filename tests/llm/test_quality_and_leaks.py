@@ -90,3 +90,13 @@ def test_names_that_open_sentences(spark):
     items = spark.createDataFrame([(10, item), (11, once)], "item long, text string")
     found = {(r["doc"], r["item"]): r["coverage"] for r in contamination.contaminated(docs, items).collect()}
     assert set(found) == {(1, 10), (2, 11), (3, 10)} and min(found.values()) > 0.75
+
+
+def test_short_items_and_long_passages(spark):
+    words = [f"{a}{b}" for a in ("stone", "river", "lamp", "wind") for b in ("ar", "el", "is", "on", "um")] * 10
+    long = " ".join(w + str("xyz"[i % 3]) * (i // 20 + 1) for i, w in enumerate(words))
+    part = " ".join(long.split()[90:150])
+    docs = spark.createDataFrame([(1, f"{CLEAN} Who wrote the tale of Ulm? {CLEAN}"), (2, f"{CLEAN} {part} {CLEAN}"), (3, f"{CLEAN} {' '.join(long.split()[90:101])} {CLEAN}"), (4, CLEAN)], "doc long, text string")
+    items = spark.createDataFrame([(10, "Who wrote the tale of Ulm?"), (11, long)], "item long, text string")
+    for probe_windows in (10**6, 0):
+        assert {(r["doc"], r["item"]) for r in contamination.contaminated(docs, items, probe_windows=probe_windows).collect()} == {(1, 10), (2, 11)}
