@@ -1,8 +1,10 @@
 """Document fingerprints: threshold-scaled sketches.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range. Sketches of one fraction merge by union,
-and what two of them share estimates containment however unequal the documents are. A text's fingerprint is its
-sketch: base64 of the ascending, distinct 64-bit hashes, little-endian.
+A sketch keeps every shingle hash below a fraction of the hash range: a fixed one, doubled for small texts as long as
+no more than SMALL hashes are kept, so that short texts keep all. Thresholds are nested: two sketches are compared, and
+merged by union, below the smaller one, and what they share estimates containment however unequal the documents are. A
+text's fingerprint is its sketch: base64 of the ascending, distinct 64-bit hashes, little-endian, and of one zero byte
+for each doubling.
 """
 
 from __future__ import annotations
@@ -21,13 +23,25 @@ from .common import SPACES, Words, byte_table, runs, shingle_hashes, width, wind
 
 WORDS = 5
 FRACTION = 1 / 8
+#: Hashes that a sketch with a doubled fraction has at most.
+SMALL = 32
 
 
 LOWER = byte_table(SPACES, lower=True)
 
 
-def sketches(texts: pa.Array, fraction: float = FRACTION, words: int = WORDS) -> list[np.ndarray]:
-    """For each text, the distinct hashes of its word shingles below the threshold, ascending.
+def below(h: np.ndarray, fraction: float, depth: int) -> np.ndarray:
+    """The ascending hashes h below the fraction doubled `depth` times."""
+    return h[: np.searchsorted(h, np.uint64(min(int(fraction * 2**depth * 2**64), 1 << 64) - 1), side="right")]
+
+
+def deepest(fraction: float) -> int:
+    """Doublings that keep all hashes."""
+    return max(0, int(np.ceil(np.log2(1 / fraction))))
+
+
+def scaled_sketches(texts: pa.Array, fraction: float = FRACTION, words: int = WORDS, small: int = SMALL) -> list[tuple[np.ndarray, int]]:
+    """For each text, the distinct hashes of its word shingles below the threshold, ascending, and its doublings.
 
     A-Z count as a-z; words end at ASCII white space. Null and empty texts, and texts of white space, have no shingle;
     fewer words than a shingle are one shingle.
@@ -38,25 +52,46 @@ def sketches(texts: pa.Array, fraction: float = FRACTION, words: int = WORDS) ->
         every = window_hashes(found.hash, words)
         for a, b in zip(found.offsets.tolist(), found.offsets[1:].tolist()):
             h = every[a : b - words + 1] if b - a >= words else shingle_hashes(found.hash[a:b], words)
-            out.append(np.unique(h[h <= top]))
+            kept, depth = np.unique(h[h <= top]), 0
+            if len(kept) <= small:
+                h = np.unique(h)
+                for depth in range(deepest(fraction), -1, -1):
+                    kept = below(h, fraction, depth)
+                    if len(kept) <= small:
+                        break
+            out.append((kept, depth))
     return out
 
 
-def pack(hashes: np.ndarray) -> str:
-    return base64.b64encode(hashes.astype("<u8").tobytes()).decode()
+def sketches(texts: pa.Array, fraction: float = FRACTION, words: int = WORDS) -> list[np.ndarray]:
+    """The hashes of scaled_sketches."""
+    return [h for h, _ in scaled_sketches(texts, fraction, words)]
+
+
+def pack(hashes: np.ndarray, depth: int = 0) -> str:
+    return base64.b64encode(hashes.astype("<u8").tobytes() + bytes(depth)).decode()
 
 
 def unpack(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), "<u8")
+    raw = base64.b64decode(fingerprint)
+    return np.frombuffer(raw[: len(raw) - len(raw) % 8], "<u8")
+
 
+def depth_of(fingerprint: str) -> int:
+    return len(base64.b64decode(fingerprint)) % 8
 
-def merge(fingerprints: list[str]) -> str:
-    """The fingerprint of the documents' shingles together."""
-    return pack(np.unique(np.concatenate([unpack(x) for x in fingerprints]))) if fingerprints else ""
+
+def merge(fingerprints: list[str], fraction: float = FRACTION) -> str:
+    """The fingerprint of the documents' shingles together, with the fewest doublings of all."""
+    if not fingerprints:
+        return ""
+    depth = min(map(depth_of, fingerprints))
+    return pack(np.unique(np.concatenate([below(unpack(x), fraction, depth) for x in fingerprints])), depth)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of a's shingles that b has; 0 if a has none in its sketch, but 1 between equal sketches."""
+    """The share of a's shingles that b has, of sketches below one threshold; 0 if a has none there, but 1 between
+    equal sketches."""
     if len(a) == len(b) and (a == b).all():
         return 1.0
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 0.0
@@ -67,6 +102,17 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return containment(a, b) if len(a) <= len(b) else containment(b, a)
 
 
+def text_likeness(one: str, a: tuple[np.ndarray, int], two: str, b: tuple[np.ndarray, int], fraction: float, words: int) -> float:
+    """likeness of two texts by their sketches; by all their shingles, if one keeps all of its own and the other not."""
+    if a[1] == b[1]:
+        return likeness(a[0], b[0])
+    if max(a[1], b[1]) == deepest(fraction):
+        (x, _), (y, _) = scaled_sketches(pa.array([one, two], pa.large_string()), 1.0, words)
+        return likeness(x, y)
+    depth = min(a[1], b[1])
+    return likeness(below(a[0], fraction, depth), below(b[0], fraction, depth))
+
+
 def edit(text: str, following: str) -> str:
     """The last half of text replaced by as many of the first characters of what follows."""
     k = len(text) // 2
@@ -119,12 +165,12 @@ def edited_fingerprints(docs: DataFrame, fraction: float = FRACTION, words: int
         for batch in batches:
             for at, n in runs(batch.column(1)):
                 some = batch.slice(at, n)
-                rows = [*([held] if held else []), *zip(*(c.to_pylist() for c in some.columns), sketches(some.column(1), fraction, words))]
+                rows = [*([held] if held else []), *zip(*(c.to_pylist() for c in some.columns), scaled_sketches(some.column(1), fraction, words))]
                 held = rows[-1]
                 pairs = [(x, y) for x, y in zip(rows, rows[1:]) if x[2] == y[2] and not x[3]]
                 changed = [edit(x[1], y[1]) for x, y in pairs]
-                after = sketches(pa.array(changed, pa.large_string()), fraction, words)
-                out = [(x[0], len(x[1]), hashlib.sha256(c.encode()).hexdigest(), pack(x[4]), pack(z), likeness(x[4], z), likeness(x[4], y[4])) for (x, y), c, z in zip(pairs, changed, after)]
+                after = scaled_sketches(pa.array(changed, pa.large_string()), fraction, words)
+                out = [(x[0], len(x[1]), hashlib.sha256(c.encode()).hexdigest(), pack(*x[4]), pack(*z), text_likeness(x[1], x[4], c, z, fraction, words), text_likeness(x[1], x[4], y[1], y[4], fraction, words)) for (x, y), c, z in zip(pairs, changed, after)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 

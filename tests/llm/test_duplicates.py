@@ -63,6 +63,25 @@ def test_containment_of_unequal_documents():
     assert set(merged) == set(one) | set(all_)
 
 
+def test_sketches_of_short_texts(spark):
+    """Texts of up to 32 shingles are compared exactly, also with long ones; unrelated ones aren't alike."""
+    rng = random.Random(5)
+    large = prose(rng, 2000)
+    texts = [prose(rng, n) for n in (1, 2, 3, 4, 5, 6, 9, 12, 20, 30)] + [" ".join(large.split(" ")[500:512]), large, "", " ", "odd"]
+    rows = sorted(sketch.edited_fingerprints(make(spark, list(enumerate(texts)))).collect(), key=lambda r: r["doc_id"])
+    for i, r in enumerate(rows):
+        a, b = shingles(texts[i]), shingles(texts[(i + 1) % len(texts)])
+        if len(a) <= 32:
+            assert len(sketch.unpack(r["fingerprint"])) == len(a)
+        small, big = sorted((a, b), key=len)
+        want = len(small & big) / len(small) if small else float(not big)
+        assert r["near_next"] == pytest.approx(want)
+        changed = shingles(sketch.edit(texts[i], texts[(i + 1) % len(texts)]))
+        if len(a) <= 32:
+            small, big = sorted((a, changed), key=len)
+            assert r["near_edited"] == pytest.approx(len(small & big) / len(small) if small else float(not big))
+
+
 # --- SimHash
 
 
