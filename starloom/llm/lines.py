@@ -301,17 +301,43 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
                 row, key = row[kept], key[kept]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), some.column(0).take(pa.array(row)), pa.array(line_sketches(codes, offsets)[row].view(np.int64))], ["block", "h", "sketch"])
 
+    def sets_of(table: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
+        group, h, sketch = (np.asarray(table[c]) for c in (key, "h", "sketch"))
+        a, b = close_pairs(sketch.view(np.uint64), group, similarity)
+        near = np.unique(np.concatenate([a, b]))
+        _, place = np.unique(local_labels(len(h), a, b)[near], return_inverse=True)
+        total = np.zeros(place.max() + 1 if len(near) else 0, np.uint64)
+        np.add.at(total, place, mix(h[near].view(np.uint64)))
+        return total[place].view(np.int64), h[near]
+
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each group, the sets of lines that close pairs connect, under a hash of their members."""
+        """Of each block, the sets of lines that close pairs connect, under a hash of their members, each set once a
+        table; members of large blocks as they are."""
+        names = ["block", "h", "sketch", "size"]
+
+        def sets(table: pa.Table) -> pa.RecordBatch:
+            which, h = sets_of(table, "block")
+            _, first = np.unique(np.stack([which, h]), axis=1, return_index=True)
+            return pa.RecordBatch.from_arrays([pa.array(which[first]), pa.array(h[first]), pa.nulls(len(first), pa.int64()), pa.array(np.zeros(len(first), np.int64))], names)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            big = np.asarray(batch.column(3)) > bucket
+            if big.any():
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(big)).columns, names)
+            held.append(batch.filter(pa.array(~big)))
+            if sum(b.num_rows for b in held) >= 20_000:
+                table = pa.Table.from_batches(held).combine_chunks()
+                blocks = np.asarray(table["block"])
+                cut = np.flatnonzero(blocks != blocks[-1])[-1] + 1
+                yield sets(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+        if sum(b.num_rows for b in held):
+            yield sets(pa.Table.from_batches(held).combine_chunks())
+
+    def pick_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "group"):
-            group, h, sketch = (np.asarray(table[c]) for c in ("group", "h", "sketch"))
-            a, b = close_pairs(sketch.view(np.uint64), group, similarity)
-            near = np.unique(np.concatenate([a, b]))
-            label = local_labels(len(h), a, b)[near]
-            _, place = np.unique(label, return_inverse=True)
-            total = np.zeros(place.max() + 1 if len(near) else 0, np.uint64)
-            np.add.at(total, place, mix(h[near].view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(total[place].view(np.int64)), pa.array(h[near])], ["set", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in sets_of(table, "group")], ["set", "h"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "set", 4_000):
@@ -346,9 +372,12 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
             yield pa.RecordBatch.from_arrays([pa.array(h[far]), pa.array(h[roots[far]])], ["a", "b"])
 
     probed = lines.select("h", "codes").mapInArrow(probe, "block long, h long, sketch long")
-    buckets = materialise(probed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("block"))).where("size > 1"), "blocks")
-    grouped = tiled(buckets, "size", ["block"], "h", bucket)
-    sets = materialise(grouped.select("group", "h", "sketch").repartition("group").sortWithinPartitions("group", "h").mapInArrow(pick, "set long, h long").distinct(), "sets")
+    sized = probed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("block"))).where("size > 1")
+    # the window leaves the rows of a block together, so that only large blocks are dealt once more
+    picked = materialise(sized.select("block", "h", "sketch", "size").mapInArrow(pick, "block long, h long, sketch long, size long"), "blocks")
+    grouped = tiled(picked.where("size > 0"), "size", ["block"], "h", bucket).select("group", "h", "sketch")
+    tiles = grouped.repartition("group").sortWithinPartitions("group", "h").mapInArrow(pick_tiles, "set long, h long")
+    sets = materialise(picked.where("size = 0").select(F.col("block").alias("set"), "h").union(tiles).distinct(), "sets")
     return sets.join(lines.select("h", "codes"), "h").select("set", "h", "codes").repartition("set").sortWithinPartitions("set", "h").mapInArrow(verify, "a long, b long")
 
 
