@@ -1,10 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing: passages that also stand elsewhere are removed.
+"""Substring dedup by minimiser-anchored phrases, in place of greedy relative Lempel-Ziv factoring: passages that also
+stand elsewhere are removed.
 
 The reference is the whole table. Its index holds phrases: each window of WINDOW words has an anchor, the run of
 ANCHOR words in it with the least hash, and the consecutive windows with the same anchor are one phrase, whose extent
-depends on its own words only. So a document is factored by looking its phrases up among all blocks of the index (the
-index is dealt by anchor): equal phrases are long factors as a whole. Where phrases that share an anchor differ, a
-factor ends inside one; such boundary phrases are compared window by window. Equal windows have equal anchors, so
+depends on its own words only. So a document's phrases are looked up among all of the index (it is dealt by anchor):
+equal phrases are repeated as a whole. Where phrases that share an anchor differ, they are compared window by window. Equal windows have equal anchors, so
 nothing repeated is missed, and only phrases whose anchor occurs again are looked at twice.
 """
 
