@@ -24,7 +24,7 @@ LANES, STRIDE, SCALE, LOW = 32, 256, 20, np.uint64(1 << 31)
 BLOCK_TOKENS = 65_536
 #: Blocks that are coded side by side in a task: bounds its memory.
 TOGETHER = 16
-IDS = "part int, block int, start long, doc_ids array<long>, doc_tokens array<long>, ids binary"
+IDS = "part int, block int, start long, doc_ids array<long>, doc_tokens array<long>, ids binary, counts binary"
 CODED = "part int, block int, start long, doc_ids array<long>, doc_tokens array<long>, n long, crc long, states binary, places binary, words binary"
 
 
@@ -104,7 +104,10 @@ def decode_blocks(coded: list[tuple[int, bytes, bytes, bytes]], freq: np.ndarray
 
 
 def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of token ids of whole documents, in ascending (doc_id, text) order of parts and blocks. Written once."""
+    """Blocks of token ids of whole documents, in ascending (doc_id, text) order of parts and blocks. Written once.
+
+    A part's last block has the counts of all its ids (64-bit integers, by id).
+    """
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         .withColumn("row", F.monotonically_increasing_id())
@@ -116,17 +119,20 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_tokens: int
         encode = encoder(tokenizer)
         part, block, start, held = TaskContext.get().partitionId(), 0, 0, 0
         end = np.array([end_id], encode.code)
+        counts = np.zeros(max(encode.size, end_id + 1), np.int64)
         ids: list[np.ndarray] = []
         lengths: list[int] = []
         docs: list[int | None] = []
 
-        def row() -> pa.RecordBatch:
-            columns = [[part], [block], [start], [docs], [lengths], [np.concatenate(ids).tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], ["part", "block", "start", "doc_ids", "doc_tokens", "ids"])
+        def row(last: bool = False) -> pa.RecordBatch:
+            columns = [[part], [block], [start], [docs], [lengths], [np.concatenate([np.empty(0, encode.code), *ids]).tobytes()], [counts.tobytes() if last else None]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()))], ["part", "block", "start", "doc_ids", "doc_tokens", "ids", "counts"])
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for at, flat, offsets in encode.batches(batch.column(1)):
+                counts += np.bincount(flat, minlength=len(counts))
+                counts[end_id] += len(offsets) - 1
                 for i, (a, b) in enumerate(zip(offsets, offsets[1:])):
                     ids += (flat[a:b], end)
                     docs.append(keys[at + i])
@@ -135,24 +141,24 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_tokens: int
                     if held >= block_tokens:
                         yield row()
                         block, start, held, ids, lengths, docs = block + 1, start + held, 0, [], [], []
-        if docs:
-            yield row()
+        if counts.any():
+            yield row(last=True)
 
     return materialise(ordered.mapInArrow(run, IDS), "ids")
 
 
-def count_ids(blocks: DataFrame, n_ids: int, code: str) -> np.ndarray:
+def count_ids(blocks: DataFrame, n_ids: int) -> np.ndarray:
     """How often each id occurs, over all blocks: a table as long as the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_ids, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), code), minlength=n_ids)
+                total += np.frombuffer(x.as_buffer(), np.int64)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    rows = blocks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = blocks.select("counts").where("counts IS NOT NULL").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(n_ids, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -170,7 +176,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
     known = encoder(tokenizer)
     code, n_ids = known.code, max(known.size, end_id + 1)
     blocks = token_blocks(docs, tokenizer, end_id, block_tokens)
-    freq = quantise(count_ids(blocks, n_ids, code))
+    freq = quantise(count_ids(blocks, n_ids))
     spark.createDataFrame([(i, int(f), code) for i, f in enumerate(freq)], "id int, freq int, code string").coalesce(1).write.parquet(f"{path}/table")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +190,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
                 yield pa.RecordBatch.from_arrays([*some.columns[:5], *more], ["part", "block", "start", "doc_ids", "doc_tokens", "n", "crc", "states", "places", "words"])
 
     # the words are as good as random: another compression only costs time
-    blocks.mapInArrow(run, CODED).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    blocks.where(F.size("doc_ids") > 0).drop("counts").mapInArrow(run, CODED).write.option("compression", "zstd").parquet(f"{path}/blocks")
     sizes = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n"))
     # one row a part, and there are only as many parts as a shuffle has partitions
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
