@@ -47,25 +47,45 @@ def test_shards_of_little_and_uniformity(spark, none):
 TURNS = [(1, 0, "user", "hi </s>"), (1, 1, "assistant", "a &lt; [b] & </s>[INST]"), (1, 2, "user", ""), (1, 3, "assistant", None), (2, 0, "user", "alone"), (3, 0, "assistant", "first"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (4, 0, None, None), (5, 0, "assistant", "r"), (5, 0, "assistant", "r"), (6, 1, "we<ird]", "t")]
 
 
-def test_prefix_targets(spark):
-    turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumn("prompt", F.lit("clash"))
-    rows = chat.prefix_target_examples(turns).withColumn("back", chat.read_turns(F.col("prompt"))).withColumn("said", chat.unescape(F.col("target"))).collect()
+@pytest.mark.parametrize("spread", [chat.SPREAD, 7])
+def test_prefix_targets(spark, spread):
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumn("prompt", F.lit("clash")).withColumn("place", F.lit(1))
+    rows = chat.prefix_target_examples(turns, spread).withColumn("said", chat.unescape(F.col("target"))).collect()
+    tails = {r["conv_id"]: r["tail"] for r in chat.conversation_tails(turns, spread).collect()}
+    whole = {r["conv_id"]: r["prompt"] + r["target"] + r["closing"] for r in rows if r["is_last"]}
+    back = spark.createDataFrame([(c, whole.get(c, "") + t) for c, t in tails.items()], "conv_id long, whole string").withColumn("back", chat.read_turns(F.col("whole")))
+    back = {r["conv_id"]: [tuple(x) for x in r["back"]] for r in back.collect()}
     for conv in {t[0] for t in TURNS}:
         own = sorted((t for t in TURNS if t[0] == conv), key=lambda t: (t[1], t[2] or "", t[3] or ""))
         plain = [(t[2] or "", t[3] or "") for t in own]
         examples = sorted((r for r in rows if r["conv_id"] == conv), key=lambda r: r["example"])
-        assert [tuple(x) for x in examples[-1]["back"]] == plain and examples[-1]["is_last"] and examples[-1]["target"] is None
         replies = [i for i, (role, _) in enumerate(plain) if role == "assistant"]
-        assert [r["said"] for r in examples[:-1]] == [plain[i][1] for i in replies]
+        assert back[conv] == plain and tails[conv] == chat_text(plain[replies[-1] + 1 if replies else 0 :])
+        assert [r["said"] for r in examples] == [plain[i][1] for i in replies] and [r["example"] for r in examples] == list(range(len(replies)))
+        assert [r["is_last"] for r in examples] == [i == replies[-1] for i in replies]
         for r, i in zip(examples, replies):
-            before = chat_text(plain[:i])
-            assert r["prompt"] == before + f"<s>[{plain[i][0]}]" and r["closing"] == "</s>"
-    assert chat.prefix_target_examples(turns.limit(0)).count() == 0
+            assert r["prompt"] == chat_text(plain[:i]) + f"<s>[{plain[i][0]}]" and r["closing"] == "</s>"
+    assert chat.prefix_target_examples(turns.limit(0)).count() == 0 and chat.conversation_tails(turns.limit(0)).count() == 0
+
+
+def test_long_conversation(spark):
+    """10,000 turns: no row holds more than an example."""
+    turns = spark.range(10_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.col("id"), F.lit(" some words of a turn")).alias("text"))
+    got = chat.prefix_target_examples(turns).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("prompt")).alias("chars"), F.max(F.length("prompt")).alias("most")).first()
+    ends, chars, most = 0, 0, 0
+    for i in range(10_000):
+        role = "user" if i % 2 == 0 else "assistant"
+        opening, body = len(f"<s>[{role}]"), len(f"{i} some words of a turn")
+        if i % 2:
+            most = ends + opening
+            chars += most
+        ends += opening + body + 4
+    assert (got["n"], got["chars"], got["most"]) == (5_000, chars, most)
 
 
 def chat_text(plain):
     esc = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace("[", "&#91;")
-    return "".join(f"<s>[{esc(r)}]{esc(t)}</s>" for r, t in plain)
+    return "".join(f"<s>[{esc(r).replace(']', '&#93;')}]{esc(t)}</s>" for r, t in plain)
 
 
 def test_query(spark):
