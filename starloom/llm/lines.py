@@ -4,28 +4,26 @@ Lines are normalised (lower case, words and numbers only, digits as 0) and their
 all lines, rare ones first. Lines within the edit similarity share so many word pairs that they share one among the
 first of each (prefix filter, no such pair is lost): lines are joined on these, and what meets there is verified by the
 edit similarity of the word sequences. Verified lines form groups by chains; the first occurrence of a group, by
-(doc_id, row, line), stays and the others go. near_lines is the search by SimHash, which reaches a few bits only.
+(doc_id, row, line), stays and the others go. A SimHash of lines doesn't take part: one word of six or ten changes a
+fifth of its bits, far more than blocks of a pigeonhole search allow (README).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, Words, bit_counts, byte_table, bytes_array, materialise, mix, runs
+from .common import BASE, Words, byte_table, bytes_array, materialise, mix, runs, width
 from .graph import components, local_labels
-from .simhash import near_pairs, whole_groups
+from .simhash import whole_groups
 
-RADIUS, SIMILARITY, MIN_WORDS = 3, 0.8, 5
-#: Blocks of bits of six that a key takes: 32 bits.
-KEPT_BLOCKS = 3
+SIMILARITY, MIN_WORDS = 0.8, 5
 #: Lines of a bucket that are compared in one task; larger buckets are compared tile by tile.
 BUCKET = 512
 #: Bytes that end words: ASCII but for letters and digits.
@@ -33,8 +31,11 @@ MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
 NORMAL = byte_table(MARKS, lower=True, digits=True)
 #: Characters of scripts without spaces: each is a word.
 UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
-#: One line of so many, and of their word pairs at most so many, tell which pairs are common. It sets the order only.
-COMMON_LINES, COMMON_PAIRS = 16, 50_000
+#: One line of so many, and of their word pairs at most so many, tell which pairs are common: by their low bits, of so
+#: many values. It sets the order of pairs, and how common ones are dealt, only.
+COMMON_LINES, COMMON_PAIRS, RANKS = 32, 50_000, 1 << 20
+#: Rows of word pairs that a part of the key space has, about.
+PART_POSTINGS = 4_000_000
 
 
 def spaced(texts: pa.Array) -> pa.Array:
@@ -59,8 +60,8 @@ def wordless_lines(texts: pa.Array) -> tuple[list[int], list[int], list[int]]:
     return text, number, h
 
 
-def line_features(texts: pa.Array, min_words: int, code: type = np.uint8) -> tuple[np.ndarray, ...]:
-    """(text, line, hash, SimHash, words' codes, their offsets) of all lines of min_words words or more.
+def line_features(texts: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
+    """(text, line, hash, words' codes, their offsets) of all lines of min_words words or more.
 
     Words are runs of letters, digits and non-ASCII characters; A-Z and Latin-1 letters are lowered and digits are 0.
     A line's hash stands for its word sequence: lines with the same 64 bits count as equal.
@@ -74,40 +75,53 @@ def line_features(texts: pa.Array, min_words: int, code: type = np.uint8) -> tup
     place = np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n, n)
     h = words.hash[np.repeat(first, n) + place]
     if not len(h):
-        return text, line, np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, code), np.zeros(1, np.int64)
+        return text, line, np.empty(0, np.uint64), np.empty(0, np.uint16), np.zeros(1, np.int64)
     cuts = ends - n
     ordered = mix(h ^ mix((place.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)))
     whole = mix(np.bitwise_xor.reduceat(ordered, cuts) + n.astype(np.uint64))
-    pairs = mix(h * np.uint64(3) + np.r_[h[1:], np.uint64(0)])
-    ones = bit_counts(h, cuts) + bit_counts(pairs, cuts) - bit_counts(pairs[ends - 1], np.arange(len(ends)))
-    simhash = np.packbits(2 * ones > (2 * n - 1)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     number = line - np.searchsorted(words.bounds, words.text_bounds[text], side="left")
-    return text, number, whole, simhash, (h >> np.uint64(24)).astype(code), np.r_[0, ends]
+    return text, number, whole, (h >> np.uint64(24)).astype(np.uint16), np.r_[0, ends]
 
 
 def edit_similarity(a: Sequence[int], b: Sequence[int]) -> float:
-    """1 - edits / words of the longer, over sequences of word codes; the bit-vector way, a word of b at a time."""
+    """1 - edits / words of the longer, over sequences of word codes."""
+    return 1 - edits(a, b) / max(len(a), len(b)) if len(a) or len(b) else 1.0
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """a and b without the words they begin and end with alike."""
+    n = min(len(a), len(b))
+    same = a[:n] == b[:n]
+    first = n if same.all() else int(same.argmin())
+    a, b, n = a[first:], b[first:], n - first
+    same = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
+    last = n if same.all() else int(same.argmin())
+    return a[: len(a) - last].tolist(), b[: len(b) - last].tolist()
+
+
+def edits(a: Sequence[int], b: Sequence[int]) -> int:
+    """Words to insert, delete or replace; the bit-vector way, a word of the longer at a time."""
     if len(a) > len(b):
         a, b = b, a
-    if not a:
-        return 1.0 if not b else 0.0
+    if not len(a):
+        return len(b)
     where: dict[int, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
     last, full = 1 << (len(a) - 1), (1 << len(a)) - 1
-    plus, minus, edits = full, 0, len(a)
+    plus, minus, n = full, 0, len(a)
     for x in b:
         eq = where.get(x, 0)
         xv = eq | minus
         xh = (((eq & plus) + plus) ^ plus) | eq
         up, down = minus | ~(xh | plus) & full, plus & xh
         if up & last:
-            edits += 1
+            n += 1
         elif down & last:
-            edits -= 1
+            n -= 1
         up, down = (up << 1 | 1) & full, down << 1 & full
         plus, minus = down | ~(xv | up) & full, up & xv
-    return 1 - edits / len(b)
+    return n
 
 
 def line_table(docs: DataFrame, min_words: int, short: bool) -> DataFrame:
@@ -119,7 +133,7 @@ def line_table(docs: DataFrame, min_words: int, short: bool) -> DataFrame:
         for batch in batches:
             for at, n in runs(batch.column(2)):
                 some = batch.slice(at, n)
-                text, line, h, _, codes, offsets = line_features(spaced(some.column(2)), 1 if short else min_words, np.uint16)
+                text, line, h, codes, offsets = line_features(spaced(some.column(2)), 1 if short else min_words)
                 length = np.diff(offsets)
                 long = length >= min_words
                 codes, offsets = codes[np.repeat(long, length)], np.r_[0, np.cumsum(np.where(long, length, 0))]
@@ -133,15 +147,6 @@ def line_table(docs: DataFrame, min_words: int, short: bool) -> DataFrame:
     return docs.select("_row", "doc_id", "text").mapInArrow(run, "_row long, doc_id long, line int, h long, codes binary")
 
 
-def block_masks(radius: int, kept: int = KEPT_BLOCKS) -> np.ndarray:
-    """The bits of each choice of `kept` of radius + kept blocks: values within radius bits agree on one choice at
-    least. More kept blocks give longer keys, so that what shares one by chance stays rare, and more keys."""
-    n = radius + kept
-    cuts = [64 * i // n for i in range(n + 1)]
-    blocks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
-    return np.array([sum(x) for x in combinations(blocks, kept)], np.uint64)
-
-
 def tiled(rows: DataFrame, size: str, key: list[str], member: str, bucket: int) -> DataFrame:
     """rows with `group`: a bucket of at most `bucket` members, or a pair of tiles of a larger one.
 
@@ -154,59 +159,6 @@ def tiled(rows: DataFrame, size: str, key: list[str], member: str, bucket: int)
     return small.unionByName(large)
 
 
-def near_lines(lines: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
-    """lines (h, fp, codes; one row a distinct line; a written table) to links (a, b) of lines h, enough to connect
-    all that chains of verified pairs connect: SimHash within radius bits and edit similarity of at least similarity."""
-    masks = block_masks(radius)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 10_000):
-                fp = np.asarray(batch.column(0).slice(at, 10_000)).view(np.uint64)
-                for i, mask in enumerate(masks):
-                    yield pa.RecordBatch.from_arrays([pa.array(mix((fp & mask) + np.uint64(i)).view(np.int64)), pa.array(fp.view(np.int64))], ["block", "fp"])
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each group, the members near another, with the least member they are connected to there."""
-        for table in whole_groups(batches, "group"):
-            fp, group = (np.asarray(table[c]) for c in ("fp", "group"))
-            a, b = near_pairs(fp.view(np.uint64), group, radius)
-            label = local_labels(len(fp), a, b)
-            near = np.unique(np.concatenate([a, b]))
-            yield pa.RecordBatch.from_arrays([pa.array(fp[near]), pa.array(fp[label[near]])], ["a", "b"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "group", 4_000):
-            group, h, fp = (np.asarray(table[c]) for c in ("group", "h", "fp"))
-            codes = table["codes"].to_pylist()
-            parent = list(range(len(h)))
-
-            def find(i: int) -> int:
-                while parent[i] != i:
-                    parent[i] = i = parent[parent[i]]
-                return i
-
-            for i, j in zip(*(x.tolist() for x in near_pairs(fp.view(np.uint64), group, radius))):
-                if (p := find(i)) != (q := find(j)) and edit_similarity(codes[i], codes[j]) >= similarity:
-                    parent[max(p, q)] = min(p, q)
-            roots = np.array([find(i) for i in range(len(h))], np.int64)
-            far = np.flatnonzero(roots != np.arange(len(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(h[far]), pa.array(h[roots[far]])], ["a", "b"])
-
-    blocks = lines.select("fp").distinct().mapInArrow(probe, "block long, fp long")
-    buckets = materialise(blocks.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("block"))).where("size > 1"), "blocks")
-    grouped = tiled(buckets, "size", ["block"], "fp", bucket)
-    links = materialise(grouped.select("group", "fp").repartition("group").sortWithinPartitions("group").mapInArrow(pick, "a long, b long").distinct(), "near")
-    # chains of near SimHashes, and with them all lines of one SimHash: the lines to verify, without their pairs
-    chain = components(links.where("a <> b")).select(F.col("node").alias("fp"), F.col("component").alias("chain"))
-    shared = lines.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    wanted = shared.join(chain, "fp", "full").select("fp", F.coalesce("chain", "fp").alias("chain"))
-    members = materialise(lines.join(wanted, "fp").select("chain", "h", "fp", "codes"), "members")
-    small = members.groupBy("chain").agg(F.count(F.lit(1)).alias("size"))
-    whole = tiled(members.join(small, "chain"), "size", ["chain"], "h", bucket)
-    return whole.select("group", "h", "fp", "codes").repartition("group").sortWithinPartitions("group", "h").mapInArrow(verify, "a long, b long")
-
-
 def most_edits(n: np.ndarray | int, similarity: float) -> np.ndarray:
     """Edits that lines within the similarity have at most, the longer of n words."""
     return np.floor((1 - similarity) * np.asarray(n) + 1e-9).astype(np.int64)
@@ -230,114 +182,154 @@ def code_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_pairs(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the pairs of words that follow each other."""
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    """(row, 40 bits) of the pairs of words that follow each other. Pairs with the same bits count as equal."""
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
     inside = np.flatnonzero(row[1:] == row[:-1])
     wide = codes.astype(np.uint64)
-    return row[inside], mix((wide[inside] << np.uint64(16)) + wide[inside + 1] + np.uint64(1))
+    return row[inside], mix((wide[inside] << np.uint64(16)) + wide[inside + 1] + np.uint64(1)) >> np.uint64(24)
 
 
-def line_sketches(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """48 parities of the words' codes and, in the low 16 bits, the words of each row: an edit changes two parities at
-    most. No row is empty."""
-    bit = np.uint64(1) << (np.uint64(16) + mix(codes.astype(np.uint64) + np.uint64(9)) % np.uint64(48))
-    return np.bitwise_xor.reduceat(bit, offsets[:-1]) | np.minimum(np.diff(offsets), 65535).astype(np.uint64)
+def common_pairs(lines: DataFrame) -> np.ndarray:
+    """For each value of the low bits of a word pair, 8 log2 of how often it is common among a part of the lines, 0 if
+    it isn't: one byte each, whatever the size of the table."""
 
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(word_pairs(*code_arrays(batch.column(0)))[1] & np.uint64(RANKS - 1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["pair", "n"])
 
-def close_pairs(sketch: np.ndarray, group: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j), i < j, of rows of one group whose sketches don't rule the similarity out."""
-    n = (sketch & np.uint64(65535)).astype(np.int64)
-    parity, most = sketch >> np.uint64(16), most_edits(n, similarity)
-    left, right, place = [], [], np.arange(len(sketch))
-    for shift in range(1, len(sketch)):
-        place = place[: np.searchsorted(place, len(sketch) - shift)]
+    sample = lines.where(F.pmod("h", F.lit(COMMON_LINES)) == 0).select("codes").mapInArrow(counts, "pair long, n long")
+    top = sample.groupBy("pair").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "pair").limit(COMMON_PAIRS).collect()
+    out = np.zeros(RANKS, np.uint8)
+    for r in top:
+        out[r["pair"]] = min(255, int(8 * np.log2(r["n"])))
+    return out
+
+
+def rare_pairs(codes: np.ndarray, offsets: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """(row, key, how common) of each row's first word pairs, rare ones first. At most 4096 rows."""
+    row, pair = word_pairs(codes, offsets)
+    rank = common[pair & np.uint64(RANKS - 1)].astype(np.uint64)
+    # one number each: row, rank and pair, as bits
+    value = np.sort((row << np.uint64(52)) | (rank << np.uint64(40)) | pair)
+    row = (value >> np.uint64(52)).astype(np.int64)
+    # a pair's repeats in a line are told apart by number
+    new = np.flatnonzero(np.r_[True, value[1:] != value[:-1]][: len(value)])
+    nth = np.arange(len(value)) - np.repeat(new, np.diff(np.r_[new, len(value)]))
+    n = np.diff(offsets)
+    sizes, which = np.unique(n, return_inverse=True)
+    first = np.array([prefix_length(x, similarity) for x in sizes.tolist()], np.int64)[which]
+    at = np.cumsum(n - 1) - (n - 1)
+    kept = np.flatnonzero(np.arange(len(row)) - at[row] < first[row])
+    value = value[kept]
+    key = mix((value & np.uint64((1 << 40) - 1)) + nth[kept].astype(np.uint64) * np.uint64(BASE))
+    return row[kept], key, (value >> np.uint64(40)).astype(np.uint8)
+
+
+def close_pairs(n: np.ndarray, group: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of rows of one group whose lengths don't rule the similarity out."""
+    most = most_edits(n, similarity)
+    left, right, place = [], [], np.arange(len(n))
+    for shift in range(1, len(n)):
+        place = place[: np.searchsorted(place, len(n) - shift)]
         place = place[group[place] == group[place + shift]]
         if not len(place):
             break
-        edits = np.maximum(most[place], most[place + shift])
-        near = place[(np.abs(n[place] - n[place + shift]) <= edits) & (np.bitwise_count(parity[place] ^ parity[place + shift]) <= 2 * edits)]
+        near = place[np.abs(n[place] - n[place + shift]) <= np.maximum(most[place], most[place + shift])]
         left.append(near)
         right.append(near + shift)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
-def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
-    """lines (h, codes of 16 bits, five words at least; one row a distinct line; a written table) to links (a, b) of
-    lines h that connect all that chains of pairs of at least this edit similarity (0.7 or more) connect."""
+def packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, n = np.unique(word_pairs(*code_arrays(batch.column(0)))[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["pair", "n"])
 
-    sample = lines.where(F.pmod("h", F.lit(COMMON_LINES)) == 0).select("codes").mapInArrow(counts, "pair long, n long")
-    top = sample.groupBy("pair").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "pair").limit(COMMON_PAIRS).collect()
-    common = np.array([r["pair"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(common)
-    common, often = common[order], np.array([r["n"] for r in top], np.int64)[order]
+def unpacked(column: pa.ChunkedArray, n: list[int], kind: type) -> list[np.ndarray]:
+    size = np.dtype(kind).itemsize
+    return [np.frombuffer(pa.decompress(x.as_buffer(), decompressed_size=size * k, codec="zstd"), kind) for x, k in zip(column, n)]
+
+
+def postings(lines: DataFrame, parts: int, similarity: float, bucket: int) -> DataFrame:
+    """lines (id, codes) to their rare word pairs: a row for each part of the key space and up to 4096 lines, with the
+    keys' 32 other bits, the lines' ids (as steps) and lengths.
+
+    Pairs that a sample shows in more lines than a bucket has are dealt at once to pairs of tiles of their lines.
+    """
+    common = common_pairs(lines)
+    # tiles of a pair of a rank, each of half a bucket, if all lines are as the sample
+    tiles = np.maximum(1, np.ceil(COMMON_LINES * 2 ** (np.arange(256) / 8) / (bucket / 2))).astype(np.int64)
+    tiles[(tiles <= 2) | (np.arange(256) == 0)] = 1
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 5_000):
-                some = batch.slice(at, 5_000)
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
                 codes, offsets = code_arrays(some.column(1))
-                row, pair = word_pairs(codes, offsets)
-                by = np.lexsort((pair, row))
-                row, pair = row[by], pair[by]
-                # a pair's repeats in a line are told apart by number
-                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])])
-                nth = np.arange(len(row)) - np.repeat(new, np.diff(np.r_[new, len(row)]))
-                rank = np.zeros(len(row), np.int64)
-                if len(common):
-                    found = np.minimum(np.searchsorted(common, pair), len(common) - 1)
-                    rank = np.where(common[found] == pair, often[found], 0)
-                key = mix(pair + nth.astype(np.uint64) * np.uint64(BASE))
-                by = np.lexsort((key, rank, row))
-                row, key = row[by], key[by]
-                n = np.diff(offsets)
-                sizes, which = np.unique(n, return_inverse=True)
-                first = np.array([prefix_length(x, similarity) for x in sizes.tolist()])[which]
-                kept = np.arange(len(row)) - np.searchsorted(row, row) < first[row]
-                row, key = row[kept], key[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), some.column(0).take(pa.array(row)), pa.array(line_sketches(codes, offsets)[row].view(np.int64))], ["block", "h", "sketch"])
-
-    def sets_of(table: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
-        group, h, sketch = (np.asarray(table[c]) for c in (key, "h", "sketch"))
-        a, b = close_pairs(sketch.view(np.uint64), group, similarity)
+                ids, n = np.asarray(some.column(0)), np.diff(offsets)
+                row, key, rank = rare_pairs(codes, offsets, common, similarity)
+                copies = tiles[rank]
+                if (copies > 1).any():
+                    mine = (mix(ids[row].view(np.uint64)) % copies.astype(np.uint64)).astype(np.int64)
+                    nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                    mine, row, key, copies = (np.repeat(x, copies) for x in (mine, row, key, copies))
+                    pair = (np.minimum(mine, nth) << 32 | np.maximum(mine, nth)).astype(np.uint64)
+                    key = np.where(copies > 1, mix(key ^ mix(pair + np.uint64(1))), key)
+                part = (key & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
+                by = np.argsort(part, kind="stable")
+                part, row, block = part[by].astype(np.int32), row[by], (key[by] >> np.uint64(32)).astype(np.uint32)
+                cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+                each = [(block[a:b], np.diff(ids[row[a:b]], prepend=0), n[row[a:b]].astype(np.int32)) for a, b in zip(cuts, cuts[1:])]
+                columns = [pa.array(part[cuts[:-1]]), pa.array(np.diff(cuts)), *(pa.array([x[0].tobytes() if c == 0 else packed(x[c]) for x in each], pa.binary()) for c in range(3))]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "n", "blocks", "ids", "words"])
+
+    return lines.select("id", "codes").mapInArrow(run, "part int, n long, blocks binary, ids binary, words binary")
+
+
+def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET, per_part: int = PART_POSTINGS) -> DataFrame:
+    """lines (id, h, codes of 16 bits, five words at least; one row a distinct line; a written table) to links (a, b)
+    of lines h that connect all that chains of pairs of at least this edit similarity (0.7 or more) connect."""
+
+    def sets_of(group: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets of lines that close pairs of a group connect, under a hash of their members, each set once."""
+        a, b = close_pairs(n, group, similarity)
         near = np.unique(np.concatenate([a, b]))
-        _, place = np.unique(local_labels(len(h), a, b)[near], return_inverse=True)
+        _, place = np.unique(local_labels(len(ids), a, b)[near], return_inverse=True)
         total = np.zeros(place.max() + 1 if len(near) else 0, np.uint64)
-        np.add.at(total, place, mix(h[near].view(np.uint64)))
-        return total[place].view(np.int64), h[near]
+        np.add.at(total, place, mix(ids[near].view(np.uint64)))
+        whole = total[place].view(np.int64)
+        by = np.lexsort((ids[near], whole))
+        whole, member = whole[by], ids[near][by]
+        new = np.r_[True, (whole[1:] != whole[:-1]) | (member[1:] != member[:-1])][: len(whole)]
+        return whole[new], member[new]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each block, the sets of lines that close pairs connect, under a hash of their members, each set once a
-        table; members of large blocks as they are."""
-        names = ["block", "h", "sketch", "size"]
-
-        def sets(table: pa.Table) -> pa.RecordBatch:
-            which, h = sets_of(table, "block")
-            _, first = np.unique(np.stack([which, h]), axis=1, return_index=True)
-            return pa.RecordBatch.from_arrays([pa.array(which[first]), pa.array(h[first]), pa.nulls(len(first), pa.int64()), pa.array(np.zeros(len(first), np.int64))], names)
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            big = np.asarray(batch.column(3)) > bucket
-            if big.any():
-                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(big)).columns, names)
-            held.append(batch.filter(pa.array(~big)))
-            if sum(b.num_rows for b in held) >= 20_000:
-                table = pa.Table.from_batches(held).combine_chunks()
-                blocks = np.asarray(table["block"])
-                cut = np.flatnonzero(blocks != blocks[-1])[-1] + 1
-                yield sets(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-        if sum(b.num_rows for b in held):
-            yield sets(pa.Table.from_batches(held).combine_chunks())
+        """The sets of each part's groups (size 0); members of large groups as they are."""
+        for table in whole_groups(batches, "part", 1):
+            part, count = np.asarray(table["part"]), table["n"].to_pylist()
+            for one in np.unique(part).tolist():
+                here = pa.array(np.flatnonzero(part == one))
+                some, k = table.take(here), [count[i] for i in here.to_pylist()]
+                block = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in some["blocks"]])
+                by = np.argsort(block, kind="stable")
+                block = block[by]
+                start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+                size = np.repeat(np.diff(np.r_[start, len(block)]), np.diff(np.r_[start, len(block)]))
+                shared = np.flatnonzero(size > 1)
+                by, block, size = by[shared], block[shared].astype(np.int64), size[shared]
+                ids = np.concatenate([np.cumsum(x) for x in unpacked(some["ids"], k, np.int64)])[by]
+                n = np.concatenate(unpacked(some["words"], k, np.int32))[by].astype(np.int64)
+                small = size <= bucket
+                whole, member = sets_of(block[small], ids[small], n[small])
+                yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(member), pa.nulls(len(whole), pa.int64()), pa.array(np.zeros(len(whole), np.int64))], ["block", "id", "words", "size"])
+                if not small.all():
+                    large = ~small
+                    yield pa.RecordBatch.from_arrays([pa.array((one << 32) + block[large]), pa.array(ids[large]), pa.array(n[large]), pa.array(size[large])], ["block", "id", "words", "size"])
 
     def pick_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "group"):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in sets_of(table, "group")], ["set", "h"])
+            found = sets_of(*(np.asarray(table[c]) for c in ("group", "id", "words")))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["set", "id"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "set", 4_000):
@@ -358,27 +350,33 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
                     bags[i] = np.bincount(line(i) & 255, minlength=256)
                 return bags[i]
 
-            for i, j in zip(*(x.tolist() for x in close_pairs(line_sketches(codes, offsets), group, similarity))):
+            def near(i: int, j: int) -> bool:
+                most = int(most_edits(max(n[i], n[j]), similarity))
+                a, b = differing(line(i), line(j))
+                if max(len(a), len(b)) <= most:
+                    return True
+                return bool(np.abs(bag(i) - bag(j)).sum() <= 2 * most) and edits(a, b) <= most
+
+            for i, j in zip(*(x.tolist() for x in close_pairs(n, group, similarity))):
                 if (p := find(i)) == (q := find(j)):
                     continue
                 pair = (h[i], h[j])
                 if pair not in said:
-                    few = np.abs(bag(i) - bag(j)).sum() <= 2 * most_edits(max(n[i], n[j]), similarity)
-                    said[pair] = bool(few) and edit_similarity(line(i).tolist(), line(j).tolist()) >= similarity - 1e-9
+                    said[pair] = near(i, j)
                 if said[pair]:
                     parent[max(p, q)] = min(p, q)
             roots = np.array([find(i) for i in range(len(h))], np.int64)
             far = np.flatnonzero(roots != np.arange(len(h)))
             yield pa.RecordBatch.from_arrays([pa.array(h[far]), pa.array(h[roots[far]])], ["a", "b"])
 
-    probed = lines.select("h", "codes").mapInArrow(probe, "block long, h long, sketch long")
-    sized = probed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("block"))).where("size > 1")
-    # the window leaves the rows of a block together, so that only large blocks are dealt once more
-    picked = materialise(sized.select("block", "h", "sketch", "size").mapInArrow(pick, "block long, h long, sketch long, size long"), "blocks")
-    grouped = tiled(picked.where("size > 0"), "size", ["block"], "h", bucket).select("group", "h", "sketch")
-    tiles = grouped.repartition("group").sortWithinPartitions("group", "h").mapInArrow(pick_tiles, "set long, h long")
-    sets = materialise(picked.where("size = 0").select(F.col("block").alias("set"), "h").union(tiles).distinct(), "sets")
-    return sets.join(lines.select("h", "codes"), "h").select("set", "h", "codes").repartition("set").sortWithinPartitions("set", "h").mapInArrow(verify, "a long, b long")
+    words = lines.agg(F.sum(F.length("codes")).alias("n")).first()["n"] or 0
+    parts = max(width(lines.sparkSession), int(words / 2 * 2 * (1 - similarity) / per_part) + 1)
+    dealt = postings(lines, parts, similarity, bucket).repartition(parts, "part").sortWithinPartitions("part")
+    picked = materialise(dealt.mapInArrow(pick, "block long, id long, words long, size long"), "blocks")
+    grouped = tiled(picked.where("size > 0"), "size", ["block"], "id", bucket).select("group", "id", "words")
+    tiles = grouped.repartition("group").sortWithinPartitions("group", "id").mapInArrow(pick_tiles, "set long, id long")
+    sets = materialise(picked.where("size = 0").select(F.col("block").alias("set"), "id").union(tiles).distinct(), "sets")
+    return sets.join(lines.select("id", "h", "codes"), "id").select("set", "h", "codes").repartition("set").sortWithinPartitions("set", "h").mapInArrow(verify, "a long, b long")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
@@ -392,8 +390,9 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int
     """
     numbered = docs.drop("n_lines", "n_removed").withColumn("_row", F.monotonically_increasing_id())
     lines = materialise(line_table(numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words, short), "lines")
-    distinct = materialise(lines.groupBy("h").agg(F.min("codes").alias("codes"), F.min(F.struct("doc_id", "_row", "line")).alias("at"), F.count(F.lit(1)).alias("uses")), "distinct")
-    groups = components(similar_lines(distinct.where("length(codes) > 0").select("h", "codes"), similarity)).select(F.col("node").alias("h"), "component")
+    distinct = lines.groupBy("h").agg(F.min("codes").alias("codes"), F.min(F.struct("doc_id", "_row", "line")).alias("at"), F.count(F.lit(1)).alias("uses"))
+    distinct = materialise(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    groups = components(similar_lines(distinct.where("length(codes) > 0").select("id", "h", "codes"), similarity)).select(F.col("node").alias("h"), "component")
     named = materialise(distinct.join(groups, "h", "left").select("h", "at", "uses", F.coalesce("component", "h").alias("component")), "named")
     kept = named.groupBy("component").agg(F.min("at").alias("keep"), F.sum("uses").alias("total")).where("total > 1")
     by_line = named.join(kept, "component").select("h", "keep")
