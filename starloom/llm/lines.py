@@ -31,9 +31,11 @@ MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
 NORMAL = byte_table(MARKS, lower=True, digits=True)
 #: Characters of scripts without spaces: each is a word.
 UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
-#: One line of so many, and of their word pairs at most so many, tell which pairs are common: by their low bits, of so
-#: many values. It sets the order of pairs, and how common ones are dealt, only.
-COMMON_LINES, COMMON_PAIRS, RANKS = 32, 50_000, 1 << 20
+#: Values, at most, of the table that tells which word pairs are common. It sets the order of pairs, and how common
+#: ones are dealt, only.
+RANKS = 1 << 24
+#: Members of a group that gives its pairs one by one.
+FEW = 16
 #: Rows of word pairs that a part of the key space has, about.
 PART_POSTINGS = 4_000_000
 
@@ -189,27 +191,46 @@ def word_pairs(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return row[inside], mix((wide[inside] << np.uint64(16)) + wide[inside + 1] + np.uint64(1)) >> np.uint64(24)
 
 
-def common_pairs(lines: DataFrame) -> np.ndarray:
-    """For each value of the low bits of a word pair, 8 log2 of how often it is common among a part of the lines, 0 if
-    it isn't: one byte each, whatever the size of the table."""
+def pair_counts(lines: DataFrame, pairs: int) -> np.ndarray:
+    """For each value of the low bits of a word pair, 8 log2 of how often it occurs in all lines, plus 1; 0 if never.
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    One byte each, for at most RANKS values: a table of bounded size, whatever the lines."""
+    size = 1 << min(max((pairs // 2).bit_length(), 20), RANKS.bit_length() - 1)
+    slice_ = 1 << 16
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.uint32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                np.add.at(total, (word_pairs(*code_arrays(batch.column(0).slice(at, 4096)))[1] & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
+        for i, some in enumerate(total.reshape(-1, slice_)):
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed(some)], pa.binary())], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(slice_, np.int64)
+        ranks = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.where(total > 0, np.minimum(255, 1 + 8 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8).tobytes()], pa.binary())], ["slice", "ranks"])
         for batch in batches:
-            found, n = np.unique(word_pairs(*code_arrays(batch.column(0)))[1] & np.uint64(RANKS - 1), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["pair", "n"])
-
-    sample = lines.where(F.pmod("h", F.lit(COMMON_LINES)) == 0).select("codes").mapInArrow(counts, "pair long, n long")
-    top = sample.groupBy("pair").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "pair").limit(COMMON_PAIRS).collect()
-    out = np.zeros(RANKS, np.uint8)
-    for r in top:
-        out[r["pair"]] = min(255, int(8 * np.log2(r["n"])))
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if i != now:
+                    if now is not None:
+                        yield ranks()
+                    now, total = i, np.zeros(slice_, np.int64)
+                total += np.frombuffer(pa.decompress(x.as_buffer(), decompressed_size=4 * slice_, codec="zstd"), np.uint32)
+        if now is not None:
+            yield ranks()
+
+    counted = lines.select("codes").mapInArrow(count, "slice int, counts binary")
+    out = np.zeros(size, np.uint8)
+    for r in counted.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, ranks binary").collect():
+        out[r["slice"] * slice_ : (r["slice"] + 1) * slice_] = np.frombuffer(r["ranks"], np.uint8)
     return out
 
 
 def rare_pairs(codes: np.ndarray, offsets: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
     """(row, key, how common) of each row's first word pairs, rare ones first. At most 4096 rows."""
     row, pair = word_pairs(codes, offsets)
-    rank = common[pair & np.uint64(RANKS - 1)].astype(np.uint64)
+    rank = common[pair & np.uint64(len(common) - 1)].astype(np.uint64)
     # one number each: row, rank and pair, as bits
     value = np.sort((row << np.uint64(52)) | (rank << np.uint64(40)) | pair)
     row = (value >> np.uint64(52)).astype(np.int64)
@@ -226,8 +247,16 @@ def rare_pairs(codes: np.ndarray, offsets: np.ndarray, common: np.ndarray, simil
     return row[kept], key, (value >> np.uint64(40)).astype(np.uint8)
 
 
-def close_pairs(n: np.ndarray, group: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j), i < j, of rows of one group whose lengths don't rule the similarity out."""
+def parities(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128 parities of each row's codes, as two integers: an edit changes two of them at most. No row is empty."""
+    place = mix(codes.astype(np.uint64) + np.uint64(9)) % np.uint64(128)
+    bit = np.uint64(1) << (place % np.uint64(64))
+    low = np.bitwise_xor.reduceat(np.where(place < 64, bit, np.uint64(0)), offsets[:-1])
+    return np.stack([low, np.bitwise_xor.reduceat(np.where(place < 64, np.uint64(0), bit), offsets[:-1])])
+
+
+def close_pairs(n: np.ndarray, group: np.ndarray, similarity: float, parity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of rows of one group whose lengths, and parities if given, don't rule the similarity out."""
     most = most_edits(n, similarity)
     left, right, place = [], [], np.arange(len(n))
     for shift in range(1, len(n)):
@@ -235,9 +264,12 @@ def close_pairs(n: np.ndarray, group: np.ndarray, similarity: float) -> tuple[np
         place = place[group[place] == group[place + shift]]
         if not len(place):
             break
-        near = place[np.abs(n[place] - n[place + shift]) <= np.maximum(most[place], most[place + shift])]
-        left.append(near)
-        right.append(near + shift)
+        edits = np.maximum(most[place], most[place + shift])
+        near = np.abs(n[place] - n[place + shift]) <= edits
+        if parity is not None:
+            near &= np.bitwise_count(parity[:, place] ^ parity[:, place + shift]).sum(axis=0) <= 2 * edits
+        left.append(place[near])
+        right.append(place[near] + shift)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
@@ -250,16 +282,16 @@ def unpacked(column: pa.ChunkedArray, n: list[int], kind: type) -> list[np.ndarr
     return [np.frombuffer(pa.decompress(x.as_buffer(), decompressed_size=size * k, codec="zstd"), kind) for x, k in zip(column, n)]
 
 
-def postings(lines: DataFrame, parts: int, similarity: float, bucket: int) -> DataFrame:
+def postings(lines: DataFrame, pairs: int, parts: int, similarity: float, bucket: int) -> DataFrame:
     """lines (id, codes) to their rare word pairs: a row for each part of the key space and up to 4096 lines, with the
     keys' 32 other bits, the lines' ids (as steps) and lengths.
 
-    Pairs that a sample shows in more lines than a bucket has are dealt at once to pairs of tiles of their lines.
+    A pair that stands out by its count, more than a bucket holds, is dealt at once to pairs of tiles of its lines.
     """
-    common = common_pairs(lines)
-    # tiles of a pair of a rank, each of half a bucket, if all lines are as the sample
-    tiles = np.maximum(1, np.ceil(COMMON_LINES * 2 ** (np.arange(256) / 8) / (bucket / 2))).astype(np.int64)
-    tiles[(tiles <= 2) | (np.arange(256) == 0)] = 1
+    common = pair_counts(lines, pairs)
+    usual = pairs / len(common)  # what any value of the low bits has
+    counted = 2 ** ((np.arange(256) - 1) / 8)
+    tiles = np.where((counted > bucket) & (counted > 8 * usual), np.ceil((counted - usual) / (bucket / 2)), 1).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,15 +323,23 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
     of lines h that connect all that chains of pairs of at least this edit similarity (0.7 or more) connect."""
 
     def sets_of(group: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The sets of lines that close pairs of a group connect, under a hash of their members, each set once."""
+        """The sets of lines that close pairs of a group connect, under a hash of their members, each set once. Groups
+        of FEW members give each pair as a set, as these repeat from group to group."""
         a, b = close_pairs(n, group, similarity)
+        size = np.diff(np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])) if len(group) else np.empty(0, np.int64)
+        few = np.repeat(size, size) <= FEW
+        low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        pairs = np.unique(np.stack([low, high])[:, few[a]], axis=1)
+        a, b = a[~few[a]], b[~few[a]]
         near = np.unique(np.concatenate([a, b]))
         _, place = np.unique(local_labels(len(ids), a, b)[near], return_inverse=True)
         total = np.zeros(place.max() + 1 if len(near) else 0, np.uint64)
         np.add.at(total, place, mix(ids[near].view(np.uint64)))
-        whole = total[place].view(np.int64)
-        by = np.lexsort((ids[near], whole))
-        whole, member = whole[by], ids[near][by]
+        of_pair = (mix(pairs[0].view(np.uint64)) + mix(pairs[1].view(np.uint64))).view(np.int64)
+        whole = np.concatenate([of_pair, of_pair, total[place].view(np.int64)])
+        member = np.concatenate([pairs[0], pairs[1], ids[near]])
+        by = np.lexsort((member, whole))
+        whole, member = whole[by], member[by]
         new = np.r_[True, (whole[1:] != whole[:-1]) | (member[1:] != member[:-1])][: len(whole)]
         return whole[new], member[new]
 
@@ -335,7 +375,7 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
         for table in whole_groups(batches, "set", 4_000):
             group, h = (np.asarray(table[c]) for c in ("set", "h"))
             codes, offsets = code_arrays(table["codes"].combine_chunks())
-            n, parent, said, bags = np.diff(offsets), list(range(len(h))), {}, {}
+            n, parent, said = np.diff(offsets), list(range(len(h))), {}
 
             def find(i: int) -> int:
                 while parent[i] != i:
@@ -345,19 +385,12 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
             def line(i: int) -> np.ndarray:
                 return codes[offsets[i] : offsets[i + 1]]
 
-            def bag(i: int) -> np.ndarray:
-                if i not in bags:
-                    bags[i] = np.bincount(line(i) & 255, minlength=256)
-                return bags[i]
-
             def near(i: int, j: int) -> bool:
                 most = int(most_edits(max(n[i], n[j]), similarity))
                 a, b = differing(line(i), line(j))
-                if max(len(a), len(b)) <= most:
-                    return True
-                return bool(np.abs(bag(i) - bag(j)).sum() <= 2 * most) and edits(a, b) <= most
+                return max(len(a), len(b)) <= most or edits(a, b) <= most
 
-            for i, j in zip(*(x.tolist() for x in close_pairs(n, group, similarity))):
+            for i, j in zip(*(x.tolist() for x in close_pairs(n, group, similarity, parities(codes, offsets)))):
                 if (p := find(i)) == (q := find(j)):
                     continue
                 pair = (h[i], h[j])
@@ -369,9 +402,9 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
             far = np.flatnonzero(roots != np.arange(len(h)))
             yield pa.RecordBatch.from_arrays([pa.array(h[far]), pa.array(h[roots[far]])], ["a", "b"])
 
-    words = lines.agg(F.sum(F.length("codes")).alias("n")).first()["n"] or 0
-    parts = max(width(lines.sparkSession), int(words / 2 * 2 * (1 - similarity) / per_part) + 1)
-    dealt = postings(lines, parts, similarity, bucket).repartition(parts, "part").sortWithinPartitions("part")
+    pairs = (lines.agg(F.sum(F.length("codes")).alias("n")).first()["n"] or 0) // 2
+    parts = max(width(lines.sparkSession), int(pairs * 2 * (1 - similarity) / per_part) + 1)
+    dealt = postings(lines, pairs, parts, similarity, bucket).repartition(parts, "part").sortWithinPartitions("part")
     picked = materialise(dealt.mapInArrow(pick, "block long, id long, words long, size long"), "blocks")
     grouped = tiled(picked.where("size > 0"), "size", ["block"], "id", bucket).select("group", "id", "words")
     tiles = grouped.repartition("group").sortWithinPartitions("group", "id").mapInArrow(pick_tiles, "set long, id long")
