@@ -282,16 +282,17 @@ def unpacked(column: pa.ChunkedArray, n: list[int], kind: type) -> list[np.ndarr
     return [np.frombuffer(pa.decompress(x.as_buffer(), decompressed_size=size * k, codec="zstd"), kind) for x, k in zip(column, n)]
 
 
-def postings(lines: DataFrame, pairs: int, parts: int, similarity: float, bucket: int) -> DataFrame:
+def postings(lines: DataFrame, pairs: int, parts: int, similarity: float, bucket: int, per_piece: int) -> DataFrame:
     """lines (id, codes) to their rare word pairs: a row for each part of the key space and up to 4096 lines, with the
     keys' 32 other bits, the lines' ids (as steps) and lengths.
 
-    A pair that stands out by its count, more than a bucket holds, is dealt at once to pairs of tiles of its lines.
+    A pair that stands out by its count, more than a bucket holds, is dealt over several parts by line: `parts` times
+    the number of its piece is added to the part.
     """
     common = pair_counts(lines, pairs)
     usual = pairs / len(common)  # what any value of the low bits has
     counted = 2 ** ((np.arange(256) - 1) / 8)
-    tiles = np.where((counted > bucket) & (counted > 8 * usual), np.ceil((counted - usual) / (bucket / 2)), 1).astype(np.int64)
+    pieces = np.where((counted > bucket) & (counted > 8 * usual), 1 + np.ceil(counted / per_piece), 0).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,14 +301,9 @@ def postings(lines: DataFrame, pairs: int, parts: int, similarity: float, bucket
                 codes, offsets = code_arrays(some.column(1))
                 ids, n = np.asarray(some.column(0)), np.diff(offsets)
                 row, key, rank = rare_pairs(codes, offsets, common, similarity)
-                copies = tiles[rank]
-                if (copies > 1).any():
-                    mine = (mix(ids[row].view(np.uint64)) % copies.astype(np.uint64)).astype(np.int64)
-                    nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-                    mine, row, key, copies = (np.repeat(x, copies) for x in (mine, row, key, copies))
-                    pair = (np.minimum(mine, nth) << 32 | np.maximum(mine, nth)).astype(np.uint64)
-                    key = np.where(copies > 1, mix(key ^ mix(pair + np.uint64(1))), key)
                 part = (key & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
+                hot = np.flatnonzero(pieces[rank])
+                part[hot] += np.uint64(parts) * (1 + mix(ids[row[hot]].view(np.uint64)) % pieces[rank[hot]].astype(np.uint64))
                 by = np.argsort(part, kind="stable")
                 part, row, block = part[by].astype(np.int32), row[by], (key[by] >> np.uint64(32)).astype(np.uint32)
                 cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
@@ -318,14 +314,59 @@ def postings(lines: DataFrame, pairs: int, parts: int, similarity: float, bucket
     return lines.select("id", "codes").mapInArrow(run, "part int, n long, blocks binary, ids binary, words binary")
 
 
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two lines' codes are within the similarity."""
+    most = int(most_edits(max(len(a), len(b)), similarity))
+    if len(a) == len(b) and np.count_nonzero(a != b) <= most:
+        return True
+    a, b = differing(a, b)
+    return max(len(a), len(b)) <= most or edits(a, b) <= most
+
+
+def star_links(large: DataFrame, lines: DataFrame, similarity: float, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Of groups with many members (block, id, words; a written table), the links (a, b) of lines h between members
+    and their group's least id; and as (group, id, words, known), in groups of at most about `bucket` members each,
+    what is left to compare: members that those links don't connect with the least one, with all others of their group.
+    """
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (a, i), (b, j) = (code_arrays(batch.column(batch.schema.get_field_index(c))) for c in ("codes", "pivot_codes"))
+            near = [similar(a[i[k] : i[k + 1]], b[j[k] : j[k + 1]], similarity) for k in range(batch.num_rows)]
+            yield batch.select(["id", "pivot", "h", "pivot_h"]).filter(pa.array(near, pa.bool_()))
+
+    least = materialise(large.groupBy("block").agg(F.min("id").alias("pivot")), "pivots")
+    star = large.join(least, "block").where("id <> pivot").select("id", "pivot").distinct()
+    pivots = materialise(lines.join(least.select(F.col("pivot").alias("id")).distinct(), "id").select(F.col("id").alias("pivot"), F.col("h").alias("pivot_h"), F.col("codes").alias("pivot_codes")), "pivot-lines")
+    near = star.join(lines.select("id", "h", "codes"), "id").join(pivots, "pivot").select("id", "pivot", "h", "pivot_h", "codes", "pivot_codes")
+    near = materialise(near.mapInArrow(verify, "id long, pivot long, h long, pivot_h long"), "near")
+    known = components(near.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).withColumnsRenamed({"node": "id", "component": "known"})
+    known = materialise(known, "known")
+    mains = least.join(known.withColumnRenamed("id", "pivot"), "pivot", "left").select("block", F.coalesce("known", "pivot").alias("main"))
+    sides = large.join(known, "id", "left").withColumn("known", F.coalesce("known", "id")).join(mains, "block").withColumn("apart", F.col("known") != F.col("main"))
+    sides = materialise(sides, "sides")
+    sizes = sides.groupBy("block").agg(F.count_if("apart").alias("aparts"), F.count_if(~F.col("apart")).alias("mains")).where("aparts > 0")
+    left = sides.join(sizes, "block")
+    tile = lambda size: F.ceil(F.col(size) / F.lit(bucket // 2)).cast("int")
+    mine, other = F.when(F.col("apart"), tile("aparts")).otherwise(tile("mains")), F.when(F.col("apart"), tile("mains")).otherwise(tile("aparts"))
+    crossed = left.withColumn("tile", F.pmod(F.xxhash64("id"), mine)).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
+    crossed = crossed.withColumn("group", F.xxhash64("block", F.when(F.col("apart"), F.col("tile")).otherwise(F.col("other")), F.when(F.col("apart"), F.col("other")).otherwise(F.col("tile")), F.lit(-1)))
+    among = tiled(left.where("apart"), "aparts", ["block"], "id", bucket)
+    columns = ["group", "id", "words", "known"]
+    return near.select(F.col("h").alias("a"), F.col("pivot_h").alias("b")), crossed.select(columns).union(among.select(columns))
+
+
 def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET, per_part: int = PART_POSTINGS) -> DataFrame:
     """lines (id, h, codes of 16 bits, five words at least; one row a distinct line; a written table) to links (a, b)
     of lines h that connect all that chains of pairs of at least this edit similarity (0.7 or more) connect."""
 
-    def sets_of(group: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sets_of(group: np.ndarray, ids: np.ndarray, n: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The sets of lines that close pairs of a group connect, under a hash of their members, each set once. Groups
-        of FEW members give each pair as a set, as these repeat from group to group."""
+        of FEW members give each pair as a set, as these repeat from group to group. Pairs known to be connected don't
+        count."""
         a, b = close_pairs(n, group, similarity)
+        if known is not None:
+            a, b = a[known[a] != known[b]], b[known[a] != known[b]]
         size = np.diff(np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])) if len(group) else np.empty(0, np.int64)
         few = np.repeat(size, size) <= FEW
         low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
@@ -355,6 +396,8 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
                 block = block[by]
                 start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
                 size = np.repeat(np.diff(np.r_[start, len(block)]), np.diff(np.r_[start, len(block)]))
+                if one >= parts:
+                    size[:] = bucket + 1
                 shared = np.flatnonzero(size > 1)
                 by, block, size = by[shared], block[shared].astype(np.int64), size[shared]
                 ids = np.concatenate([np.cumsum(x) for x in unpacked(some["ids"], k, np.int64)])[by]
@@ -364,18 +407,24 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
                 yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(member), pa.nulls(len(whole), pa.int64()), pa.array(np.zeros(len(whole), np.int64))], ["block", "id", "words", "size"])
                 if not small.all():
                     large = ~small
-                    yield pa.RecordBatch.from_arrays([pa.array((one << 32) + block[large]), pa.array(ids[large]), pa.array(n[large]), pa.array(size[large])], ["block", "id", "words", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array((one % parts << 32) + block[large]), pa.array(ids[large]), pa.array(n[large]), pa.array(size[large])], ["block", "id", "words", "size"])
 
     def pick_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "group"):
-            found = sets_of(*(np.asarray(table[c]) for c in ("group", "id", "words")))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["set", "id"])
+            group, ids, words, known = (np.asarray(table[c]) for c in ("group", "id", "words", "known"))
+            whole, member = sets_of(group, ids, words, known)
+            one, first = np.unique(ids, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (whole, member, known[first[np.searchsorted(one, member)]])], ["set", "id", "known"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "set", 4_000):
-            group, h = (np.asarray(table[c]) for c in ("set", "h"))
+            group, h, known = (np.asarray(table[c]) for c in ("set", "h", "known"))
             codes, offsets = code_arrays(table["codes"].combine_chunks())
-            n, parent, said = np.diff(offsets), list(range(len(h))), {}
+            n, said = np.diff(offsets), {}
+            # those known to be connected are one from the start
+            _, least, of = np.unique(np.stack([group, known]), axis=1, return_index=True, return_inverse=True)
+            parent = least[of.ravel()].tolist()
+            apart = np.array(parent)
 
             def find(i: int) -> int:
                 while parent[i] != i:
@@ -385,31 +434,32 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
             def line(i: int) -> np.ndarray:
                 return codes[offsets[i] : offsets[i + 1]]
 
-            def near(i: int, j: int) -> bool:
-                most = int(most_edits(max(n[i], n[j]), similarity))
-                a, b = differing(line(i), line(j))
-                return max(len(a), len(b)) <= most or edits(a, b) <= most
-
-            for i, j in zip(*(x.tolist() for x in close_pairs(n, group, similarity, parities(codes, offsets)))):
+            a, b = close_pairs(n, group, similarity, parities(codes, offsets))
+            cross = apart[a] != apart[b]
+            for i, j in zip(a[cross].tolist(), b[cross].tolist()):
                 if (p := find(i)) == (q := find(j)):
                     continue
                 pair = (h[i], h[j])
                 if pair not in said:
-                    said[pair] = near(i, j)
+                    said[pair] = similar(line(i), line(j), similarity)
                 if said[pair]:
                     parent[max(p, q)] = min(p, q)
             roots = np.array([find(i) for i in range(len(h))], np.int64)
-            far = np.flatnonzero(roots != np.arange(len(h)))
+            far = np.flatnonzero(roots != apart)
             yield pa.RecordBatch.from_arrays([pa.array(h[far]), pa.array(h[roots[far]])], ["a", "b"])
 
     pairs = (lines.agg(F.sum(F.length("codes")).alias("n")).first()["n"] or 0) // 2
     parts = max(width(lines.sparkSession), int(pairs * 2 * (1 - similarity) / per_part) + 1)
-    dealt = postings(lines, pairs, parts, similarity, bucket).repartition(parts, "part").sortWithinPartitions("part")
+    dealt = postings(lines, pairs, parts, similarity, bucket, per_part).repartition(parts, "part").sortWithinPartitions("part")
     picked = materialise(dealt.mapInArrow(pick, "block long, id long, words long, size long"), "blocks")
-    grouped = tiled(picked.where("size > 0"), "size", ["block"], "id", bucket).select("group", "id", "words")
-    tiles = grouped.repartition("group").sortWithinPartitions("group", "id").mapInArrow(pick_tiles, "set long, id long")
-    sets = materialise(picked.where("size = 0").select(F.col("block").alias("set"), "id").union(tiles).distinct(), "sets")
-    return sets.join(lines.select("id", "h", "codes"), "id").select("set", "h", "codes").repartition("set").sortWithinPartitions("set", "h").mapInArrow(verify, "a long, b long")
+    sets = picked.where("size = 0").select(F.col("block").alias("set"), "id", F.col("id").alias("known"))
+    large, links = picked.where("size > 0").drop("size"), None
+    if not large.isEmpty():
+        links, rest = star_links(large, lines, similarity, bucket)
+        sets = sets.unionByName(rest.repartition("group").sortWithinPartitions("group", "id").mapInArrow(pick_tiles, "set long, id long, known long"))
+    sets = materialise(sets.distinct(), "sets")
+    found = sets.join(lines.select("id", "h", "codes"), "id").select("set", "h", "codes", "known").repartition("set").sortWithinPartitions("set", "h").mapInArrow(verify, "a long, b long")
+    return found if links is None else found.union(links)
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
