@@ -10,7 +10,7 @@ fifth of its bits, far more than blocks of a pigeonhole search allow (README).
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,47 +85,6 @@ def line_features(texts: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
     return text, number, whole, (h >> np.uint64(24)).astype(np.uint16), np.r_[0, ends]
 
 
-def edit_similarity(a: Sequence[int], b: Sequence[int]) -> float:
-    """1 - edits / words of the longer, over sequences of word codes."""
-    return 1 - edits(a, b) / max(len(a), len(b)) if len(a) or len(b) else 1.0
-
-
-def differing(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """a and b without the words they begin and end with alike."""
-    n = min(len(a), len(b))
-    same = a[:n] == b[:n]
-    first = n if same.all() else int(same.argmin())
-    a, b, n = a[first:], b[first:], n - first
-    same = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
-    last = n if same.all() else int(same.argmin())
-    return a[: len(a) - last].tolist(), b[: len(b) - last].tolist()
-
-
-def edits(a: Sequence[int], b: Sequence[int]) -> int:
-    """Words to insert, delete or replace; the bit-vector way, a word of the longer at a time."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return len(b)
-    where: dict[int, int] = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
-    last, full = 1 << (len(a) - 1), (1 << len(a)) - 1
-    plus, minus, n = full, 0, len(a)
-    for x in b:
-        eq = where.get(x, 0)
-        xv = eq | minus
-        xh = (((eq & plus) + plus) ^ plus) | eq
-        up, down = minus | ~(xh | plus) & full, plus & xh
-        if up & last:
-            n += 1
-        elif down & last:
-            n -= 1
-        up, down = (up << 1 | 1) & full, down << 1 & full
-        plus, minus = down | ~(xv | up) & full, up & xv
-    return n
-
-
 def line_table(docs: DataFrame, min_words: int, short: bool) -> DataFrame:
     """docs (_row, doc_id, text) to their lines: _row, doc_id, line, h, codes (16 bits a word).
 
@@ -314,41 +273,77 @@ def postings(lines: DataFrame, pairs: int, parts: int, similarity: float, bucket
     return lines.select("id", "codes").mapInArrow(run, "part int, n long, blocks binary, ids binary, words binary")
 
 
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two lines' codes are within the similarity."""
-    most = int(most_edits(max(len(a), len(b)), similarity))
-    if len(a) == len(b) and np.count_nonzero(a != b) <= most:
-        return True
-    a, b = differing(a, b)
-    return max(len(a), len(b)) <= most or edits(a, b) <= most
+def pair_edits(codes: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray, together: int = 4096) -> np.ndarray:
+    """The edits between rows a[i] and b[i], of many pairs side by side: bit vectors of 64 words, a word of the longer
+    rows at a time."""
+    n = np.diff(offsets)
+    short, long = np.where(n[a] <= n[b], a, b), np.where(n[a] <= n[b], b, a)
+    out = np.zeros(len(a), np.int64)
+    one = np.uint64(1)
+    order = np.lexsort((n[long], -(-n[short] // 64)))
+    for at in range(0, len(order), together):
+        now = order[at : at + together]
+        m, steps = n[short[now]], n[long[now]]
+        limbs = max(1, -(-int(m.max()) // 64))
+
+        def words(rows: np.ndarray, width: int, absent: int) -> np.ndarray:
+            place = np.arange(width)
+            found = codes[np.minimum(offsets[rows][:, None] + place, len(codes) - 1)].astype(np.int32)
+            return np.where(place < n[rows][:, None], found, absent)
+
+        pattern, text = words(short[now], 64 * limbs, -1), words(long[now], int(steps.max()), -2)
+        plus = np.full((limbs, len(now)), ~np.uint64(0))
+        minus = np.zeros((limbs, len(now)), np.uint64)
+        last, bit, edits = (np.maximum(m, 1) - 1) // 64, (np.maximum(m, 1) - 1).astype(np.uint64) % np.uint64(64), m.copy()
+        for t in range(text.shape[1]):
+            equal = np.packbits(pattern == text[:, t, None], axis=1, bitorder="little").view(np.uint64)
+            up, down = np.ones(len(now), np.uint64), np.zeros(len(now), np.uint64)  # what comes from the limb below
+            for k in range(limbs):
+                pv, mv, eq = plus[k], minus[k], equal[:, k]
+                xv = eq | mv
+                eq = eq | down
+                xh = (((eq & pv) + pv) ^ pv) | eq
+                ph, mh = mv | ~(xh | pv), pv & xh
+                here = (last == k) & (t < steps)
+                edits += np.where(here, ((ph >> bit) & one).astype(np.int64) - ((mh >> bit) & one).astype(np.int64), 0)
+                next_up, next_down = ph >> np.uint64(63), mh >> np.uint64(63)
+                ph, mh = (ph << one) | up, (mh << one) | down
+                plus[k], minus[k] = mh | ~(xv | ph), ph & xv
+                up, down = next_up, next_down
+        out[now] = np.where(m > 0, edits, steps)
+    return out
 
 
 def star_links(large: DataFrame, lines: DataFrame, similarity: float, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """Of groups with many members (block, id, words; a written table), the links (a, b) of lines h between members
-    and their group's least id; and as (group, id, words, known), in groups of at most about `bucket` members each,
-    what is left to compare: members that those links don't connect with the least one, with all others of their group.
+    """Of groups with many members (block, id, words, pivot: a member; a written table), the links (a, b) of lines h
+    between members and pivots; and as (group, id, words, known), in groups of at most about `bucket` members each,
+    what is left to compare: members that those links don't connect with the group's first pivot, with all others.
     """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (a, i), (b, j) = (code_arrays(batch.column(batch.schema.get_field_index(c))) for c in ("codes", "pivot_codes"))
-            near = [similar(a[i[k] : i[k + 1]], b[j[k] : j[k + 1]], similarity) for k in range(batch.num_rows)]
-            yield batch.select(["id", "pivot", "h", "pivot_h"]).filter(pa.array(near, pa.bool_()))
+            n, k = np.maximum(np.diff(i), np.diff(j)), np.arange(batch.num_rows)
+            edits = pair_edits(np.r_[a, b], np.r_[i[:-1], i[-1] + j], k, k + batch.num_rows)
+            yield batch.select(["id", "pivot", "h", "pivot_h"]).filter(pa.array(edits <= most_edits(n, similarity)))
 
-    least = materialise(large.groupBy("block").agg(F.min("id").alias("pivot")), "pivots")
-    star = large.join(least, "block").where("id <> pivot").select("id", "pivot").distinct()
-    pivots = materialise(lines.join(least.select(F.col("pivot").alias("id")).distinct(), "id").select(F.col("id").alias("pivot"), F.col("h").alias("pivot_h"), F.col("codes").alias("pivot_codes")), "pivot-lines")
+    star = large.where("id <> pivot").select("id", "pivot").distinct()
+    leads = large.select(F.col("pivot").alias("id")).distinct()
+    pivots = materialise(lines.join(leads, "id").select(F.col("id").alias("pivot"), F.col("h").alias("pivot_h"), F.col("codes").alias("pivot_codes")), "pivots")
     near = star.join(lines.select("id", "h", "codes"), "id").join(pivots, "pivot").select("id", "pivot", "h", "pivot_h", "codes", "pivot_codes")
     near = materialise(near.mapInArrow(verify, "id long, pivot long, h long, pivot_h long"), "near")
     known = components(near.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).withColumnsRenamed({"node": "id", "component": "known"})
     known = materialise(known, "known")
-    mains = least.join(known.withColumnRenamed("id", "pivot"), "pivot", "left").select("block", F.coalesce("known", "pivot").alias("main"))
-    sides = large.join(known, "id", "left").withColumn("known", F.coalesce("known", "id")).join(mains, "block").withColumn("apart", F.col("known") != F.col("main"))
-    sides = materialise(sides, "sides")
-    sizes = sides.groupBy("block").agg(F.count_if("apart").alias("aparts"), F.count_if(~F.col("apart")).alias("mains")).where("aparts > 0")
-    left = sides.join(sizes, "block")
+    of_pivot = known.withColumnsRenamed({"id": "pivot", "known": "lead"})
+    sides = large.join(known, "id", "left").join(of_pivot, "pivot", "left")
+    sides = materialise(sides.select("block", "id", "words", F.coalesce("known", "id").alias("known"), F.coalesce("lead", "pivot").alias("lead")), "sides")
+    # most groups are settled by now: all members are with their pivots, and these with each other
+    apart = F.count_if(F.col("known") != F.col("lead"))
+    groups = sides.groupBy("block").agg(F.min("lead").alias("main"), F.max("lead").alias("other_lead"), apart.alias("aparts"), F.count(F.lit(1)).alias("members"))
+    groups = groups.where("aparts > 0 OR main <> other_lead").select("block", "main", "members", F.when(F.col("main") == F.col("other_lead"), F.col("aparts")).otherwise(F.col("members")).alias("aparts"))
+    left = sides.join(groups, "block").withColumn("apart", F.col("known") != F.col("main"))
     tile = lambda size: F.ceil(F.col(size) / F.lit(bucket // 2)).cast("int")
-    mine, other = F.when(F.col("apart"), tile("aparts")).otherwise(tile("mains")), F.when(F.col("apart"), tile("mains")).otherwise(tile("aparts"))
+    mine, other = F.when(F.col("apart"), tile("aparts")).otherwise(tile("members")), F.when(F.col("apart"), tile("members")).otherwise(tile("aparts"))
     crossed = left.withColumn("tile", F.pmod(F.xxhash64("id"), mine)).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
     crossed = crossed.withColumn("group", F.xxhash64("block", F.when(F.col("apart"), F.col("tile")).otherwise(F.col("other")), F.when(F.col("apart"), F.col("other")).otherwise(F.col("tile")), F.lit(-1)))
     among = tiled(left.where("apart"), "aparts", ["block"], "id", bucket)
@@ -385,7 +380,7 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
         return whole[new], member[new]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sets of each part's groups (size 0); members of large groups as they are."""
+        """The sets of each part's groups; members of large groups, with the least of them that is here."""
         for table in whole_groups(batches, "part", 1):
             part, count = np.asarray(table["part"]), table["n"].to_pylist()
             for one in np.unique(part).tolist():
@@ -404,10 +399,13 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
                 n = np.concatenate(unpacked(some["words"], k, np.int32))[by].astype(np.int64)
                 small = size <= bucket
                 whole, member = sets_of(block[small], ids[small], n[small])
-                yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(member), pa.nulls(len(whole), pa.int64()), pa.array(np.zeros(len(whole), np.int64))], ["block", "id", "words", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(member), pa.nulls(len(whole), pa.int64()), pa.nulls(len(whole), pa.int64())], ["block", "id", "words", "pivot"])
                 if not small.all():
                     large = ~small
-                    yield pa.RecordBatch.from_arrays([pa.array((one % parts << 32) + block[large]), pa.array(ids[large]), pa.array(n[large]), pa.array(size[large])], ["block", "id", "words", "size"])
+                    block, ids, n = block[large], ids[large], n[large]
+                    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+                    pivot = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.r_[first, len(block)]))
+                    yield pa.RecordBatch.from_arrays([pa.array((one % parts << 32) + block), pa.array(ids), pa.array(n), pa.array(pivot)], ["block", "id", "words", "pivot"])
 
     def pick_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "group"):
@@ -420,40 +418,27 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
         for table in whole_groups(batches, "set", 4_000):
             group, h, known = (np.asarray(table[c]) for c in ("set", "h", "known"))
             codes, offsets = code_arrays(table["codes"].combine_chunks())
-            n, said = np.diff(offsets), {}
+            n = np.diff(offsets)
             # those known to be connected are one from the start
             _, least, of = np.unique(np.stack([group, known]), axis=1, return_index=True, return_inverse=True)
-            parent = least[of.ravel()].tolist()
-            apart = np.array(parent)
-
-            def find(i: int) -> int:
-                while parent[i] != i:
-                    parent[i] = i = parent[parent[i]]
-                return i
-
-            def line(i: int) -> np.ndarray:
-                return codes[offsets[i] : offsets[i + 1]]
-
+            apart = least[of.ravel()]
+            label, most = apart, most_edits(n, similarity)
             a, b = close_pairs(n, group, similarity, parities(codes, offsets))
-            cross = apart[a] != apart[b]
-            for i, j in zip(a[cross].tolist(), b[cross].tolist()):
-                if (p := find(i)) == (q := find(j)):
-                    continue
-                pair = (h[i], h[j])
-                if pair not in said:
-                    said[pair] = similar(line(i), line(j), similarity)
-                if said[pair]:
-                    parent[max(p, q)] = min(p, q)
-            roots = np.array([find(i) for i in range(len(h))], np.int64)
-            far = np.flatnonzero(roots != apart)
-            yield pa.RecordBatch.from_arrays([pa.array(h[far]), pa.array(h[roots[far]])], ["a", "b"])
+            for at in range(0, len(a), 4096):
+                left, right = a[at : at + 4096], b[at : at + 4096]
+                open_ = label[left] != label[right]
+                left, right = left[open_], right[open_]
+                near = pair_edits(codes, offsets, left, right) <= np.maximum(most[left], most[right])
+                label = local_labels(len(h), np.r_[np.arange(len(h)), left[near]], np.r_[label, right[near]])
+            far = np.flatnonzero(label != apart)
+            yield pa.RecordBatch.from_arrays([pa.array(h[far]), pa.array(h[label[far]])], ["a", "b"])
 
     pairs = (lines.agg(F.sum(F.length("codes")).alias("n")).first()["n"] or 0) // 2
     parts = max(width(lines.sparkSession), int(pairs * 2 * (1 - similarity) / per_part) + 1)
     dealt = postings(lines, pairs, parts, similarity, bucket, per_part).repartition(parts, "part").sortWithinPartitions("part")
-    picked = materialise(dealt.mapInArrow(pick, "block long, id long, words long, size long"), "blocks")
-    sets = picked.where("size = 0").select(F.col("block").alias("set"), "id", F.col("id").alias("known"))
-    large, links = picked.where("size > 0").drop("size"), None
+    picked = materialise(dealt.mapInArrow(pick, "block long, id long, words long, pivot long"), "blocks")
+    sets = picked.where("pivot IS NULL").select(F.col("block").alias("set"), "id", F.col("id").alias("known"))
+    large, links = picked.where("pivot IS NOT NULL"), None
     if not large.isEmpty():
         links, rest = star_links(large, lines, similarity, bucket)
         sets = sets.unionByName(rest.repartition("group").sortWithinPartitions("group", "id").mapInArrow(pick_tiles, "set long, id long, known long"))

@@ -184,10 +184,10 @@ LINES = ["the quick brown fox jumps over the lazy dog near the old stone bridge
 
 def test_edit_similarity():
     rng = random.Random(2)
-    for _ in range(200):
-        a, b = (bytes(rng.choice(b"abcd") for _ in range(rng.randrange(0, 90))) for _ in range(2))
-        want = 1 - edits(a, b) / max(len(a), len(b)) if a or b else 1.0
-        assert lines.edit_similarity(a, b) == pytest.approx(want)
+    rows = [np.array([rng.randrange(6) for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 130, 200]))], np.uint16) for _ in range(40)]
+    left, right = (x.ravel() for x in np.meshgrid(range(40), range(40)))
+    got = lines.pair_edits(np.concatenate(rows), np.cumsum([0, *map(len, rows)]), left, right, together=300)
+    assert got.tolist() == [edits(rows[a].tolist(), rows[b].tolist()) for a, b in zip(left, right)]
 
 
 def test_fuzzy_lines(spark, docs, none, tmp_path):
