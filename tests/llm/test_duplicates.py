@@ -10,7 +10,9 @@ import pytest
 import xxhash
 from fixtures import corpus, make, prose
 
-from starloom.llm import graph, lines, repeats, simhash, sketch
+from pyspark.sql import functions as F
+
+from starloom.llm import copies, graph, lines, repeats, simhash, sketch
 
 SPACE = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -162,6 +164,35 @@ def test_components(spark, n, edges, chunk):
     assert got == {int(x): int(label[x]) for e in real for x in e}
 
 
+# --- near copies of documents
+
+
+@pytest.mark.parametrize("bucket,piece", [(512, 100_000), (4, 3)])
+def test_near_copies(spark, tmp_path, bucket, piece):
+    """Against all pairs by Jaccard similarity alone: none is wrong, and of the similar ones at least 0.95 are together."""
+    rng = random.Random(bucket)
+    passage = prose(rng, 60)
+    texts = [None, "", " ", "one two", "One  two", "one two three"]
+    for i in range(60):
+        w = prose(rng, rng.choice([6, 12, 30, 80, 200, 600])).split(" ")
+        w = w + passage.split(" ") if i % 4 == 0 else w
+        texts.append(" ".join(w))
+        for _ in range(rng.choice([0, 1, 1, 9])):
+            other = list(w)
+            for _ in range(rng.randint(0, 1 + len(w) // 45)):
+                at = rng.randrange(len(other))
+                other[at : at + rng.choice([0, 1, 1])] = rng.choice([[], ["altered"], ["changed"], [other[0]]])
+            texts.append(" ".join(other))
+    make(spark, list(enumerate(texts))).select(F.col("doc_id").alias("id"), "text", F.lit(1).alias("block")).write.parquet(str(tmp_path / "c"))
+    got = {r["id"]: r["component"] for r in copies.near_copies(spark.read.parquet(str(tmp_path / "c")), bucket=bucket, piece=piece).collect()}
+    sets = [shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if not sets[i] | sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    label = graph.local_labels(len(sets), *(np.array(x, np.int64) for x in zip(*near)))
+    assert all(label[i] == label[c] for i, c in got.items())
+    together = sum(got.get(i, i) == got.get(j, j) for i, j in near)
+    assert len(near) > 100 and together >= 0.95 * len(near)
+
+
 # --- lines
 
 
