@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,50 @@ def scratch_dir(spark: SparkSession) -> str:
     return _fallback.setdefault("dir", tempfile.mkdtemp(prefix="starloom-"))
 
 
+#: Folders of the runs that are open, the innermost last.
+_runs: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for the tables that operators write meanwhile; it goes when the block ends, so write the
+    result to another place within it."""
+    _runs.append(f"{scratch_dir(spark)}/run-{uuid.uuid4().hex}")
+    try:
+        yield _runs[-1]
+    finally:
+        _delete(spark, _runs.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared scratch folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_runs[-1] if _runs else scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables from which nothing is computed any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._scratch_path)
+
+
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as set it apart from those taken, whatever their case."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def width(spark: SparkSession) -> int:
@@ -43,12 +83,13 @@ def with_offsets(df: DataFrame, groups: list[str], bucket: str, order: list, out
     Buckets are counted first; a row's number is the rows in the group's earlier buckets plus its place in its own.
     df is evaluated twice, so it should be a written table.
     """
-    counts = df.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    n, before, at = free_names(df.columns, "n", "before", "place")
+    counts = df.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias(n))
     earlier = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.withColumn("_before", F.sum("_n").over(earlier) - F.col("_n")).drop("_n")
+    offsets = counts.withColumn(before, F.sum(n).over(earlier) - F.col(n)).drop(n)
     place = F.row_number().over(Window.partitionBy(*groups, bucket).orderBy(*order)) - 1
-    placed = df.withColumn("_place", place)
-    return placed.join(offsets, [*groups, bucket]).withColumn(out, F.col("_before") + F.col("_place")).drop("_before", "_place")
+    placed = df.withColumn(at, place)
+    return placed.join(offsets, [*groups, bucket]).withColumn(out, F.col(before) + F.col(at)).drop(before, at)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix
+from .common import discard, materialise, mix
 from .graph import components, local_labels
 from .simhash import whole_groups
 
@@ -143,7 +143,7 @@ def star_links(large: DataFrame, nodes: DataFrame, bucket: int, judge: Callable[
 def linked(picked: DataFrame, nodes: DataFrame, similarity: float, bucket: int, judge: Callable[[pa.Array], Judge]) -> DataFrame:
     """Links (a, b) of nodes h that connect what chains of near pairs in the picked groups connect.
 
-    picked: a written table of picked_groups' rows; nodes: id, h and codes (binary, what judge reads), a written table."""
+    picked: a materialised table of picked_groups' rows, deleted here; nodes: id, h and codes (binary, what judge reads), a written table."""
 
     def pick_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "group"):
@@ -175,5 +175,6 @@ def linked(picked: DataFrame, nodes: DataFrame, similarity: float, bucket: int,
         links, rest = star_links(large, nodes, bucket, judge)
         sets = sets.unionByName(rest.repartition("group").sortWithinPartitions("group", "id").mapInArrow(pick_tiles, "set long, id long, known long"))
     sets = materialise(sets.distinct(), "sets")
+    discard(picked)
     found = sets.join(nodes.select("id", "h", "codes"), "id").select("set", "h", "codes", "known").repartition("set").sortWithinPartitions("set", "h").mapInArrow(verify, "a long, b long")
     return found if links is None else found.union(links)

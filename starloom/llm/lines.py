@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, Words, byte_table, bytes_array, materialise, mix, runs, width
+from .common import BASE, Words, byte_table, bytes_array, discard, free_names, materialise, mix, runs, width
 from .graph import components
 from .groups import BUCKET, PICKED, Judge, code_arrays, linked, most_edits, picked_groups
 from .simhash import whole_groups
@@ -311,23 +311,27 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int
     exactly if short is set, and stay otherwise. A character of a script without spaces is a word. Returns docs' columns with text replaced, and n_lines and n_removed (long). A null text stays null with no lines, an empty text is one blank
     line; a document of which every line goes keeps its row with an empty text; a null doc_id comes first; a repeated
     row comes after the first. No rows give none. docs is read twice and must give the same rows in the same order,
-    as files do; columns n_lines and n_removed are replaced, _row and _gone are used inside.
+    as files do; columns n_lines and n_removed are replaced, others of any name stay.
     """
-    numbered = docs.drop("n_lines", "n_removed").withColumn("_row", F.monotonically_increasing_id())
-    lines = materialise(line_table(numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words, short), "lines")
-    distinct = lines.groupBy("h").agg(F.min("codes").alias("codes"), F.min(F.struct("doc_id", "_row", "line")).alias("at"), F.count(F.lit(1)).alias("uses"))
+    row, lost = free_names(docs.columns, "row", "lost")
+    numbered = docs.drop("n_lines", "n_removed").withColumn(row, F.monotonically_increasing_id())
+    whole = materialise(line_table(numbered.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words, short), "lines")
+    distinct = whole.groupBy("h").agg(F.min("codes").alias("codes"), F.min(F.struct("doc_id", "_row", "line")).alias("at"), F.count(F.lit(1)).alias("uses"))
     distinct = materialise(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    lines = materialise(whole.drop("codes"), "places")
+    discard(whole)
     groups = components(similar_lines(distinct.where("length(codes) > 0").select("id", "h", "codes"), similarity)).select(F.col("node").alias("h"), "component")
     named = materialise(distinct.join(groups, "h", "left").select("h", "at", "uses", F.coalesce("component", "h").alias("component")), "named")
+    discard(distinct)
     kept = named.groupBy("component").agg(F.min("at").alias("keep"), F.sum("uses").alias("total")).where("total > 1")
     by_line = named.join(kept, "component").select("h", "keep")
     gone = lines.select("_row", "doc_id", "line", "h").join(by_line, "h").where(~F.struct("doc_id", "_row", "line").eqNullSafe(F.col("keep")))
-    by_row = gone.groupBy("_row").agg(F.collect_set("line").alias("_gone"))
+    by_row = gone.groupBy(F.col("_row").alias(row)).agg(F.collect_set("line").alias(lost))
     split = F.split("text", "\n", -1)
-    left = F.filter(split, lambda x, i: ~F.array_contains("_gone", i))
-    out = numbered.join(by_row, "_row", "left").drop("_row")
-    removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    return out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")).withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(removed).cast("long")).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).drop("_gone")
+    left = F.filter(split, lambda x, i: ~F.array_contains(lost, i))
+    out = numbered.join(by_row, row, "left").drop(row)
+    removed = F.coalesce(F.size(lost), F.lit(0)).cast("long")
+    return out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")).withColumn("n_removed", F.when(F.col(lost).isNull(), 0).otherwise(removed).cast("long")).withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).drop(lost)
 
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, width, with_offsets
+from .common import free_names, materialise, width, with_offsets
 from .tokens import encoder
 
 SEQUENCE, GRAIN = 2048, 8
@@ -121,13 +121,13 @@ def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE, grain: int = GRAIN)
     """pieces (a written table; piece long, unique; length int, 1 to sequence) with sequence_id (0..) and offset.
 
     Lengths are rounded up to the grain in the program only: a sequence's pieces stand gapless from offset 0. A null
-    length is an error; no pieces give no rows; other columns stay (sequence_id and offset are replaced; _size,
-    _bucket, _rank, _slot are used inside).
+    length is an error; no pieces give no rows; other columns of any name stay (sequence_id and offset are replaced).
     """
     if sequence % grain:
         raise ValueError("grain must divide sequence")
-    sized = pieces.drop("sequence_id", "offset").withColumn("_size", F.ceil(F.col("length") / F.lit(grain)).cast("int"))
-    histogram = {r["_size"]: r["n"] for r in sized.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size_, bucket_, rank_ = free_names([*pieces.columns, "sequence_id", "offset"], "size", "bucket", "rank")
+    sized = pieces.drop("sequence_id", "offset").withColumn(size_, F.ceil(F.col("length") / F.lit(grain)).cast("int"))
+    histogram = {r[size_]: r["n"] for r in sized.groupBy(size_).agg(F.count(F.lit(1)).alias("n")).collect()}
     if None in histogram or max(histogram, default=1) > sequence // grain or min(histogram, default=1) < 1:
         raise ValueError(f"a piece's length must be 1 to {sequence}")
     patterns = plan_patterns(histogram, sequence // grain)
@@ -142,19 +142,19 @@ def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE, grain: int = GRAIN)
     keys = (sizes << 44) + lows
 
     buckets = max(width(pieces.sparkSession), -(-max(histogram.values(), default=0) // RANKED_ROWS))
-    spread = sized.withColumn("_bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets)).cast("int"))
-    ranked = with_offsets(spread, ["_size"], "_bucket", [F.col("piece")], "_rank")
+    spread = sized.withColumn(bucket_, F.pmod(F.xxhash64("piece"), F.lit(buckets)).cast("int"))
+    ranked = with_offsets(spread, [size_], bucket_, [F.col("piece")], rank_)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, rank = (np.asarray(batch.column(batch.schema.get_field_index(c))).astype(np.int64) for c in ("_size", "_rank"))
+            size, rank = (np.asarray(batch.column(batch.schema.get_field_index(c))).astype(np.int64) for c in (size_, rank_))
             at = np.searchsorted(keys, (size << 44) + rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base[at] + (rank - lows[at]) // per[at])], [*batch.schema.names, "sequence_id"])
 
     placed = ranked.mapInArrow(place, T.StructType([*ranked.schema.fields, T.StructField("sequence_id", T.LongType())]))
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "piece")
     upto = F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return placed.withColumn("offset", (upto - F.col("length")).cast("long")).drop("_size", "_bucket", "_rank")
+    return placed.withColumn("offset", (upto - F.col("length")).cast("long")).drop(size_, bucket_, rank_)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE, keep_ids: bool = True) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, INVERSE, SPACES, Words, byte_table, materialise, mix, powers, runs, window_hashes
+from .common import BASE, INVERSE, SPACES, Words, byte_table, free_names, materialise, mix, powers, runs, window_hashes
 
 WINDOW, ANCHOR = 35, 8
 PLAIN = byte_table(SPACES)
@@ -106,23 +106,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """docs with n_words, n_removed and kept: its words, joined by one space, without those covered by a window of
     `window` consecutive words that also starts anywhere else in docs (in the same text too).
 
-    docs has text and any other columns, which stay (n_words, n_removed and kept are replaced; _row and _spans are
-    used inside); it is read several times and must give the same rows in the same order each time, as files do. A
+    docs has text and any other columns, which stay (n_words, n_removed and kept are replaced); it is read several times and must give the same rows in the same order each time, as files do. A
     null text has no words; a repeated row is elsewhere; a text of fewer words than a window keeps them all.
     """
     if not 0 < anchor <= window:
         raise ValueError("anchor must be 1 to window")
-    numbered = docs.drop("n_words", "n_removed", "kept").withColumn("_row", F.monotonically_increasing_id())
-    spans = repeated_windows(numbered, window, anchor).groupBy("_row").agg(F.collect_list(F.struct("first", "n")).alias("_spans"))
-    joined = numbered.join(spans, "_row", "left").drop("_row")
-    schema = T.StructType([*(f for f in joined.schema.fields if f.name != "_spans"), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    row, spans_ = free_names(docs.columns, "row", "spans")
+    numbered = docs.drop("n_words", "n_removed", "kept").withColumn(row, F.monotonically_increasing_id())
+    spans = repeated_windows(numbered.select(F.col(row).alias("_row"), "text"), window, anchor).groupBy(F.col("_row").alias(row)).agg(F.collect_list(F.struct("first", "n")).alias(spans_))
+    joined = numbered.join(spans, row, "left").drop(row)
+    schema = T.StructType([*(f for f in joined.schema.fields if f.name != spans_), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            stay = [i for i, c in enumerate(names) if c != "_spans"]
+            stay = [i for i, c in enumerate(names) if c != spans_]
             rows = []
-            for text, spans in zip(batch.column(names.index("text")), batch.column(names.index("_spans"))):
+            for text, spans in zip(batch.column(names.index("text")), batch.column(names.index(spans_))):
                 words = word_list(text.as_py())
                 gone = 0
                 if spans.is_valid:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import materialise, width, with_offsets
+from .common import free_names, materialise, width, with_offsets
 
 #: Rows of a source partition, and of a bucket of a shard, at most (about).
 PART_ROWS = 1_000_000
@@ -67,28 +67,29 @@ def shuffle_to_shards(df: DataFrame, n_shards: int, seed: int = 0, part_rows: in
     Every arrangement is as likely as any other and fixed by the seed and the order in which df's rows are stored.
     df is written once with row numbers, so that lost executors don't change the draw: narrow it first where texts
     aren't needed. Nulls and repeated rows are rows like any other; an empty table gives an empty table. Columns named
-    shard or slot are replaced; _row, _source, _bucket and _cuts are used inside.
+    shard or slot are replaced, others of any name stay.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be 1 or more")
     spark = df.sparkSession
-    numbered = materialise(df.drop("shard", "slot").withColumn("_row", F.monotonically_increasing_id()), "shuffle")
+    row, source_, cuts_, at, bucket_ = free_names([*df.columns, "shard", "slot"], "row", "source", "cuts", "at", "bucket")
+    numbered = materialise(df.drop("shard", "slot").withColumn(row, F.monotonically_increasing_id()), "shuffle")
     n = numbered.count()
     parts = max(width(spark), -(-n // part_rows))
-    source = F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(parts)).cast("int")
-    sent = {r["_source"]: r["n"] for r in numbered.groupBy(source.alias("_source")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    source = F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(parts)).cast("int")
+    sent = {r[source_]: r["n"] for r in numbered.groupBy(source.alias(source_)).agg(F.count(F.lit(1)).alias("n")).collect()}
     wanted = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
     cuts = np.cumsum(communication_matrix([sent.get(p, 0) for p in range(parts)], wanted, seed), axis=1)
-    table = spark.createDataFrame([(p, [int(c) for c in row]) for p, row in enumerate(cuts)], "_source int, _cuts array<long>")
-    first = Window.partitionBy("_source").orderBy(F.xxhash64("_row", F.lit(seed + 1)), "_row")
-    local = numbered.withColumn("_source", source).withColumn("_at", F.row_number().over(first) - 1)
-    dealt = local.join(table, "_source").withColumn("shard", F.size(F.filter("_cuts", lambda c: c <= F.col("_at"))).cast("int")).drop("_cuts", "_at", "_source")
+    table = spark.createDataFrame([(p, [int(c) for c in row]) for p, row in enumerate(cuts)], f"{source_} int, {cuts_} array<long>")
+    first = Window.partitionBy(source_).orderBy(F.xxhash64(row, F.lit(seed + 1)), row)
+    local = numbered.withColumn(source_, source).withColumn(at, F.row_number().over(first) - 1)
+    dealt = local.join(table, source_).withColumn("shard", F.size(F.filter(cuts_, lambda c: c <= F.col(at))).cast("int")).drop(cuts_, at, source_)
     # the second permutation orders by a hash; its leading bits make the buckets, so that a shard isn't one task
     bits = max(0, (-(-parts // n_shards) * 2 - 1).bit_length())
-    key = F.xxhash64("_row", F.lit(seed + 2))
+    key = F.xxhash64(row, F.lit(seed + 2))
     bucket = F.shiftright(key, 64 - bits) if bits else F.lit(0)
-    exchanged = materialise(dealt.withColumn("_bucket", bucket), "shards")
-    return with_offsets(exchanged, ["shard"], "_bucket", [key, F.col("_row")], "slot").drop("_bucket", "_row")
+    exchanged = materialise(dealt.withColumn(bucket_, bucket), "shards")
+    return with_offsets(exchanged, ["shard"], bucket_, [key, F.col(row)], "slot").drop(bucket_, row)
 
 
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

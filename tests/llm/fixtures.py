@@ -30,6 +30,6 @@ def corpus() -> list[tuple]:
 
 
 def make(spark, rows=None):
-    """The corpus with columns of clashing names, over three partitions."""
+    """The corpus with columns of clashing names, also of those used inside, over three partitions."""
     df = spark.createDataFrame(corpus() if rows is None else rows, "doc_id long, text string")
-    return df.selectExpr("doc_id", "text", "doc_id AS shard", "text AS kept", "1 AS score").repartition(3)
+    return df.selectExpr("doc_id", "text", "doc_id AS shard", "text AS kept", "1 AS score", *(f"doc_id AS {x}" for x in "row _row place _place before _before n lost _gone spans _spans source cuts at bucket _bucket size rank h id block".split())).repartition(3)
