@@ -153,7 +153,7 @@ def linked(picked: DataFrame, nodes: DataFrame, similarity: float, bucket: int,
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (whole, member, known[first[np.searchsorted(one, member)]])], ["set", "id", "known"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "set", 4_000):
+        for table in whole_groups(batches, "set", 8_000):
             group, h, known = (np.asarray(table[c]) for c in ("set", "h", "known"))
             n, parity, is_near = judge(table["codes"].combine_chunks())
             # those known to be connected are one from the start

@@ -179,11 +179,12 @@ def rare_pairs(codes: np.ndarray, offsets: np.ndarray, common: np.ndarray, simil
 
 
 def parities(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """128 parities of each row's codes, as two integers: an edit changes two of them at most. No row is empty."""
-    place = mix(codes.astype(np.uint64) + np.uint64(9)) % np.uint64(128)
-    bit = np.uint64(1) << (place % np.uint64(64))
-    low = np.bitwise_xor.reduceat(np.where(place < 64, bit, np.uint64(0)), offsets[:-1])
-    return np.stack([low, np.bitwise_xor.reduceat(np.where(place < 64, np.uint64(0), bit), offsets[:-1])])
+    """512 parities of each row's codes, as eight integers: an edit changes two of them at most."""
+    place = mix(codes.astype(np.uint64) + np.uint64(9)) % np.uint64(512)
+    out = np.zeros((8, len(offsets) - 1), np.uint64)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    np.bitwise_xor.at(out, ((place >> np.uint64(6)).astype(np.int64), row), np.uint64(1) << (place & np.uint64(63)))
+    return out
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -227,18 +228,53 @@ def postings(lines: DataFrame, pairs: int, parts: int, similarity: float, bucket
     return lines.select("id", "codes").mapInArrow(run, "part int, n long, blocks binary, ids binary, words binary")
 
 
+def one_pair_edits(a: np.ndarray, b: np.ndarray) -> int:
+    """The edits between two rows of codes: bit vectors, a word of the longer at a time."""
+    n = min(len(a), len(b))
+    same = a[:n] == b[:n]
+    first = n if same.all() else int(same.argmin())
+    a, b, n = a[first:], b[first:], n - first
+    same = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
+    last = n if same.all() else int(same.argmin())
+    a, b = a[: len(a) - last].tolist(), b[: len(b) - last].tolist()
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return len(b)
+    where: dict[int, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    top, full = 1 << (len(a) - 1), (1 << len(a)) - 1
+    plus, minus, n = full, 0, len(a)
+    for x in b:
+        eq = where.get(x, 0)
+        xv = eq | minus
+        xh = (((eq & plus) + plus) ^ plus) | eq
+        up, down = minus | ~(xh | plus) & full, plus & xh
+        n += bool(up & top) - bool(down & top)
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        plus, minus = down | ~(xv | up) & full, up & xv
+    return n
+
+
 def pair_edits(codes: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray, together: int = 4096) -> np.ndarray:
-    """The edits between rows a[i] and b[i], of many pairs side by side: bit vectors of 64 words, a word of the longer
-    rows at a time."""
+    """The edits between rows a[i] and b[i]: many pairs of a like length side by side, as vectors of 64 words each; few
+    pairs, and rows of over 512 words, one by one."""
     n = np.diff(offsets)
     short, long = np.where(n[a] <= n[b], a, b), np.where(n[a] <= n[b], b, a)
     out = np.zeros(len(a), np.int64)
     one = np.uint64(1)
-    order = np.lexsort((n[long], -(-n[short] // 64)))
-    for at in range(0, len(order), together):
-        now = order[at : at + together]
+    parts = np.maximum(1, -(-n[short] // 64))
+    order = np.lexsort((n[long], parts))
+    edge = np.flatnonzero(np.r_[True, np.diff(parts[order]) > 0, True]) if len(a) else np.zeros(1, np.int64)
+    chunks = [order[at : min(at + together, y)] for x, y in zip(edge, edge[1:]) for at in range(x, y, together)]
+    for now in chunks:
         m, steps = n[short[now]], n[long[now]]
-        limbs = max(1, -(-int(m.max()) // 64))
+        limbs = int(parts[now[0]])
+        if limbs > 8 or len(now) < 25 * limbs:
+            for i in now.tolist():
+                out[i] = one_pair_edits(codes[offsets[a[i]] : offsets[a[i] + 1]], codes[offsets[b[i]] : offsets[b[i] + 1]])
+            continue
 
         def words(rows: np.ndarray, width: int, absent: int) -> np.ndarray:
             place = np.arange(width)
