@@ -1,9 +1,9 @@
 """Fuzzy line dedup: one occurrence of each group of near equal lines stays in the corpus.
 
-Lines are normalised (lower case, words and numbers only, digits as 0) and their word pairs are put in one order for
-all lines, rare ones first. Lines within the edit similarity share so many word pairs that they share one among the
-first of each (prefix filter, no such pair is lost): lines are joined on these, and what meets there is verified by the
-edit similarity of the word sequences. Verified lines form groups by chains; the first occurrence of a group, by
+Lines are normalised (lower case, words and numbers only, digits as 0) and their runs of three words are put in one
+order for all lines, rare ones first. Lines within the edit similarity share so many runs that they share one among the
+first of each (prefix filter, no such pair is lost): lines meet on these, and what meets is verified by the edit
+similarity of the word sequences. Verified lines form groups by chains; the first occurrence of a group, by
 (doc_id, row, line), stays and the others go. A SimHash of lines doesn't take part: one word of six or ten changes a
 fifth of its bits, far more than blocks of a pigeonhole search allow (README).
 """
@@ -30,10 +30,10 @@ MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
 NORMAL = byte_table(MARKS, lower=True, digits=True)
 #: Characters of scripts without spaces: each is a word.
 UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
-#: Values, at most, of the table that tells which word pairs are common. It sets the order of pairs, and how common
+#: Values, at most, of the table that tells which runs of words are common. It sets their order, and how common
 #: ones are dealt, only.
 RANKS = 1 << 24
-#: Rows of word pairs that a part of the key space has, about.
+#: Runs of words that a part of the key space has, about.
 PART_POSTINGS = 4_000_000
 
 
@@ -105,25 +105,41 @@ def line_table(docs: DataFrame, min_words: int, short: bool) -> DataFrame:
     return docs.select("_row", "doc_id", "text").mapInArrow(run, "_row long, doc_id long, line int, h long, codes binary")
 
 
-def prefix_length(n: int, similarity: float) -> int:
-    """How many first word pairs of a line of n words hold one that is also among the first of any line within the
-    similarity, of n words or more. An edit takes two word pairs at most, so of a longer line of m words m - 1 - 2 edits
-    are common."""
-    longer = np.arange(n, int(n / similarity + 1e-9) + 1)
-    common = longer - 1 - 2 * most_edits(longer, similarity)
-    return int(n - np.clip(common.min(), 1, n - 1))
+def common_runs(n: np.ndarray, run: int, similarity: float) -> np.ndarray:
+    """How many runs of so many words a line of n words has in common with any shorter one within the similarity: an
+    edit takes as many runs at most as a run has words."""
+    return n - run + 1 - run * most_edits(n, similarity)
 
 
-def word_pairs(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 40 bits) of the pairs of words that follow each other. Pairs with the same bits count as equal."""
+def shortest(similarity: float) -> int:
+    """The least length from which on lines always have a run of three words in common."""
+    n = np.arange(1, 400)
+    return int(n[common_runs(n, 3, similarity) < 1].max(initial=0)) + 1
+
+
+def prefix_length(n: int, run: int, similarity: float) -> int:
+    """How many first runs of a line of n words hold one that is also among the first of any line within the
+    similarity, of n words or more. Runs of three words serve where the longer line has `shortest` words or more, runs
+    of two below."""
+    edge = shortest(similarity)
+    most = int(n / similarity + 1e-9)
+    longer = np.arange(n, min(most, edge - 1) + 1) if run == 2 else np.arange(max(n, edge), most + 1)
+    return int(n - run + 1 - max(1, common_runs(longer, run, similarity).min()) + 1) if len(longer) else 0
+
+
+def word_runs(codes: np.ndarray, offsets: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 40 bits) of the runs of so many words. Runs with the same bits count as equal."""
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
-    inside = np.flatnonzero(row[1:] == row[:-1])
+    inside = np.flatnonzero(row[run - 1 :] == row[: len(row) - run + 1])
     wide = codes.astype(np.uint64)
-    return row[inside], mix((wide[inside] << np.uint64(16)) + wide[inside + 1] + np.uint64(1)) >> np.uint64(24)
+    whole = np.full(len(inside), run, np.uint64)
+    for k in range(run):
+        whole = (whole << np.uint64(16)) + wide[inside + k]
+    return row[inside], mix(whole) >> np.uint64(24)
 
 
-def pair_counts(lines: DataFrame, pairs: int) -> np.ndarray:
-    """For each value of the low bits of a word pair, 8 log2 of how often it occurs in all lines, plus 1; 0 if never.
+def run_counts(lines: DataFrame, pairs: int) -> np.ndarray:
+    """For each value of the low bits of a run of words, 8 log2 of how often it occurs in all lines, plus 1; 0 if never.
 
     One byte each, for at most RANKS values: a table of bounded size, whatever the lines."""
     size = 1 << min(max((pairs // 2).bit_length(), 20), RANKS.bit_length() - 1)
@@ -133,7 +149,7 @@ def pair_counts(lines: DataFrame, pairs: int) -> np.ndarray:
         total = np.zeros(size, np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                np.add.at(total, (word_pairs(*code_arrays(batch.column(0).slice(at, 4096)))[1] & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
+                np.add.at(total, (word_runs(*code_arrays(batch.column(0).slice(at, 4096)), 3)[1] & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
         for i, some in enumerate(total.reshape(-1, slice_)):
             if some.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed(some)], pa.binary())], ["slice", "counts"])
@@ -158,24 +174,30 @@ def pair_counts(lines: DataFrame, pairs: int) -> np.ndarray:
     return out
 
 
-def rare_pairs(codes: np.ndarray, offsets: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
-    """(row, key, how common) of each row's first word pairs, rare ones first. At most 4096 rows."""
-    row, pair = word_pairs(codes, offsets)
-    rank = common[pair & np.uint64(len(common) - 1)].astype(np.uint64)
-    # one number each: row, rank and pair, as bits
-    value = np.sort((row << np.uint64(52)) | (rank << np.uint64(40)) | pair)
-    row = (value >> np.uint64(52)).astype(np.int64)
-    # a pair's repeats in a line are told apart by number
-    new = np.flatnonzero(np.r_[True, value[1:] != value[:-1]][: len(value)])
-    nth = np.arange(len(value)) - np.repeat(new, np.diff(np.r_[new, len(value)]))
-    n = np.diff(offsets)
+def rare_runs(codes: np.ndarray, offsets: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """(row, key, how common) of each row's first runs of words, rare ones first. At most 4096 rows."""
+    n, edge, out = np.diff(offsets), shortest(similarity), []
     sizes, which = np.unique(n, return_inverse=True)
-    first = np.array([prefix_length(x, similarity) for x in sizes.tolist()], np.int64)[which]
-    at = np.cumsum(n - 1) - (n - 1)
-    kept = np.flatnonzero(np.arange(len(row)) - at[row] < first[row])
-    value = value[kept]
-    key = mix((value & np.uint64((1 << 40) - 1)) + nth[kept].astype(np.uint64) * np.uint64(BASE))
-    return row[kept], key, (value >> np.uint64(40)).astype(np.uint8)
+    for run in (2, 3):
+        first = np.array([prefix_length(x, run, similarity) for x in sizes.tolist()], np.int64)[which]
+        if not (first > 0).any():
+            continue
+        row, pair = word_runs(codes, offsets, run)
+        if run == 2:  # short lines only
+            short = np.flatnonzero(n[row.astype(np.int64)] < edge)
+            row, pair = row[short], pair[short]
+        rank = common[pair & np.uint64(len(common) - 1)].astype(np.uint64)
+        # one number each: row, rank and run, as bits
+        value = np.sort((row << np.uint64(52)) | (rank << np.uint64(40)) | pair)
+        row = (value >> np.uint64(52)).astype(np.int64)
+        # a run's repeats in a line are told apart by number
+        new = np.flatnonzero(np.r_[True, value[1:] != value[:-1]][: len(value)])
+        nth = np.arange(len(value)) - np.repeat(new, np.diff(np.r_[new, len(value)]))
+        kept = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, np.arange(len(n)))[row] < first[row])
+        value = value[kept]
+        key = mix((value & np.uint64((1 << 40) - 1)) + nth[kept].astype(np.uint64) * np.uint64(BASE))
+        out.append((row[kept], key, (value >> np.uint64(40)).astype(np.uint8)))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint8))
 
 
 def parities(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -197,13 +219,13 @@ def unpacked(column: pa.ChunkedArray, n: list[int], kind: type) -> list[np.ndarr
 
 
 def postings(lines: DataFrame, pairs: int, parts: int, similarity: float, bucket: int, per_piece: int) -> DataFrame:
-    """lines (id, codes) to their rare word pairs: a row for each part of the key space and up to 4096 lines, with the
+    """lines (id, codes) to their rare runs of words: a row for each part of the key space and up to 4096 lines, with the
     keys' 32 other bits, the lines' ids (as steps) and lengths.
 
-    A pair that stands out by its count, more than a bucket holds, is dealt over several parts by line: `parts` times
+    A run that stands out by its count, more than a bucket holds, is dealt over several parts by line: `parts` times
     the number of its piece is added to the part.
     """
-    common = pair_counts(lines, pairs)
+    common = run_counts(lines, pairs)
     usual = pairs / len(common)  # what any value of the low bits has
     counted = 2 ** ((np.arange(256) - 1) / 8)
     pieces = np.where((counted > bucket) & (counted > 8 * usual), 1 + np.ceil(counted / per_piece), 0).astype(np.int64)
@@ -214,7 +236,7 @@ def postings(lines: DataFrame, pairs: int, parts: int, similarity: float, bucket
                 some = batch.slice(at, 4096)
                 codes, offsets = code_arrays(some.column(1))
                 ids, n = np.asarray(some.column(0)), np.diff(offsets)
-                row, key, rank = rare_pairs(codes, offsets, common, similarity)
+                row, key, rank = rare_runs(codes, offsets, common, similarity)
                 part = (key & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
                 hot = np.flatnonzero(pieces[rank])
                 part[hot] += np.uint64(parts) * (1 + mix(ids[row[hot]].view(np.uint64)) % pieces[rank[hot]].astype(np.uint64))
@@ -334,7 +356,7 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
                 yield from picked_groups((one % parts << 32) + block, ids, n, size, similarity, bucket)
 
     pairs = (lines.agg(F.sum(F.length("codes")).alias("n")).first()["n"] or 0) // 2
-    parts = max(width(lines.sparkSession), int(pairs * 2 * (1 - similarity) / per_part) + 1)
+    parts = max(width(lines.sparkSession), int(pairs * 3 * (1 - similarity) / per_part) + 1)
     dealt = postings(lines, pairs, parts, similarity, bucket, per_part).repartition(parts, "part").sortWithinPartitions("part")
     picked = materialise(dealt.mapInArrow(pick, PICKED), "blocks")
     return linked(picked, lines, similarity, bucket, judge)
