@@ -250,6 +250,19 @@ def postings(lines: DataFrame, pairs: int, parts: int, similarity: float, bucket
     return lines.select("id", "codes").mapInArrow(run, "part int, n long, blocks binary, ids binary, words binary")
 
 
+def replaced(codes: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many places of rows a[i] and b[i] differ, if these are of one length; else more than any row has."""
+    n = np.diff(offsets)
+    out = np.full(len(a), 1 << 60, np.int64)
+    same = np.flatnonzero(n[a] == n[b])
+    length = n[a[same]]
+    pair = np.repeat(np.arange(len(same)), length)
+    place = np.arange(len(pair)) - np.repeat(np.cumsum(length) - length, length)
+    differs = codes[offsets[a[same]][pair] + place] != codes[offsets[b[same]][pair] + place]
+    out[same] = np.bincount(pair[differs], minlength=len(same))
+    return out
+
+
 def one_pair_edits(a: np.ndarray, b: np.ndarray) -> int:
     """The edits between two rows of codes: bit vectors, a word of the longer at a time."""
     n = min(len(a), len(b))
@@ -334,7 +347,15 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
         codes, offsets = code_arrays(column)
         n = np.diff(offsets)
         most = most_edits(n, similarity)
-        return n, parities(codes, offsets), lambda a, b: pair_edits(codes, offsets, a, b) <= np.maximum(most[a], most[b])
+
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            # words replaced in place are edits: with few of them a pair needs no more
+            out = replaced(codes, offsets, a, b) <= most[a]
+            rest = np.flatnonzero(~out)
+            out[rest] = pair_edits(codes, offsets, a[rest], b[rest]) <= np.maximum(most[a[rest]], most[b[rest]])
+            return out
+
+        return n, parities(codes, offsets), near
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "part", 1):
