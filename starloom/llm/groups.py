@@ -51,15 +51,18 @@ def close_pairs(n: np.ndarray, group: np.ndarray, similarity: float, parity: np.
     """Places (i, j), i < j, of rows of one group whose lengths, and parities if given, don't rule the similarity out."""
     most = most_edits(n, similarity)
     left, right, place = [], [], np.arange(len(n))
+    folded = None if parity is None else np.bitwise_xor.reduce(parity, axis=0)
     for shift in range(1, len(n)):
         place = place[: np.searchsorted(place, len(n) - shift)]
         place = place[group[place] == group[place + shift]]
         if not len(place):
             break
         edits = np.maximum(most[place], most[place + shift])
-        near = np.abs(n[place] - n[place + shift]) <= edits
+        near = np.flatnonzero(np.abs(n[place] - n[place + shift]) <= edits)
         if parity is not None:
-            near &= np.bitwise_count(parity[:, place] ^ parity[:, place + shift]).sum(axis=0) <= 2 * edits
+            # the parities of all words in one integer rule most pairs out
+            near = near[np.bitwise_count(folded[place[near]] ^ folded[place[near] + shift]) <= 2 * edits[near]]
+            near = near[np.bitwise_count(parity[:, place[near]] ^ parity[:, place[near] + shift]).sum(axis=0) <= 2 * edits[near]]
         left.append(place[near])
         right.append(place[near] + shift)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
