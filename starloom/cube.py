@@ -1,6 +1,7 @@
 """The cube: tables linked by the columns they share, filtered in named states, queried by named metrics.
 
-Everything that `query`, `dimensions` and the like return is a lazy Spark DataFrame.
+Everything that `query`, `dimensions` and the like return is a lazy Spark DataFrame. Planning may look up facts about
+keys, see `Hypercube`.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ class Hypercube:
     tables: name -> Spark or pandas DataFrame. Columns of one name link tables; two or more of them link through a
     composite bridge. rename_original_shared_columns: keep each table's copy of a shared column as `col <table>`.
     normalized_core: join all tables once and keep the result as a table in the shared folder; the answers are the
-    same. statistics: "auto" looks facts about keys up once each, "declared" uses only what declare_keys and
-    declare_matched say (the test for rows that match nothing is always made, as results depend on it).
+    same. statistics: "auto" looks facts about keys up by a job a shared column, when a plan first needs them (or all at
+    once in `analyze`); they hold for the data as it then was: after a change call `load_data` or `forget_facts`.
+    "declared" uses only what declare_keys and declare_matched say, and runs no job.
     """
 
     def __init__(
@@ -88,9 +90,13 @@ class Hypercube:
         self._ready().declare_matched(table, other, column)
 
     def analyze(self) -> None:
-        """Look up all facts about keys now; later joins are as weak as those allow."""
+        """Look up all facts about keys now, in one job."""
         self._ready().analyze()
 
+    def forget_facts(self) -> None:
+        """Forget what was looked up or declared about keys: to be called when the tables' data changed."""
+        self._ready().forget()
+
     def _ready(self) -> KeySpace:
         if self.space is None:
             raise ValueError("Cyclic relationships: the tables can't be queried")
@@ -570,11 +576,13 @@ class Hypercube:
     def save(self, path: str) -> None:
         """Write tables (Parquet) and definitions (one JSON line of text) under path, any folder that Spark can write.
 
-        Functions are kept by what imports them; lambdas and the like are left out, and filter states aren't kept.
+        Functions are kept by what imports them; lambdas and the like are left out. Filter states are kept with their
+        logs; filter values must be plain data, dates or timestamps.
         """
         for name, df in self.tables.items():
             df.write.mode("overwrite").parquet(f"{path}/tables/{name}")
         about = {"tables": list(self.tables), "options": self._options, "normalized_core": self.normalized_core, "specs": self.specs(), "functions": self._functions.specs()}
+        about["states"] = {n: s.spec() for n, s in self.context_states.items()}
         self.spark.createDataFrame([(json.dumps(about, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/cube")
 
     @classmethod
@@ -586,6 +594,7 @@ class Hypercube:
         cube = cls(spark=session, function_registry=FunctionRegistry.from_specs(about["functions"]))
         cube.load_data(tables, **about["options"], normalized_core=about["normalized_core"])
         cube.apply_specs(about["specs"])
+        cube.context_states |= {n: ContextState.from_spec(s) for n, s in about.get("states", {}).items()}
         return cube
 
     def columns_of(self, *expressions: str) -> list[str]:

@@ -1,9 +1,10 @@
 """The key space: the full outer join of all tables along the link tree, planned over the part a query needs.
 
 A query's tables span a subtree; only that is joined. Where something outside the subtree matches nothing inside, the
-full join has one more, all-NULL row in the query's columns; a cached existence test per edge tells. Facts about keys
-(unique, free of NULLs, always matched) are found once, by a job over the key column, or declared; they weaken full
-joins to left, right or inner ones, which Catalyst can reorder and broadcast.
+full join has one more, all-NULL row in the query's columns. Facts about keys (unique, free of NULLs, always matched)
+weaken full joins to left, right or inner ones, which Catalyst can reorder and broadcast. They are declared, or found
+by one aggregation over a shared column's keys in all its tables when a plan first needs them; with declared facts
+only, planning runs no job and what isn't known is left to the plan.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ from pyspark.sql import types as T
 
 from .model import LinkModel, hub_node, is_hub
 
+#: Other tables, at most, of a shared column for which all sets of them are looked up at once.
+SUBSETS = 4
+
 _fallback: dict[str, str] = {}
 
 
@@ -131,6 +136,11 @@ class KeySpace:
         """The user's word that every row of table has its key of this shared column in other."""
         self._dangling[table, column, frozenset([other])] = False
 
+    def forget(self) -> None:
+        """Forget all facts, declared ones too."""
+        for memory in (self._unique, self._nulls, self._dangling):
+            memory.clear()
+
     def unique(self, table: str, hub: str) -> bool:
         """Whether no key of the hub is in two rows of the table; taken as false where it may not be looked up."""
         if table in self.model.composites and set(self.model.hubs[hub].source[table]) == set(self.model.composites[table].columns):
@@ -138,42 +148,65 @@ class KeySpace:
         if (table, hub) not in self._unique:
             if self.statistics == "declared":
                 return False
-            counts = self.rows(table).groupBy(self.key(table, hub).alias("k")).count()
-            self._unique[table, hub] = counts.where("count > 1").isEmpty()
+            self._learn([hub])
         return self._unique[table, hub]
 
     def has_nulls(self, table: str, hub: str) -> bool:
         if (table, hub) not in self._nulls:
             if self.statistics == "declared":
                 return True
-            missing = reduce(Column.__or__, (col(c).isNull() for c in self.model.hubs[hub].source[table]))
-            self._nulls[table, hub] = not self.rows(table).where(missing).isEmpty()
+            self._learn([hub])
         return self._nulls[table, hub]
 
     def plain_key(self, hub: str, tables: list[str]) -> bool:
         """Whether a single-column key may be compared as it is: NULLs of one table alone meet nothing."""
         return len(self.key_types[hub]) == 1 and sum(self.has_nulls(t, hub) for t in tables) <= 1
 
-    def dangling(self, table: str, hub: str, others: list[str], known_only: bool = False) -> bool:
-        """Whether some row of table has a key that none of the others has. Unknown counts as true if known_only."""
+    def dangling(self, table: str, hub: str, others: list[str]) -> bool:
+        """Whether some row of table has a key that none of the others has; taken as true where it may not be looked
+        up."""
         if any(o in self.model.composites and table in self.model.composites[o].participants for o in others):
             return False
         case = (table, hub, frozenset(others))
+        if case not in self._dangling and self.statistics == "declared":
+            return True
         if case not in self._dangling:
-            if known_only:
-                return True
-            keys = reduce(DataFrame.union, (self.rows(o).select(self.key(o, hub).alias("k")) for o in others))
-            self._dangling[case] = not self.rows(table).select(self.key(table, hub).alias("k")).join(keys, "k", "left_anti").isEmpty()
+            self._learn([hub])
+        if case not in self._dangling:  # a set of tables that _learn leaves out
+            self._dangling[case] = not self._unmatched(table, hub, others).isEmpty()
         return self._dangling[case]
 
+    def _unmatched(self, table: str, hub: str, others: list[str]) -> DataFrame:
+        """The keys of table's rows that none of the others has."""
+        keys = reduce(DataFrame.union, (self.rows(o).select(self.key(o, hub).alias("k")) for o in others))
+        return self.rows(table).select(self.key(table, hub).alias("k")).join(keys, "k", "left_anti")
+
+    def _learn(self, hubs: list[str]) -> None:
+        """All facts about the keys of these shared columns, in one job with one shuffle of counted keys a column.
+        What is declared stays as declared."""
+        found, facts = [], {}
+        for h in hubs:
+            tables = list(self.model.hubs[h].source)
+            tagged = reduce(DataFrame.union, (self.rows(t).select(F.lit(i).alias("t"), self.key(t, h).alias("k")) for i, t in enumerate(tables)))
+            counts = tagged.groupBy("k").agg(*(F.count_if(F.col("t") == i).alias(f"n{i}") for i in range(len(tables))))
+            null = reduce(Column.__or__, (F.col("k").getField(f"k{i}").isNull() for i in range(len(self.key_types[h]))))
+            has = [F.col(f"n{i}") > 0 for i in range(len(tables))]
+            facts[h] = [(self._unique, (t, h), F.max(f"n{i}") <= 1) for i, t in enumerate(tables)]
+            facts[h] += [(self._nulls, (t, h), F.bool_or(null & has[i])) for i, t in enumerate(tables)]
+            for i, t in enumerate(tables):
+                rest = [o for o in range(len(tables)) if o != i]
+                for n in range(1, len(rest) + 1) if len(rest) <= SUBSETS else (1,):
+                    for some in combinations(rest, n):
+                        alone = F.bool_or(has[i] & ~reduce(Column.__or__, (has[o] for o in some)))
+                        facts[h].append((self._dangling, (t, h, frozenset(tables[o] for o in some)), alone))
+            found.append(counts.agg(F.array(*(F.coalesce(f, F.lit(m is self._unique)) for m, _, f in facts[h])).alias("found")).select(F.lit(h).alias("hub"), "found"))
+        for row in reduce(DataFrame.union, found).collect() if found else []:  # a row a shared column
+            for (memory, case, _), value in zip(facts[row["hub"]], row["found"]):
+                memory.setdefault(case, value)
+
     def analyze(self) -> None:
-        """Find all facts about keys at once, so that later plans have the weakest joins."""
-        for h, hub in self.model.hubs.items():
-            for t in hub.source:
-                self.unique(t, h), self.has_nulls(t, h)
-                for o in hub.source:
-                    if o != t:
-                        self.dangling(t, h, [o])
+        """Find all facts about keys in one job; the plans are the same as if each were found when it is needed."""
+        self._learn([h for h, hub in self.model.hubs.items() if len(hub.source) > 1])
 
     # --- joined frames -----------------------------------------------------------------------------------------
 
@@ -190,19 +223,31 @@ class KeySpace:
             raise KeyError(f"Unknown columns: {unknown}")
         nodes = self.model.subtree({self.model.owner[c] for c in needed} | index)
         selected = {c for c in needed if is_hub(self.model.owner[c])}
-        root = min(index & nodes or {n for n in nodes if not is_hub(n)} or nodes)
+        root = min(index & nodes or {n for n in nodes if not is_hub(n)} or nodes, key=self._rank)
         plan = _Subtree(self, nodes, needed, index, selected, [p for p in predicates if not admits_null(p[1])])
         out = plan.build(root, None)[0]
-        if all(admits_null(v) for _, v in predicates) and self._null_row(nodes, selected):
-            empty = self.spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema.fields))
-            out = out.unionByName(empty)
+        if all(admits_null(v) for _, v in predicates):
+            loose = self._loose_edges(nodes, selected)
+            empty = self.spark.range(1)
+            if loose and self.statistics == "declared":  # the plan finds out
+                rows = reduce(DataFrame.union, (self._unmatched(*edge).select(F.lit(1)).limit(1) for edge in loose))
+                empty = empty.join(rows, how="left_semi")
+            if loose:
+                out = out.unionByName(empty.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema.fields)))
         if condition is not None:
             out = out.where(condition)
         return out.select(*(col(c) for c in wanted))
 
-    def _null_row(self, nodes: set[str], selected: set[str]) -> bool:
-        """Whether the full join over all tables has a row that is NULL in everything of this subtree."""
-        seen, todo = set(nodes), [(n, None) for n in nodes]
+    def _rank(self, table: str) -> tuple:
+        """The joins' root is the least: the table on the many side of most of its links."""
+        hubs = [] if is_hub(table) else [n[1:] for n in self.model.neighbours(table)]
+        keyed = sum(self.unique(table, h) for h in hubs if len(self.model.hubs[h].source) > 1)
+        return keyed, -len(hubs), table
+
+    def _loose_edges(self, nodes: set[str], selected: set[str]) -> list[tuple[str, str, list[str]]]:
+        """(table, shared column, tables): edges over which a row of the full join over all tables may be NULL in
+        everything of this subtree, as a key of the table is in none of the others. The first one found will do."""
+        seen, todo, loose = set(nodes), [(n, None) for n in nodes], []
         while todo:
             node, towards = todo.pop()
             for n in self.model.neighbours(node):
@@ -217,8 +262,10 @@ class KeySpace:
                 hub = node[1:]
                 inside = [t for t in self.model.hubs[hub].source if t in nodes] if node in nodes else [towards]
                 if not (node in nodes and hub in selected) and self.dangling(n, hub, inside):
-                    return True
-        return False
+                    loose.append((n, hub, inside))
+                    if self.statistics != "declared":
+                        return loose
+        return loose
 
     def fans_out(self, trajectory: set[str], nodes: set[str], selected: set[str]) -> bool:
         """Whether joining the subtree may repeat a row of the trajectory's tables: some step away from them is not to
@@ -236,7 +283,7 @@ class KeySpace:
 
 
 class _Subtree:
-    """One frame's joins: from the leaves to the root, so that the root's table, the largest, is joined last."""
+    """One frame's joins: from the leaves to the root, so that the root is joined last."""
 
     def __init__(self, space: KeySpace, nodes: set[str], columns: set[str], index: set[str], selected: set[str], predicates: list[tuple[str, list]]) -> None:
         self.space, self.model = space, space.model
@@ -281,8 +328,8 @@ class _Subtree:
             other, other_partial = found
             beyond = [n for n in self.model.neighbours(node) if n in self.nodes and n != table]
             simple = len(beyond) == 1 and hub not in self.selected
-            right = other_partial or not simple or self.space.dangling(beyond[0], hub, [table], known_only=True)
-            left = partial or not simple or self.space.dangling(table, hub, beyond, known_only=True)
+            right = other_partial or not simple or self.space.dangling(beyond[0], hub, [table])
+            left = partial or not simple or self.space.dangling(table, hub, beyond)
             how = "full" if left and right else "left" if left else "right" if right else "inner"
             other = other.withColumnRenamed(key, "_other_key")
             out = out.join(other, col(key) == col("_other_key"), how)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
+from datetime import date, datetime
+from decimal import Decimal
 from typing import Any
 
 #: A filter: column -> allowed values. A state's predicates are a list of them, all of which must hold.
@@ -18,6 +21,30 @@ def as_criteria(criteria: dict[str, Any] | None) -> Criteria:
     return {c: as_values(v) for c, v in (criteria or {}).items()}
 
 
+def _tagged(value: Any) -> Any:
+    """What JSON has no form for, as JSON: dates and times by their names, numbers of other libraries as numbers."""
+    if isinstance(value, datetime):
+        return {"datetime": value.isoformat()}
+    if isinstance(value, date):
+        return {"date": value.isoformat()}
+    if isinstance(value, Decimal):
+        return {"decimal": str(value)}
+    if hasattr(value, "item"):
+        return value.item()
+    raise TypeError(f"A filter on {value!r} can't be kept")
+
+
+def _plain(value: Any) -> Any:
+    """What _tagged was made from."""
+    forms = {"datetime": datetime.fromisoformat, "date": date.fromisoformat, "decimal": Decimal}
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    if isinstance(value, dict):
+        tag = next(iter(value)) if len(value) == 1 else None
+        return forms[tag](value[tag]) if tag in forms and isinstance(value[tag], str) else {k: _plain(v) for k, v in value.items()}
+    return value
+
+
 @dataclass
 class ContextState:
     """The predicates that hold now, and the log of what led to them.
@@ -83,6 +110,15 @@ class ContextState:
             self.remove(active)
         return True
 
+    def spec(self) -> dict[str, Any]:
+        """The state as plain data."""
+        return json.loads(json.dumps(asdict(self), default=_tagged))
+
+    @classmethod
+    def from_spec(cls, spec: dict[str, Any]) -> ContextState:
+        pairs = lambda rows: [(first, _plain(second)) for first, second in rows]
+        return cls(pairs(spec["base"]), pairs(spec["predicates"]), pairs(spec["log"]), spec["pointer"])
+
     @property
     def all_predicates(self) -> list[tuple[str, list]]:
         return [*self.base, *self.predicates]

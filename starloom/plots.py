@@ -5,6 +5,8 @@ Data preparation stays lazy; a renderer fetches at most its row limit.
 
 from __future__ import annotations
 
+import html
+import numbers
 from abc import ABC, abstractmethod
 from typing import Any
 
@@ -53,19 +55,28 @@ class DefaultPlotConfigResolver(PlotConfigResolver):
 # --- data ------------------------------------------------------------------------------------------------------------
 
 
-def sorted_and_limited(df: DataFrame, config: dict[str, Any]) -> DataFrame:
-    """sort_by (with a direction each, the last one repeated), or the only metric if sort_values; then the limit."""
+def sort_keys(config: dict[str, Any], columns: list[str]) -> list[tuple[str, bool]]:
+    """sort_by, or the only metric if sort_values, as far as these are columns, each with whether it ascends: a
+    direction each, the last one repeated."""
     by = config.get("sort_by")
     by = [by] if isinstance(by, str) else list(by or [])
     if not by and config.get("sort_values") and len(config["metrics"]) == 1:
         by = list(config["metrics"])
     ways = config.get("sort_ascending", True)
     ways = list(ways) if isinstance(ways, (list, tuple)) else [ways]
-    keys = [c for c in by if c in df.columns]
+    ways = ways or [True]
+    keys = [c for c in by if c in columns]
+    return list(zip(keys, ways + [ways[-1]] * len(keys)))
+
+
+def _arranged(df: DataFrame, keys: list[tuple[str, bool]], limit: Any) -> DataFrame:
     if keys:
-        ways += [ways[-1]] * len(keys)
-        df = df.orderBy(*(col(c).asc_nulls_last() if w else col(c).desc_nulls_last() for c, w in zip(keys, ways)))
-    return df.limit(int(config["limit"])) if config.get("limit") else df
+        df = df.orderBy(*(col(c).asc_nulls_last() if up else col(c).desc_nulls_last() for c, up in keys))
+    return df.limit(int(limit)) if limit else df
+
+
+def sorted_and_limited(df: DataFrame, config: dict[str, Any]) -> DataFrame:
+    return _arranged(df, sort_keys(config, df.columns), config.get("limit"))
 
 
 def pivoted(df: DataFrame, index: list[str], by: str, metric: str, how: str = "sum", values: list | None = None) -> DataFrame:
@@ -75,7 +86,23 @@ def pivoted(df: DataFrame, index: list[str], by: str, metric: str, how: str = "s
     if how == "sum":
         out = grouped.agg(F.sum(col(metric)))
         return out.na.fill(0, [c for c in out.columns if c not in index])
-    return grouped.agg(F.first(col(metric), ignorenulls=True))
+    return grouped.agg(F.min(col(metric)))  # a query's result has one value a cell; of several the least
+
+
+def sorted_pivot(df: DataFrame, index: list[str], by: str, metric: str, config: dict[str, Any]) -> DataFrame:
+    """A pivot of one value a cell in its own order, then the limit. Sort columns that the pivot doesn't have are taken
+    from df, the least value of an index member, and dropped after sorting."""
+    out = pivoted(df, index, by, metric, "first")
+    keys = sort_keys(config, [*out.columns, *df.columns])
+    extra = [c for c, _ in keys if c not in out.columns]
+    if extra:
+        names = {c: f"_sort_{i}" for i, c in enumerate(extra)}
+        least = df.groupBy(*(col(c).alias(f"_at_{i}") for i, c in enumerate(index))).agg(*(F.min(col(c)).alias(n) for c, n in names.items()))
+        same = [col(c).eqNullSafe(F.col(f"_at_{i}")) for i, c in enumerate(index)]
+        out = out.join(least, same, "left") if same else out.crossJoin(F.broadcast(least))  # without an index: one row each
+        keys = [(names.get(c, c), up) for c, up in keys]
+        return _arranged(out, keys, config.get("limit")).drop(*names.values(), *(f"_at_{i}" for i in range(len(index))))
+    return _arranged(out, keys, config.get("limit"))
 
 
 def melted(df: DataFrame, dimensions: list[str], metrics: list[str]) -> DataFrame:
@@ -109,6 +136,10 @@ def ranked_share(df: DataFrame, metric: str, by: list[str]) -> DataFrame:
 def plot_data(df: DataFrame, config: dict[str, Any]) -> DataFrame:
     """What a plot of this type draws, from its query's result."""
     dims, mets, kind = config["dimensions"], config["metrics"], config["plot_type"]
+    if kind == "pivot":
+        by = config.get("pivot") or dims[-1]
+        by = by[0] if isinstance(by, list) else by
+        return sorted_pivot(df, [d for d in dims if d != by], by, mets[0], config)
     df = sorted_and_limited(df.select(*(col(c) for c in [*dims, *mets])), config)
     if kind == "pie":
         return shares(df, dims[0], mets[0])
@@ -116,10 +147,6 @@ def plot_data(df: DataFrame, config: dict[str, Any]) -> DataFrame:
         return df.limit(1)
     if kind in ("bar", "line", "area", "heatmap") and len(dims) == 2 and len(mets) == 1:
         return pivoted(df, [dims[0]], dims[1], mets[0], "first" if kind == "heatmap" else "sum")
-    if kind == "pivot":
-        by = config.get("pivot") or dims[-1]
-        by = by[0] if isinstance(by, list) else by
-        return pivoted(df, [d for d in dims if d != by], by, mets[0], "first")
     return df
 
 
@@ -134,6 +161,18 @@ def format_value(value: Any, pattern: str | None = None) -> str:
     return f"{value:,}" if isinstance(value, int) else f"{value:,.2f}"
 
 
+def row_colour(row: Any, config: dict[str, Any]) -> str | None:
+    """The colour of row_colors for a row's value of the column row_color_condition. Where the colours are for True and
+    False, a number counts as whether it is above 0."""
+    colours, column = config.get("row_colors") or {}, config.get("row_color_condition")
+    if column not in row:
+        return None
+    value = row[column]
+    if {"True", "False"} & set(colours) and isinstance(value, numbers.Real):
+        value = bool(value > 0)
+    return colours.get(str(value))
+
+
 # --- renderers -------------------------------------------------------------------------------------------------------
 
 
@@ -185,6 +224,29 @@ class TextRenderer(PlotRenderer):
         return "\n".join(lines)
 
 
+class HtmlRenderer(PlotRenderer):
+    """The plot's data as an HTML table: formatted cells, rows coloured by row_color_condition and row_colors (a column
+    of the plot's data), annotations below, row numbers unless hide_index."""
+
+    def __init__(self, rows: int = 1_000) -> None:
+        self.rows = rows
+
+    def render(self, data: DataFrame, config: dict[str, Any], **options: Any) -> str:
+        rows = plot_data(data, config).limit(self.rows).toPandas()
+        formats, numbered = config.get("formatter") or {}, not config.get("hide_index")
+        cells = lambda tag, values: "".join(f"<{tag}>{html.escape(str(v))}</{tag}>" for v in values)
+        out = [f"<caption>{html.escape(str(config['title']))}</caption>"] if config.get("title") else []
+        out.append(f"<tr>{cells('th', [*([''] if numbered else []), *rows.columns])}</tr>")
+        for i, (_, row) in enumerate(rows.iterrows()):
+            colour = row_colour(row, config)
+            style = f' style="background-color: {html.escape(colour)}"' if colour else ""
+            out.append(f"<tr{style}>{cells('td', [*([i] if numbered else []), *(format_value(v, formats.get(c)) for c, v in row.items())])}</tr>")
+        notes = config.get("annotations") or []
+        notes = [notes] if isinstance(notes, (str, dict)) else notes
+        below = "".join(f"<p>{html.escape(str(n.get('text', n) if isinstance(n, dict) else n))}</p>" for n in notes)
+        return f"<table>{''.join(out)}</table>{below}"
+
+
 class MatplotlibRenderer(PlotRenderer):
     """Figures with pandas' plotting, where matplotlib is installed."""
 

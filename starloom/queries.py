@@ -6,7 +6,8 @@ in different orders.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,7 @@ LINKS = {
     "labels": {},
 }
 SALES = ["region", "nation", "customer", "orders", "lineitem", "part", "supplier"]
+KINDS = {"sales": SALES, "events": ["region", "nation", "customer", "orders", "events"], "stock": ["part", "supplier", "lineitem"], "docs": ["documents", "labels"]}
 REVENUE = "[l_extendedprice] * (1 - [l_discount])"
 
 _cubes: dict[tuple, Hypercube] = {}
@@ -40,15 +42,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return with_names(spark.read.parquet(f"{sf_dir}/{name}.parquet"), LINKS[name])
 
 
+def forget_cubes() -> None:
+    """Let the next queries make their cubes, and look up facts about keys, anew."""
+    _cubes.clear()
+
+
+def _listing(spark: SparkSession, sf_dir: str, tables: Iterable[str]) -> tuple:
+    """What tells one state of the tables' files from another: their names and, where they are local, sizes and times."""
+    out = []
+    for table in tables:
+        for name in sorted(spark.read.parquet(f"{sf_dir}/{table}.parquet").inputFiles()):
+            local = name.removeprefix("file://")
+            out.append((name, os.stat(local).st_size, os.stat(local).st_mtime_ns) if os.path.exists(local) else (name,))
+    return tuple(out)
+
+
 def cube_of(spark: SparkSession, sf_dir: str, kind: str = "sales") -> Hypercube:
-    """The cube of a kind; kept per application, as it holds no data but what it found out about keys."""
-    at = (spark.sparkContext.applicationId, sf_dir, kind)
+    """The cube of a kind. It holds no data but what it found out about keys, and is kept per application as long as
+    its tables have the same files."""
+    at = (spark.sparkContext.applicationId, sf_dir, kind, _listing(spark, sf_dir, KINDS[kind]))
     if at not in _cubes:
         read = lambda *names: {n: _table(spark, sf_dir, n) for n in names}
         if kind == "sales":
-            tables = read(*SALES)
+            tables = read(*KINDS[kind])
         elif kind == "events":
-            tables = read("region", "nation", "customer", "orders", "events")
+            tables = read(*KINDS[kind])
         elif kind == "stock":
             lines = _table(spark, sf_dir, "lineitem")
             stock = lines.where("l_linenumber <= 3").groupBy("partkey", "suppkey").agg(F.count(F.lit(1)).alias("avail"))
@@ -57,6 +75,7 @@ def cube_of(spark: SparkSession, sf_dir: str, kind: str = "sales") -> Hypercube:
             tables = {"documents": _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "labels": _table(spark, sf_dir, "labels")}
         cube = _cubes[at] = Hypercube(tables, spark=spark)
         _define(cube, kind)
+        cube.analyze()
     return _cubes[at]
 
 
@@ -71,8 +90,19 @@ def doubled(values: pd.Series) -> pd.Series:
 doubled.return_type = "double"
 
 
+def nearly_all(values: pd.Series, least: float) -> pd.Series:
+    return values >= least
+
+
+nearly_all.return_type = "boolean"
+
+
+def in_brackets(row: dict) -> str:
+    return f"[{row['n_name']}={row['value']}]"
+
+
 def _define(cube: Hypercube, kind: str) -> None:
-    cube.add_functions(doubled=doubled, p90=percentile_90)
+    cube.add_functions(doubled=doubled, p90=percentile_90, nearly_all=nearly_all)
     if kind == "sales":
         cube.define_metric("revenue", REVENUE, "sum")
         cube.define_metric("quantity", "[l_quantity]", "sum")
@@ -102,6 +132,17 @@ def _define(cube: Hypercube, kind: str) -> None:
         cube.define_metric("any_returned", "[l_returnflag] == 'R'", "any")
         cube.define_metric("all_small", "[l_quantity] <= 50", "all")
         cube.define_metric("unit_price", "[l_extendedprice] / [l_quantity]", "mean")
+        cube.define_metric("rows", "[l_quantity]", "size")
+        cube.define_metric("first_line", "[l_linenumber]", "first", nested={"dimensions": ["l_linenumber"], "aggregation": "min"})
+        cube.define_metric("last_line", "[l_linenumber]", "last", nested={"dimensions": ["l_linenumber"], "aggregation": "min"})
+        cube.define_metric("name_product", "[r_name].str.len()", "prod")
+        cube.define_metric("bracketed", "[c_acctbal]", "concat", nested={"dimensions": ["n_name"], "aggregation": "count", "compose": in_brackets})
+        cube.define_metric("unknown_segments", "[l_quantity]", "sum", metric_filters={"c_mktsegment": ["BUILDING", None]})
+        cube.define_derived_metric("urgent_share", "[urgent_total] / [order_total]", fillna=0)
+        cube.define_derived_metric("place", "[quantity].rank(ascending=False, method='min')")
+        cube.define_derived_metric("upto", "[quantity].cumsum()")
+        cube.define_derived_metric("change", "[quantity].diff()")
+        cube.define_derived_metric("before", "[quantity].shift(1)")
         cube.define_derived_metric("mean_line", "[revenue] / [lines]")
         cube.define_derived_metric("share", "[revenue] / [revenue_all] * 100")
         cube.define_derived_metric("of_total", "[quantity] / [quantity].sum() * 100")
@@ -167,6 +208,22 @@ def _melted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(plots.melted(result, ["r_name"], ["quantity", "lines"]))
 
 
+def _first_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last ten brands, the last one first, by return flags."""
+    result = cube_of(spark, sf_dir).query(options={"dimensions": ["p_brand", "l_returnflag"], "metrics": ["lines"], "drop_null_dimensions": True})
+    config = plots.DEFAULTS | {"plot_type": "pivot", "dimensions": ["p_brand"], "metrics": ["lines"], "pivot": "l_returnflag", "sort_by": ["p_brand"], "sort_ascending": False, "limit": 10}
+    return plots.plot_data(result, config)
+
+
+def _kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = cube_of(spark, sf_dir).query(options={"metrics": ["revenue"]})
+    return rounded(plots.plot_data(result, plots.DEFAULTS | {"plot_type": "kpi", "dimensions": [], "metrics": ["revenue"]}))
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube_of(spark, sf_dir, "events").get_relationship_matrix()
+
+
 def _cardinalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_of(spark, sf_dir).get_cardinalities(include_inverse=True)
 
@@ -213,6 +270,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "melt": _melted,
     "udf_expression": _query(dimensions=["l_returnflag"], metrics=["doubled_quantity"]),
     "udaf_p90": _query(dimensions=["l_returnflag"], metrics=["p90_quantity"], drop_null_dimensions=True),
+    "null_results_dropped": _query(dimensions=["o_orderpriority"], metrics=["urgent_total"], drop_null_metric_results=True),
+    "derived_fillna": _query(digits=4, dimensions=["o_orderpriority"], metrics=["order_total"], derived_metrics=["urgent_share"]),
+    "size": _query(dimensions=["p_brand"], metrics=["rows"]),
+    "first_last": _query(dimensions=["l_returnflag"], metrics=["first_line", "last_line"], drop_null_dimensions=True),
+    "product": _query(dimensions=["r_name"], metrics=["name_product"]),
+    "ranks_in_expressions": _query(dimensions=["p_brand"], metrics=["quantity"], derived_metrics=["place", "upto", "change", "before"], drop_null_dimensions=True),
+    "having_function": _query(dimensions=["p_brand"], metrics=["quantity"], having="@nearly_all([quantity], 1000)"),
+    "compose_function": _query(dimensions=["r_name"], metrics=["bracketed"], drop_null_dimensions=True),
+    "null_among_filter_values": _query(dimensions=["c_mktsegment"], metrics=["unknown_segments"]),
+    "relationship_matrix": _matrix,
+    "pivot_sorted": _first_pivot,
+    "kpi": _kpi,
     "expressions": _query(digits=3, dimensions=["l_returnflag"], metrics=["last_year", "long_names", "discounted", "any_returned", "all_small", "unit_price"], drop_null_dimensions=True),
 }
 
@@ -272,6 +341,18 @@ ORACLES: dict[str, str] = {
     "pivot_sum": f"WITH {CORE} SELECT p_brand, coalesce(sum(l_quantity) FILTER (l_returnflag = 'A'), 0) AS \"A\", coalesce(sum(l_quantity) FILTER (l_returnflag = 'N'), 0) AS \"N\", coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS \"R\" FROM core WHERE p_brand IS NOT NULL AND l_returnflag IS NOT NULL GROUP BY 1",
     "pie_share": f"WITH {CORE} SELECT c_mktsegment, {QTY} AS quantity, round({QTY} * 100 / (SELECT sum(l_quantity) FROM core WHERE c_mktsegment IS NOT NULL), 4) AS share FROM core WHERE c_mktsegment IS NOT NULL GROUP BY 1",
     "topk": "SELECT c_name, round(sum(o_totalprice), 2) AS order_total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1 ORDER BY 2 DESC LIMIT 10",
+    "null_results_dropped": "SELECT o_orderpriority, round(sum(o_totalprice), 2) AS urgent_total FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1",
+    "derived_fillna": f"WITH {CORE}, {ORDERS.format(by='o_orderpriority')} SELECT o_orderpriority, round(coalesce(sum(o_totalprice), 0), 2) AS order_total, CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS urgent_share FROM ord GROUP BY 1",
+    "size": f"WITH {CORE}, d AS (SELECT DISTINCT p_brand, CASE WHEN l_orderkey IS NOT NULL THEN rn END AS rn FROM (SELECT *, row_number() OVER () AS rn FROM core)) SELECT p_brand, count(*) AS rows FROM d GROUP BY 1",
+    "first_last": "SELECT l_returnflag, min(l_linenumber) AS first_line, max(l_linenumber) AS last_line FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1",
+    "product": f"WITH {CORE}, d AS (SELECT DISTINCT r_name, r_regionkey FROM core) SELECT r_name, coalesce(product(length(r_name)), 1) AS name_product FROM d GROUP BY 1",
+    "ranks_in_expressions": f"WITH {CORE}, g AS (SELECT p_brand, {QTY} AS quantity FROM core WHERE p_brand IS NOT NULL GROUP BY 1) SELECT p_brand, quantity, CAST(rank() OVER (ORDER BY quantity DESC) AS DOUBLE) AS place, sum(quantity) OVER (ORDER BY p_brand) AS upto, quantity - lag(quantity) OVER (ORDER BY p_brand) AS change, lag(quantity) OVER (ORDER BY p_brand) AS before FROM g",
+    "having_function": f"WITH {CORE}, g AS (SELECT p_brand, {QTY} AS quantity FROM core GROUP BY 1) SELECT * FROM g WHERE quantity >= 1000",
+    "compose_function": f"WITH {CORE}, c AS (SELECT r_name, n_name, count(DISTINCT c_custkey) AS n FROM core WHERE r_name IS NOT NULL AND n_name IS NOT NULL GROUP BY 1, 2) SELECT r_name, string_agg('[' || n_name || '=' || n || ']', ', ' ORDER BY n_name) AS bracketed FROM c GROUP BY 1",
+    "null_among_filter_values": f"WITH {CORE} SELECT c_mktsegment, {QTY} AS unknown_segments FROM core WHERE c_mktsegment = 'BUILDING' OR c_mktsegment IS NULL GROUP BY 1",
+    "relationship_matrix": "WITH hub AS (SELECT c_custkey AS custkey FROM customer UNION SELECT o_custkey FROM orders UNION SELECT user_id FROM events) SELECT DISTINCT custkey, coalesce(c_nationkey, n_nationkey) AS nationkey, coalesce(n_regionkey, r_regionkey) AS regionkey FROM hub FULL JOIN customer ON custkey = c_custkey FULL JOIN nation ON c_nationkey = n_nationkey FULL JOIN region ON n_regionkey = r_regionkey",
+    "pivot_sorted": "SELECT p_brand, count(*) FILTER (l_returnflag = 'A') AS \"A\", count(*) FILTER (l_returnflag = 'N') AS \"N\", count(*) FILTER (l_returnflag = 'R') AS \"R\" FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IS NOT NULL AND l_returnflag IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 10",
+    "kpi": "SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem",
     "melt": f"WITH {CORE}, g AS (SELECT r_name, {QTY} AS q, CAST(count(l_linenumber) AS DOUBLE) AS n FROM core GROUP BY 1) SELECT r_name, 'quantity' AS series, q AS value FROM g UNION ALL SELECT r_name, 'lines', n FROM g",
     "udf_expression": f"WITH {CORE} SELECT l_returnflag, coalesce(sum(l_quantity * 2), 0) AS doubled_quantity FROM core GROUP BY 1",
     "udaf_p90": f"WITH {CORE} SELECT l_returnflag, round(quantile_cont(l_quantity, 0.9), 2) AS p90_quantity FROM core WHERE l_returnflag IS NOT NULL GROUP BY 1",

@@ -1,5 +1,6 @@
 """Definitions, transformers, catalogs, plots and snapshots."""
 
+import datetime
 import math
 
 import pandas as pd
@@ -149,6 +150,14 @@ def test_snapshot(cube, spark, tmp_path):
     again = Hypercube.load(str(tmp_path / "snap"), spark)
     assert rows(again.query("sales")) == GOLDEN
     assert again.function_registry["sqrt"] is math.sqrt and "lost" not in again.function_registry
+    cube.filter({"region": ["North", None]})
+    cube.set_context_state("other")
+    cube.filter({"month": [datetime.date(2024, 1, 1)], "promo_type": ["Launch"]}, "other")
+    cube.reset_filters("backward", "other")
+    cube.save(str(tmp_path / "states"))
+    kept = Hypercube.load(str(tmp_path / "states"), spark)
+    assert kept.context_states == cube.context_states and rows(kept.query("sales")) == rows(cube.query("sales")) != GOLDEN
+    assert kept.reset_filters("forward", "other") and kept.get_filters(0, "other") == {"month": [datetime.date(2024, 1, 1)], "promo_type": ["Launch"]}
     assert again.list_plots("sales") == ["table plot"] and again.normalized_core == cube.normalized_core
 
 
@@ -185,6 +194,23 @@ def test_plot_data(spark):
     assert [plots.format_value(v) for v in (1234, 1.5, None, "s", True)] == ["1,234", "1.50", "", "s", "True"] and plots.format_value(0.5, ".0%") == "50%"
 
 
+def test_pivot_in_an_order_of_its_own(spark):
+    df = spark.createDataFrame([("a", "x", 1, 9), ("a", "y", 2, 8), ("b", "x", 3, 1), ("b", "y", 4, 1), (None, "x", 5, 5)], "d string, e string, m int, o int")
+    config = plots.DEFAULTS | {"plot_type": "pivot", "dimensions": ["d"], "metrics": ["m"], "pivot": "e"}
+    by_other = plots.plot_data(df, config | {"sort_by": "o"})
+    assert by_other.columns == ["d", "x", "y"] and [tuple(r) for r in by_other.collect()] == [("b", 3, 4), (None, 5, None), ("a", 1, 2)]
+    assert [r.d for r in plots.plot_data(df, config | {"sort_by": ["x"], "sort_ascending": [False], "limit": 2}).collect()] == [None, "b"]
+    assert plots.plot_data(df.limit(0), config | {"sort_by": "o"}).count() == 0
+
+
+def test_coloured_table(spark):
+    df = spark.createDataFrame([("a<", 1), ("b", -1), (None, None)], "d string, m int")
+    config = plots.DEFAULTS | {"plot_type": "table", "dimensions": ["d"], "metrics": ["m"], "row_color_condition": "m", "row_colors": {"True": "#0f0", "False": "red"}, "annotations": ["a note"], "hide_index": True}
+    shown = plots.HtmlRenderer().render(df, config)
+    assert '<tr style="background-color: #0f0"><td>a&lt;</td>' in shown and '<tr style="background-color: red"><td>b</td>' in shown and shown.endswith("<p>a note</p>")
+    assert plots.row_colour({"d": "b"}, {"row_color_condition": "d", "row_colors": {"b": "blue"}}) == "blue" and plots.row_colour({}, config) is None
+
+
 def test_graph_matrix_and_readers(cube, spark, tmp_path):
     assert 'n0["Product"]' in cube.visualize_graph() and "graph cube" in cube.visualize_graph("dot")
     assert "region" in cube.get_dimensions() and "customer_id" in cube.get_dimensions() and not [d for d in cube.get_dimensions() if "<" in d]
