@@ -50,10 +50,12 @@ def forget_cubes() -> None:
 def _listing(spark: SparkSession, sf_dir: str, tables: Iterable[str]) -> tuple:
     """What tells one state of the tables' files from another: their names and, where they are local, sizes and times."""
     out = []
-    for table in tables:
-        for name in sorted(spark.read.parquet(f"{sf_dir}/{table}.parquet").inputFiles()):
-            local = name.removeprefix("file://")
-            out.append((name, os.stat(local).st_size, os.stat(local).st_mtime_ns) if os.path.exists(local) else (name,))
+    for path in (f"{sf_dir}/{table}.parquet".removeprefix("file://") for table in tables):
+        if os.path.exists(path):
+            files = [path] if os.path.isfile(path) else sorted(os.path.join(at, f) for at, _, names in os.walk(path) for f in names)
+            out += [(f, os.stat(f).st_size, os.stat(f).st_mtime_ns) for f in files]
+        else:
+            out += sorted(spark.read.parquet(path).inputFiles())
     return tuple(out)
 
 
