@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -95,16 +96,50 @@ def correlated_parts(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def part_costs(n: int, p: np.ndarray, part: list[int], radius: int) -> list[float]:
-    """Expected rows and candidate pairs of a part at thresholds -1, 0 .. radius."""
-    differ = np.array([1.0])
+def differing_bits(n: int, both: np.ndarray, part: list[int], most: int) -> np.ndarray:
+    """The chances that two fingerprints differ in 0 .. most of a part's bits. Whether they differ in bits i and j is
+    known for each two bits from how often these are set together; more bits follow from the tree that ties the
+    part's bits most closely, each given the bit above it."""
+    one = np.diag(both) / max(n, 1)
+    n11 = both / max(n, 1)
+    n10, n01 = one[:, None] - n11, one[None, :] - n11
+    n00 = np.maximum(1 - n11 - n10 - n01, 0)
+    apart = 2 * one * (1 - one)
+    joint = np.empty((2, 2, BITS, BITS))  # chances that i, j differ
+    joint[1, 1] = 2 * (n11 * n00 + n10 * n01)
+    joint[1, 0], joint[0, 1] = apart[:, None] - joint[1, 1], apart[None, :] - joint[1, 1]
+    joint[0, 0] = 1 - joint[1, 1] - joint[1, 0] - joint[0, 1]
+    joint = np.maximum(joint, 0)
+    alone = np.stack([1 - apart, apart])
+    independent = alone[:, None, :, None] * alone[None, :, None, :]
+    tie = np.where(joint > 0, joint * np.log(np.maximum(joint, 1e-300) / np.maximum(independent, 1e-300)), 0).sum((0, 1))
+    above, free = [(part[0], -1)], set(part[1:])
+    while free:
+        b, a = max(((b, a) for b in sorted(free) for a, _ in above), key=lambda x: tie[x])
+        above.append((b, a))
+        free.remove(b)
+    counts = {b: np.zeros((2, most + 1)) for b in part}  # given whether the bit differs: how many below and with it do
     for b in part:
-        d = 2 * p[b] * (1 - p[b])
-        differ = np.append(differ * (1 - d), 0) + np.append(0, differ * d)
-    costs, ways = [0.0], 1.0
+        counts[b][0, 0] = 1
+        if most:
+            counts[b][1, 1] = 1
+    for b, a in reversed(above[1:]):
+        for state in (0, 1):
+            chance = joint[state, :, a, b]
+            given = (chance / chance.sum() if chance.sum() > 0 else alone[:, b]) @ counts[b]
+            counts[a][state] = np.convolve(counts[a][state], given)[: most + 1]
+    return alone[:, part[0]] @ counts[part[0]]
+
+
+def part_costs(n: int, both: np.ndarray, part: list[int], radius: int) -> list[float]:
+    """Expected rows and candidate pairs of a part at thresholds -1, 0 .. radius. A pair with d differing bits in the
+    part meets on the probes at threshold t that leave out those d bits."""
+    most = min(radius, len(part))
+    differ = differing_bits(n, both, part, most)
+    costs = [0.0]
     for t in range(radius + 1):
-        costs.append(n * ways + n * n / 2 * differ[: t + 1].sum() * (1 + t))
-        ways *= (len(part) - t) / (t + 1)
+        met = sum(differ[d] * comb(len(part) - d, t - d) for d in range(min(t, most) + 1))
+        costs.append(n * comb(len(part), t) + n * n / 2 * met)
     return costs
 
 
@@ -123,10 +158,10 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 def probe_masks(n: int, both: np.ndarray, radius: int, most_parts: int = 5) -> np.ndarray:
     """The bits that each probe compares exactly: the cheapest plan over the numbers of parts."""
-    p, plans = np.diag(both) / max(n, 1), []
+    plans = []
     for m in range(1, most_parts + 1):
         parts = correlated_parts(n, both, m)
-        cost, thresholds = allocate([part_costs(n, p, x, radius) for x in parts], radius - m + 1)
+        cost, thresholds = allocate([part_costs(n, both, x, radius) for x in parts], radius - m + 1)
         plans.append((cost, m, parts, thresholds))
     _, _, parts, thresholds = min(plans, key=lambda x: x[:2])
     masks = []

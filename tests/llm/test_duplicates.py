@@ -1,6 +1,7 @@
 """Sketches, SimHash components, lines and passages: against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -152,6 +153,29 @@ def test_thresholds_are_the_cheapest_and_cover():
     assert sorted(b for p in parts for b in p) == list(range(64))
 
 
+def test_candidate_estimates_see_correlation():
+    """Estimates against the candidates that were counted: near them, and in their order over plans."""
+    rng = np.random.default_rng(3)
+    topics = rng.integers(0, 2, (40, 64))
+    bits = topics[rng.integers(0, 40, 3000)] ^ (rng.random((3000, 64)) < 0.12)
+    bits[:, 1::2] = bits[:, ::2] ^ (rng.random((3000, 32)) < 0.03)  # each second bit follows its neighbour
+    n, both = len(bits), bits.T @ bits
+    estimates, counted = [], []
+    for parts in (3, 5):
+        for part in simhash.correlated_parts(n, both, parts):
+            weight = bits[:, part].sum(1)
+            differ = weight[:, None] + weight[None, :] - 2 * bits[:, part] @ bits[:, part].T
+            near = np.bincount(differ[np.triu_indices(n, 1)].ravel(), minlength=3)[:3]
+            for t in range(3):
+                met = sum(near[d] * math.comb(len(part) - d, t - d) for d in range(t + 1))
+                estimates.append(simhash.part_costs(n, both, part, 2)[t + 1])
+                counted.append(n * math.comb(len(part), t) + met)
+    ratio = np.array(estimates) / np.array(counted)
+    assert 0.2 < ratio.min() and ratio.max() < 5, ratio
+    ranks = [np.argsort(np.argsort(x)) for x in (estimates, counted)]
+    assert np.corrcoef(*ranks)[0, 1] > 0.9
+
+
 @pytest.mark.parametrize("chunk", [1_000_000, 3])
 @pytest.mark.parametrize("n,edges", [(1, []), (150, "chain"), (400, "random"), (200, "star")])
 def test_components(spark, n, edges, chunk):
