@@ -144,6 +144,11 @@ class Compiler:
     def condition(self, text: str) -> Column:
         return self.compile(text).condition
 
+    def filled(self, made: Typed) -> Column:
+        """A result with fillna where it is missing, too, as in 0 / 0; a fill of another kind is for the columns only."""
+        fill = self._literal(self.fillna)
+        return F.coalesce(made.col, fill.col) if fill.kind == made.kind else made.col
+
     def fail(self, what: str) -> ExpressionError:
         return ExpressionError(f"{what} in {self.text!r}")
 

@@ -202,7 +202,8 @@ class Evaluator:
         for d in derived:
             compiler, wholes = self._result_compiler(df, dimensions, d.fillna)
             try:
-                value = compiler.value(d.expression)
+                made = compiler.compile(d.expression)
+                value = made.col if d.fillna is None else compiler.filled(made)
             except ExpressionError as e:
                 raise MetricEvaluationError(f"Derived metric {d.name!r}: {e}") from e
             if wholes:

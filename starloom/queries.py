@@ -177,13 +177,14 @@ def _define(cube: Hypercube, kind: str) -> None:
         cube.define_metric("languages", "[lang]", "concat", nested={"dimensions": ["lang"], "aggregation": "max"})
 
 
-def rounded(df: DataFrame, digits: int = 2) -> DataFrame:
-    return df.select(*(F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields))
+def rounded(df: DataFrame, digits: int = 2, **others: int) -> DataFrame:
+    """others: columns with digits of their own."""
+    return df.select(*(F.round(f.name, others.get(f.name, digits)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields))
 
 
-def _query(kind: str = "sales", name: str | None = None, digits: int = 2, **options) -> Callable[[SparkSession, str], DataFrame]:
+def _query(kind: str = "sales", name: str | None = None, digits: int = 2, others: dict[str, int] | None = None, **options) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(cube_of(spark, sf_dir, kind).query(name, options or None), digits)
+        return rounded(cube_of(spark, sf_dir, kind).query(name, options or None), digits, **(others or {}))
 
     return run
 
@@ -273,7 +274,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "udf_expression": _query(dimensions=["l_returnflag"], metrics=["doubled_quantity"]),
     "udaf_p90": _query(dimensions=["l_returnflag"], metrics=["p90_quantity"], drop_null_dimensions=True),
     "null_results_dropped": _query(dimensions=["o_orderpriority"], metrics=["urgent_total"], drop_null_metric_results=True),
-    "derived_fillna": _query(digits=4, dimensions=["o_orderpriority"], metrics=["order_total"], derived_metrics=["urgent_share"]),
+    "derived_fillna": _query(digits=4, others={"order_total": 2}, dimensions=["o_orderpriority"], metrics=["order_total"], derived_metrics=["urgent_share"]),
     "size": _query(dimensions=["p_brand"], metrics=["rows"]),
     "first_last": _query(dimensions=["l_returnflag"], metrics=["first_line", "last_line"], drop_null_dimensions=True),
     "product": _query(dimensions=["r_name"], metrics=["name_product"]),

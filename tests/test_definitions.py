@@ -88,6 +88,16 @@ def test_spread_over_tasks_gives_the_same(cube, spark, monkeypatch, name, params
     assert [None if r[2] is None else round(r[2], 9) for r in one] == [None if r[2] is None else round(r[2], 9) for r in two]
 
 
+def test_derived_fillna_fills_results_too(cube):
+    cube.define_metric("North", "[qty]", "sum", metric_filters={"region": ["North"]})
+    cube.define_metric("Nothing", "[qty] * 0", "sum")
+    cube.define_derived_metric("Filled share", "[North] / [Nothing]", fillna=0)
+    cube.define_derived_metric("Share", "[North] / [Nothing]")
+    cube.define_derived_metric("Other kind", "[North] == 13", fillna=0)
+    rows = cube.query(options={"dimensions": ["region"], "metrics": ["Nothing"], "derived_metrics": ["Filled share", "Share", "Other kind"]}).collect()
+    assert [(r["Filled share"], r["Share"]) for r in rows] == [(0.0, None)] * 3 and sum(r["Other kind"] for r in rows) == 1
+
+
 def define_all(cube):
     cube.define_metric("Filled", "[qty]", "mean", fillna=0, metric_filters={"region": ["North"]})
     cube.define_derived_metric("Price", "[Revenue] / [Units]")
