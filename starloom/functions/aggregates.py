@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .expressions import ExpressionError
@@ -20,13 +20,15 @@ ALIASES = {"avg": "mean", "average": "mean", "count_distinct": "nunique", "disti
 @dataclass
 class Aggregate:
     """column: (value, kind, row order) -> aggregate. ordered: needs the rows' order. ignores_nulls: rows whose value
-    is NULL don't change the result. python: a grouped pandas UDF, which takes a whole group into one task."""
+    is NULL don't change the result. python: a grouped pandas UDF, which takes a whole group into one task. weighted:
+    takes a column of a group's distinct values and one of how often each occurs, in place of the values."""
 
     column: Callable[[Column, str, Column], Column]
     kind: str = "number"
     ordered: bool = False
     ignores_nulls: bool = True
     python: bool = False
+    weighted: bool = False
 
 
 def _number(c: Column, kind: str) -> Column:
@@ -95,22 +97,42 @@ def resolve(aggregation: Any, registry: FunctionRegistry) -> Aggregate:
     raise ExpressionError(f"Unknown aggregation {aggregation!r}")
 
 
+def reduced(df: DataFrame, by: list[Column], aggregate: Aggregate, value: Column, kind: str, order: Column, name: str) -> DataFrame:
+    """df grouped by some columns to these and one aggregate. A weighted one takes no more of a group into a task than
+    its distinct values."""
+    if not aggregate.weighted:
+        return df.groupBy(*by).agg(aggregate.column(value, kind, order).alias(name))
+    at, here = [f"_by_{i}" for i in range(len(by))], df.select(*by).columns
+    counted = df.select(*(c.alias(a) for c, a in zip(by, at)), value.alias("_value")).groupBy(*at, "_value").agg(F.count(F.lit(1)).alias("_count"))
+    out = counted.groupBy(*at).agg(aggregate.column(F.struct("_value", "_count"), kind, order).alias("_out"))
+    return out.select(*(F.col(a).alias(c) for a, c in zip(at, here)), F.col("_out").alias(name))
+
+
 def _python(f: Callable) -> Aggregate:
-    """A grouped pandas UDF. Its type: f.return_type, an annotation, or what it makes of two made-up values."""
+    """A grouped pandas UDF. Its type: f.return_type, an annotation, or what it makes of two made-up values. With
+    f.weighted it takes the values of a group that aren't NULL, each once, and how often they occur."""
+    weighted = bool(getattr(f, "weighted", False))
     returns = getattr(f, "return_type", None) or {float: "double", int: "long", str: "string", bool: "boolean"}.get(getattr(f, "__annotations__", {}).get("return"))
     samples = {"number": [1.5, 2.5], "bool": [True, False], "date": [pd.Timestamp("2020-01-01")] * 2}
 
     def column(c: Column, kind: str, order: Column) -> Column:
         made = returns
         if made is None:
-            out = f(pd.Series(samples.get(kind, ["a", "b"])))
+            sample = pd.Series(samples.get(kind, ["a", "b"]))
+            out = f(sample, pd.Series([1, 1])) if weighted else f(sample)
             made = "boolean" if pd.api.types.is_bool(out) else "long" if pd.api.types.is_integer(out) else "double" if pd.api.types.is_number(out) else "string"
 
-        def run(s: pd.Series) -> Any:
-            out = f(s)
+        def run(s: pd.Series, counts: pd.Series | None = None) -> Any:
+            out = f(s[s.notna()], counts[s.notna()]) if weighted else f(s)
             return None if out is None or (pd.api.types.is_scalar(out) and pd.isna(out)) else str(out) if made == "string" else out
 
-        run.__annotations__ = {"s": pd.Series, "return": {"double": float, "long": int, "string": str, "boolean": bool}.get(made, str)}
-        return F.pandas_udf(run, made)(_number(c, kind))
+        result = {"double": float, "long": int, "string": str, "boolean": bool}.get(made, str)
+        if weighted:
+            both = lambda s, n: run(s, n)
+            both.__annotations__ = {"s": pd.Series, "n": pd.Series, "return": result}
+            return F.pandas_udf(both, made)(_number(c["_value"], kind), c["_count"])
+        one = lambda s: run(s)
+        one.__annotations__ = {"s": pd.Series, "return": result}
+        return F.pandas_udf(one, made)(_number(c, kind))
 
-    return Aggregate(column, kind="string" if returns == "string" else "number", ignores_nulls=False, python=True)
+    return Aggregate(column, kind="string" if returns == "string" else "number", ignores_nulls=weighted, python=True, weighted=weighted)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.aggregates import Aggregate, resolve
+from ..functions.aggregates import Aggregate, reduced, resolve
 from ..functions.expressions import Compiler, ExpressionError, Typed, kind_of
 from ..functions.registry import FunctionRegistry
 from .keyspace import KeySpace, col
@@ -158,6 +158,9 @@ class Evaluator:
             rows = rows.where(reduce(Column.__or__, (c for _, c in compiled)))
         if drop_nulls and by:
             rows = rows.dropna(subset=[f"`{d}`" for d in by])
+        if len(metrics) == 1 and (aggregate := resolve(metrics[0].aggregation, self.registry)).weighted:
+            value = compiled[0][0]
+            return reduced(rows, [col(d) for d in by], aggregate, value.col, value.kind, order, metrics[0].name)
         for m, (value, condition) in zip(metrics, compiled):
             aggregate = resolve(m.aggregation, self.registry)
             expression = value.col
@@ -188,13 +191,13 @@ class Evaluator:
         if drop_nulls:
             rows = rows.dropna(subset=[f"`{d}`" for d in inner_by])
         inner = resolve(nested.aggregation, self.registry)
-        grouped = rows.groupBy(*(col(d) for d in inner_by)).agg(inner.column(value.col, value.kind, self._order(rows)).alias("_value"))
+        grouped = reduced(rows, [col(d) for d in inner_by], inner, value.col, value.kind, self._order(rows), "_value")
         kind = kind_of(grouped.schema["_value"].dataType)
         if nested.compose is not None:
             grouped, kind = composed(grouped, inner_by, nested, metric.name), "string"
         outer = resolve(metric.aggregation, self.registry)
         order = F.struct(*(col(d) for d in inner_by))
-        return grouped.groupBy(*(col(d) for d in by)).agg(outer.column(F.col("_value"), kind, order).alias(metric.name))
+        return reduced(grouped, [col(d) for d in by], outer, F.col("_value"), kind, order, metric.name)
 
     # --- results -----------------------------------------------------------------------------------------------
 

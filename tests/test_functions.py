@@ -105,3 +105,24 @@ def test_registry_specs():
     assert specs["np"] == "module:numpy" and "lost" not in specs
     again = FunctionRegistry.from_specs(specs | {"gone": "obj:no_such_module:f"})
     assert again["np"] is np and "gone" not in again
+
+
+def test_weighted_python_aggregates_take_distinct_values(spark):
+    from starloom.functions.aggregates import reduced
+    from starloom.queries import percentile_90
+
+    rng = np.random.default_rng(1)
+    data = [(g, float(v) if v else None) for g, n in (("a", 500), ("b", 7), ("c", 1)) for v in rng.integers(0, 9, n)] + [("d", None), (None, 2.0), (None, 4.0)]
+    df = spark.createDataFrame(data, "g string, v double")
+    aggregate = resolve("p90", FunctionRegistry({"p90": percentile_90}))
+    got = dict(map(tuple, reduced(df, [F.col("g")], aggregate, F.col("v"), "number", F.lit(0), "x").collect()))
+    want = pd.DataFrame(data, columns=["g", "v"]).groupby("g", dropna=False)["v"].quantile(0.9)
+    assert len(got) == 5 and got["d"] is None and got[None] == pytest.approx(3.8)
+    assert all(got[g] == (None if pd.isna(want[g]) else pytest.approx(want[g])) for g in "abc")
+
+    def seen(values, counts):
+        return len(values)
+
+    seen.weighted = True
+    most = dict(map(tuple, reduced(df, [F.col("g")], resolve(seen, FunctionRegistry()), F.col("v"), "number", F.lit(0), "x").collect()))
+    assert most["a"] == 8 and most["d"] == 0
