@@ -237,6 +237,21 @@ def edits(a, b):
 LINES = ["the quick brown fox jumps over the lazy dog near the old stone bridge today", "The quick brown fox jumps over the lazy dog near the old stone bridge today!", "the quick brown fox jumps over the lazy cat near the old stone bridge today", "an entirely different line about copper lanterns and winter markets by the sea", "short line", "", "Page 1 of 20 of the yearly report of the harbor office", "Page 7 of 35 of the yearly report of the harbor office"]
 
 
+def test_near_copies_take_the_pigeonhole_search(spark, monkeypatch):
+    """Without segments, what is within two bits is found by the search alone and still decided by shingles."""
+    from starloom.llm import copies
+    from starloom.llm.simhash import fingerprint
+
+    long = [" ".join(f"w{(i * i + 7 * j) % 997}" for i in range(400)) for j in range(3)]
+    near = next(x for x in (long[0] + f" end{i}" for i in range(200)) if 0 < (fingerprint(x, 5) ^ fingerprint(long[0], 5)).bit_count() <= 2)
+    docs = spark.createDataFrame([(0, long[0]), (1, near), (2, long[1]), (3, long[1].upper()), (4, long[2]), (5, None), (6, " ")], "id long, text string")
+    docs = copies.materialise(docs, "docs")
+    found = lambda: dict(map(tuple, copies.near_copies(docs, keys=0).where("id <> component").collect()))
+    assert found() == {1: 0, 3: 2, 6: 5}
+    monkeypatch.setattr(copies, "fingerprints", lambda docs, words: docs.select("doc_id", F.lit(1).cast("long").alias("fp")))
+    assert found() == {1: 0, 3: 2, 6: 5}
+
+
 def test_edit_similarity():
     rng = random.Random(2)
     rows = [np.array([rng.randrange(6) for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 130, 200]))], np.uint16) for _ in range(40)]
