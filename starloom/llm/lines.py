@@ -209,6 +209,29 @@ def parities(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_counts(codes: np.ndarray, offsets: np.ndarray, buckets: int = 256) -> np.ndarray:
+    """How many of each row's codes are in each of some buckets, up to 255: a row each."""
+    place = (mix(codes.astype(np.uint64) + np.uint64(9)) % np.uint64(buckets)).astype(np.int64)
+    out = np.empty((len(offsets) - 1, buckets), np.uint8)
+    for at in range(0, len(out), 1024):
+        ends = offsets[at : at + 1025]
+        row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        found = np.bincount(row * buckets + place[ends[0] : ends[-1]], minlength=(len(ends) - 1) * buckets)
+        out[at : at + 1024] = np.minimum(found, 255).reshape(-1, buckets)
+    return out
+
+
+def unshared(counts: np.ndarray, a: np.ndarray, b: np.ndarray, together: int = 4096) -> np.ndarray:
+    """No more than the edits between rows a[i] and b[i]: an edit adds one word at most to what either row has that the
+    other lacks."""
+    out = np.zeros(len(a), np.int64)
+    for at in range(0, len(a), together):
+        one, two = counts[a[at : at + together]], counts[b[at : at + together]]
+        both = np.minimum(one, two).sum(axis=1, dtype=np.int64)
+        out[at : at + together] = np.maximum(one.sum(axis=1, dtype=np.int64), two.sum(axis=1, dtype=np.int64)) - both
+    return out
+
+
 def packed(values: np.ndarray) -> bytes:
     return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
 
@@ -346,12 +369,16 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
     def judge(column: pa.Array) -> Judge:
         codes, offsets = code_arrays(column)
         n = np.diff(offsets)
-        most = most_edits(n, similarity)
+        most, counts = most_edits(n, similarity), []
 
         def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             # words replaced in place are edits: with few of them a pair needs no more
             out = replaced(codes, offsets, a, b) <= most[a]
             rest = np.flatnonzero(~out)
+            if len(rest):
+                # and those whose words differ too much need none
+                counts[:] = counts or [word_counts(codes, offsets)]
+                rest = rest[unshared(counts[0], a[rest], b[rest]) <= np.maximum(most[a[rest]], most[b[rest]])]
             out[rest] = pair_edits(codes, offsets, a[rest], b[rest]) <= np.maximum(most[a[rest]], most[b[rest]])
             return out
 

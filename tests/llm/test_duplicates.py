@@ -260,6 +260,19 @@ def test_edit_similarity():
     assert got.tolist() == [edits(rows[a].tolist(), rows[b].tolist()) for a, b in zip(left, right)]
 
 
+def test_unlike_words_need_no_edit_distance():
+    """Counts of words never rule out a pair within the bound, and rule out bags of words that differ by more."""
+    rng = np.random.default_rng(2)
+    rows = [rng.integers(0, most, n).astype(np.uint16) for most in (3, 50, 5000) for n in (0, 1, 9, 40, 300, 700)]
+    rows += [np.r_[x[len(x) // 3 :], x[: len(x) // 4]] for x in rows]
+    codes, offsets = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(rows)), np.arange(len(rows))))
+    least = lines.unshared(lines.word_counts(codes, offsets), a, b, together=50)
+    assert (least <= lines.pair_edits(codes, offsets, a, b)).all()
+    exact = [max((x - y).total(), (y - x).total()) for x, y in ((Counter(rows[i].tolist()), Counter(rows[j].tolist())) for i, j in zip(a, b))]
+    assert (least <= exact).all() and (least >= 0.7 * np.array(exact))[(np.diff(offsets)[a] < 60) & (np.diff(offsets)[b] < 60)].all()
+
+
 def test_fuzzy_lines(spark, docs, none, tmp_path):
     rng = random.Random(4)
     rows = [(2, "\n".join(LINES[:4])), (1, "\n".join([LINES[3], LINES[4], LINES[4], LINES[5]])), (3, "\n".join(LINES[6:] + LINES[:1])), (4, None), (5, ""), (6, LINES[2]), (7, prose(rng, 200)), (8, LINES[4])]
