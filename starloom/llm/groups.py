@@ -13,13 +13,18 @@ from .common import discard, materialise, mix
 from .graph import components, local_labels
 from .simhash import whole_groups
 
-#: Members of a group that are compared in one task; larger ones are compared tile by tile.
-BUCKET = 512
+#: Members of a group that are compared at once; those of larger ones are compared with its pivots first.
+BUCKET = 128
+#: Pivots of such a group; and buckets of members that are compared in one task: beyond, tile by tile.
+PIVOTS, TILE = 4, 32
+#: Pairs that are judged together.
+TOGETHER = 2048
 #: Members of a group that gives its pairs one by one.
 FEW = 16
 PICKED = "block long, id long, words long, pivot long"
-#: Of nodes' codes: their lengths, their parities (or None), and which of many pairs of places are near.
-Judge = tuple[np.ndarray, np.ndarray | None, Callable[[np.ndarray, np.ndarray], np.ndarray]]
+#: Of nodes' codes: their lengths, their parities (or None), which of many pairs of places are near at a glance and
+#: which aren't (1, -1, else 0), and which are near.
+Judge = tuple[np.ndarray, np.ndarray | None, Callable[[np.ndarray, np.ndarray], np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
 def most_edits(n: np.ndarray | int, similarity: float) -> np.ndarray:
@@ -47,85 +52,113 @@ def tiled(rows: DataFrame, size: str, key: list[str], member: str, bucket: int)
     return small.unionByName(large)
 
 
-def close_pairs(n: np.ndarray, group: np.ndarray, similarity: float, parity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j), i < j, of rows of one group whose lengths, and parities if given, don't rule the similarity out."""
-    most = most_edits(n, similarity)
-    left, right, place = [], [], np.arange(len(n))
-    folded = None if parity is None else np.bitwise_xor.reduce(parity, axis=0)
-    for shift in range(1, len(n)):
-        place = place[: np.searchsorted(place, len(n) - shift)]
+def neighbours(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All places (i, j), i < j, of rows of one group, in turns: next ones first. Rows of a group stand together."""
+    place = np.arange(len(group))
+    for shift in range(1, len(group)):
+        place = place[: np.searchsorted(place, len(group) - shift)]
         place = place[group[place] == group[place + shift]]
         if not len(place):
-            break
-        edits = np.maximum(most[place], most[place + shift])
-        near = np.flatnonzero(np.abs(n[place] - n[place + shift]) <= edits)
-        if parity is not None:
-            # the parities of all words in one integer rule most pairs out
-            near = near[np.bitwise_count(folded[place[near]] ^ folded[place[near] + shift]) <= 2 * edits[near]]
-            near = near[np.bitwise_count(parity[:, place[near]] ^ parity[:, place[near] + shift]).sum(axis=0) <= 2 * edits[near]]
-        left.append(place[near])
-        right.append(place[near] + shift)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
-
-
-def sets_of(group: np.ndarray, ids: np.ndarray, n: np.ndarray, similarity: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The sets of lines that close pairs of a group connect, under a hash of their members, each set once. Groups
-    of FEW members give each pair as a set, as these repeat from group to group. Pairs known to be connected don't
-    count."""
-    a, b = close_pairs(n, group, similarity)
-    if known is not None:
-        a, b = a[known[a] != known[b]], b[known[a] != known[b]]
+            return
+        yield place, place + shift
+
+
+def by_length(group: np.ndarray, ids: np.ndarray, n: np.ndarray, known: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The sets (hash of the members, member) that pairs of a like length connect within groups: in the order of
+    lengths these are runs, which end where the next length is out of reach. Sets of which all is known to be connected
+    are left out. No pairs are made."""
+    if not len(group):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    number = np.cumsum(np.r_[False, group[1:] != group[:-1]])
+    by = np.lexsort((n, number))
+    number, ids, n, known = number[by], ids[by], n[by], known[by]
+    start = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (np.diff(n) > most_edits(n[1:], similarity))])
+    size = np.diff(np.r_[start, len(ids)])
+    whole = np.repeat(np.add.reduceat(mix(ids.view(np.uint64)), start).view(np.int64), size)
+    some = np.repeat(np.minimum.reduceat(known, start) != np.maximum.reduceat(known, start), size)
+    return whole[some], ids[some]
+
+
+def sets_of(group: np.ndarray, ids: np.ndarray, n: np.ndarray, similarity: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of lines (hash of the members, member) that pairs of a like length of a group connect, each set once.
+    Groups of FEW members give their pairs (one, other) instead, as these repeat from group to group. Pairs known to be
+    connected don't count."""
+    known = ids if known is None else known
     size = np.diff(np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])) if len(group) else np.empty(0, np.int64)
     few = np.repeat(size, size) <= FEW
-    low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-    pairs = np.unique(np.stack([low, high])[:, few[a]], axis=1)
-    a, b = a[~few[a]], b[~few[a]]
-    near = np.unique(np.concatenate([a, b]))
-    _, place = np.unique(local_labels(len(ids), a, b)[near], return_inverse=True)
-    total = np.zeros(place.max() + 1 if len(near) else 0, np.uint64)
-    np.add.at(total, place, mix(ids[near].view(np.uint64)))
-    of_pair = (mix(pairs[0].view(np.uint64)) + mix(pairs[1].view(np.uint64))).view(np.int64)
-    whole = np.concatenate([of_pair, of_pair, total[place].view(np.int64)])
-    member = np.concatenate([pairs[0], pairs[1], ids[near]])
-    by = np.lexsort((member, whole))
-    whole, member = whole[by], member[by]
-    new = np.r_[True, (whole[1:] != whole[:-1]) | (member[1:] != member[:-1])][: len(whole)]
-    return whole[new], member[new]
+    total, some = by_length(group[~few], ids[~few], n[~few], known[~few], similarity)
+    group, ids, n, known = group[few], ids[few], n[few], known[few]
+    low, high = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for a, b in neighbours(group):
+        near = np.flatnonzero((np.abs(n[a] - n[b]) <= most_edits(np.maximum(n[a], n[b]), similarity)) & (known[a] != known[b]))
+        low.append(np.minimum(ids[a[near]], ids[b[near]]))
+        high.append(np.maximum(ids[a[near]], ids[b[near]]))
+    one, other = np.concatenate(low), np.concatenate(high)
+    by = np.lexsort((other, one))
+    one, other = one[by], other[by]
+    first = np.r_[True, (one[1:] != one[:-1]) | (other[1:] != other[:-1])][: len(one)]
+    by = np.lexsort((some, total))
+    total, some = total[by], some[by]
+    new = np.r_[True, (total[1:] != total[:-1]) | (some[1:] != some[:-1])][: len(total)]
+    return total[new], some[new], one[first], other[first]
+
+
+def pivot_pairs(group: np.ndarray, ids: np.ndarray, n: np.ndarray, similarity: float, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's first pivot; and the pairs (id, pivot) of a like length of members and their group's pivots.
+    These are the least by a hash, so that groups that share members share pivots."""
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[first, len(group)])
+    by = np.lexsort((mix(ids.view(np.uint64)), np.repeat(np.arange(len(first)), size)))
+    pairs = [np.empty((2, 0), np.int64)]
+    for k in range(pivots):
+        lead = np.repeat(by[first + np.minimum(k, size - 1)], size)
+        near = np.flatnonzero((np.abs(n - n[lead]) <= most_edits(np.maximum(n, n[lead]), similarity)) & (ids != ids[lead]))
+        pairs.append(np.stack([ids[near], ids[lead[near]]]))
+    return ids[np.repeat(by[first], size)], *np.unique(np.concatenate(pairs, axis=1), axis=1)
+
 
 def picked_groups(block: np.ndarray, ids: np.ndarray, n: np.ndarray, size: np.ndarray, similarity: float, bucket: int) -> Iterator[pa.RecordBatch]:
-    """Rows of groups that stand together (PICKED): the sets of groups of at most bucket members, without pivot; members
-    of larger ones, by their size, with the least of them that is here."""
+    """Rows of groups that stand together (PICKED): of groups of at most bucket members the sets, without words and
+    pivot, or the pairs (id, pivot), without block and of 0 words; members of larger ones, by their size, with a pivot
+    that is here; and members' pairs with pivots in all groups of more than FEW, without block and words."""
+    rows = lambda *columns: pa.RecordBatch.from_arrays([pa.nulls(len(columns[1]), pa.int64()) if c is None else pa.array(c) for c in columns], ["block", "id", "words", "pivot"])
     small = size <= bucket
-    whole, member = sets_of(block[small], ids[small], n[small], similarity)
-    none = pa.nulls(len(whole), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(member), none, none], ["block", "id", "words", "pivot"])
+    whole, member, one, other = sets_of(block[small], ids[small], n[small], similarity)
+    yield rows(whole, member, None, None)
+    yield rows(None, other, np.zeros(len(one), np.int64), one)
+    some = small & (size > FEW)
+    if some.any():
+        _, one, other = pivot_pairs(block[some], ids[some], n[some], similarity, 1)
+        yield rows(None, one, None, other)
     block, ids, n = block[~small], ids[~small], n[~small]
     if len(block):
-        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        pivot = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.r_[first, len(block)]))
-        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(ids), pa.array(n), pa.array(pivot)], ["block", "id", "words", "pivot"])
+        pivot, one, other = pivot_pairs(block, ids, n, similarity, PIVOTS)
+        yield rows(block, ids, n, pivot)
+        yield rows(None, one, None, other)
 
 
-def star_links(large: DataFrame, nodes: DataFrame, bucket: int, judge: Callable[[pa.Array], Judge]) -> tuple[DataFrame, DataFrame]:
-    """Of groups with many members (block, id, words, pivot: a member; a written table), the links (a, b) of nodes h
-    between members and pivots; and as (group, id, words, known), in groups of at most about `bucket` members each,
-    what is left to compare: members that those links don't connect with the group's first pivot, with all others.
-    """
+def judged(pairs: DataFrame, nodes: DataFrame, judge: Callable[[pa.Array], Judge]) -> DataFrame:
+    """Of pairs (id, pivot) of nodes those that are near: id, pivot, h, pivot_h."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, others = (batch.column(batch.schema.get_field_index(c)).cast(pa.large_binary()) for c in ("codes", "pivot_codes"))
             at = np.arange(batch.num_rows)
-            _, _, near = judge(pa.concat_arrays([codes, others]))
-            yield batch.select(["id", "pivot", "h", "pivot_h"]).filter(pa.array(near(at, at + batch.num_rows)))
-
-    star = large.where("id <> pivot").select("id", "pivot").distinct()
-    leads = large.select(F.col("pivot").alias("id")).distinct()
-    pivots = materialise(nodes.join(leads, "id").select(F.col("id").alias("pivot"), F.col("h").alias("pivot_h"), F.col("codes").alias("pivot_codes")), "pivots")
-    near = star.join(nodes.select("id", "h", "codes"), "id").join(pivots, "pivot").select("id", "pivot", "h", "pivot_h", "codes", "pivot_codes")
-    near = materialise(near.mapInArrow(verify, "id long, pivot long, h long, pivot_h long"), "near")
-    known = components(near.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).withColumnsRenamed({"node": "id", "component": "known"})
-    known = materialise(known, "known")
+            _, _, glance, near = judge(pa.concat_arrays([codes, others]))
+            seen = glance(at, at + batch.num_rows)
+            rest = np.flatnonzero(seen == 0)
+            seen[rest] = near(rest, rest + batch.num_rows)
+            yield batch.select(["id", "pivot", "h", "pivot_h"]).filter(pa.array(seen > 0))
+
+    nodes = nodes.select("id", "h", "codes")
+    both = pairs.join(nodes, "id").join(nodes.withColumnsRenamed({"id": "pivot", "h": "pivot_h", "codes": "pivot_codes"}), "pivot")
+    return both.select("id", "pivot", "h", "pivot_h", "codes", "pivot_codes").mapInArrow(verify, "id long, pivot long, h long, pivot_h long")
+
+
+def unsettled(large: DataFrame, known: DataFrame, widest: int) -> DataFrame:
+    """Of groups with many members (block, id, words, pivot: a member), what is left to compare where known (id, known)
+    is connected: as (group, id, words, known), in groups of at most about `widest` members each, the groups of which not all is connected,
+    whole; of wider ones the members apart from the pivots' part, with all others."""
     of_pivot = known.withColumnsRenamed({"id": "pivot", "known": "lead"})
     sides = large.join(known, "id", "left").join(of_pivot, "pivot", "left")
     sides = materialise(sides.select("block", "id", "words", F.coalesce("known", "id").alias("known"), F.coalesce("lead", "pivot").alias("lead")), "sides")
@@ -134,13 +167,15 @@ def star_links(large: DataFrame, nodes: DataFrame, bucket: int, judge: Callable[
     groups = sides.groupBy("block").agg(F.min("lead").alias("main"), F.max("lead").alias("other_lead"), apart.alias("aparts"), F.count(F.lit(1)).alias("members"))
     groups = groups.where("aparts > 0 OR main <> other_lead").select("block", "main", "members", F.when(F.col("main") == F.col("other_lead"), F.col("aparts")).otherwise(F.col("members")).alias("aparts"))
     left = sides.join(groups, "block").withColumn("apart", F.col("known") != F.col("main"))
-    tile = lambda size: F.ceil(F.col(size) / F.lit(bucket // 2)).cast("int")
+    whole = left.where(F.col("members") <= widest).withColumn("group", F.xxhash64("block"))
+    left = left.where(F.col("members") > widest)
+    tile = lambda size: F.ceil(F.col(size) / F.lit(widest // 2)).cast("int")
     mine, other = F.when(F.col("apart"), tile("aparts")).otherwise(tile("members")), F.when(F.col("apart"), tile("members")).otherwise(tile("aparts"))
     crossed = left.withColumn("tile", F.pmod(F.xxhash64("id"), mine)).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
     crossed = crossed.withColumn("group", F.xxhash64("block", F.when(F.col("apart"), F.col("tile")).otherwise(F.col("other")), F.when(F.col("apart"), F.col("other")).otherwise(F.col("tile")), F.lit(-1)))
-    among = tiled(left.where("apart"), "aparts", ["block"], "id", bucket)
+    among = tiled(left.where("apart"), "aparts", ["block"], "id", widest)
     columns = ["group", "id", "words", "known"]
-    return near.select(F.col("h").alias("a"), F.col("pivot_h").alias("b")), crossed.select(columns).union(among.select(columns))
+    return whole.select(columns).union(crossed.select(columns)).union(among.select(columns))
 
 
 def linked(picked: DataFrame, nodes: DataFrame, similarity: float, bucket: int, judge: Callable[[pa.Array], Judge]) -> DataFrame:
@@ -151,33 +186,82 @@ def linked(picked: DataFrame, nodes: DataFrame, similarity: float, bucket: int,
     def pick_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "group"):
             group, ids, words, known = (np.asarray(table[c]) for c in ("group", "id", "words", "known"))
-            whole, member = sets_of(group, ids, words, similarity, known)
+            whole, member, low, high = sets_of(group, ids, words, similarity, known)
+            of_pair = (mix(low.view(np.uint64)) + mix(high.view(np.uint64))).view(np.int64)
+            whole, member = np.concatenate([of_pair, of_pair, whole]), np.concatenate([low, high, member])
             one, first = np.unique(ids, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (whole, member, known[first[np.searchsorted(one, member)]])], ["set", "id", "known"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "set", 8_000):
             group, h, known = (np.asarray(table[c]) for c in ("set", "h", "known"))
-            n, parity, is_near = judge(table["codes"].combine_chunks())
+            n, parity, glance, is_near = judge(table["codes"].combine_chunks())
             # those known to be connected are one from the start
-            _, least, of = np.unique(np.stack([group, known]), axis=1, return_index=True, return_inverse=True)
-            label = apart = least[of.ravel()]
-            a, b = close_pairs(n, group, similarity, parity)
-            for at in range(0, len(a), 4096):
-                left, right = a[at : at + 4096], b[at : at + 4096]
+            by = np.lexsort((known, group))
+            new = np.r_[True, (group[by][1:] != group[by][:-1]) | (known[by][1:] != known[by][:-1])]
+            label = apart = np.empty(len(by), np.int64)
+            apart[by] = np.minimum.reduceat(by, np.flatnonzero(new))[np.cumsum(new) - 1]
+            folded = None if parity is None else np.bitwise_xor.reduce(parity, axis=0)
+            held, doubtful, none = [], [], np.empty((2, 0), np.int64)
+
+            def taken(pairs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+                left, right = np.concatenate([none, *pairs], axis=1)
+                pairs.clear()
                 open_ = label[left] != label[right]
-                left, right = left[open_], right[open_]
-                near = is_near(left, right)
-                label = local_labels(len(h), np.r_[np.arange(len(h)), left[near]], np.r_[label, right[near]])
+                return left[open_], right[open_]
+
+            def joined(left: np.ndarray, right: np.ndarray, near: np.ndarray) -> np.ndarray:
+                return local_labels(len(h), np.r_[np.arange(len(h)), left[near]], np.r_[label, right[near]])
+
+            def settled() -> np.ndarray:
+                # what is near at a glance may save other pairs the closer look
+                left, right = taken(held)
+                seen = glance(left, right)
+                doubtful.append(np.stack([left, right])[:, seen == 0])
+                return joined(left, right, seen > 0)
+
+            def looked() -> np.ndarray:
+                left, right = taken(doubtful)
+                return joined(left, right, is_near(left, right))
+
+            waiting = lambda pairs: sum(x.shape[1] for x in pairs)
+            for a, b in neighbours(group):
+                most = most_edits(np.maximum(n[a], n[b]), similarity)
+                near = np.flatnonzero((label[a] != label[b]) & (np.abs(n[a] - n[b]) <= most))
+                if parity is not None:
+                    # the parities of all words in one integer rule most pairs out
+                    near = near[np.bitwise_count(folded[a[near]] ^ folded[b[near]]) <= 2 * most[near]]
+                    near = near[np.bitwise_count(parity[:, a[near]] ^ parity[:, b[near]]).sum(axis=0) <= 2 * most[near]]
+                held.append(np.stack([a[near], b[near]]))
+                if waiting(held) >= TOGETHER:
+                    label = settled()
+                    if waiting(doubtful) >= TOGETHER:
+                        label = looked()
+            label = settled()
+            label = looked()
             far = np.flatnonzero(label != apart)
             yield pa.RecordBatch.from_arrays([pa.array(h[far]), pa.array(h[label[far]])], ["a", "b"])
 
-    sets = picked.where("pivot IS NULL").select(F.col("block").alias("set"), "id", F.col("id").alias("known"))
-    large, links = picked.where("pivot IS NOT NULL"), None
+    # few pairs may connect most: with pivots, and each node's with its least partner
+    pairs = materialise(picked.where("block IS NULL AND words IS NOT NULL").select("id", "pivot").distinct(), "pairs")
+    star = picked.where("block IS NULL AND words IS NULL").select("id", "pivot").union(pairs.groupBy("id").agg(F.min("pivot").alias("pivot")))
+    first = materialise(judged(star.distinct(), nodes, judge), "first")
+    known = components(first.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).withColumnsRenamed({"node": "id", "component": "known"})
+    known = materialise(known, "known")
+    # the others are judged unless connected by now
+    of_pivot = known.withColumnsRenamed({"id": "pivot", "known": "lead"})
+    others = pairs.join(known, "id", "left").join(of_pivot, "pivot", "left").where("coalesce(known, id) <> coalesce(lead, pivot)")
+    links = first.union(judged(others.select("id", "pivot"), nodes, judge)).select(F.col("h").alias("a"), F.col("pivot_h").alias("b"))
+    sets = picked.where("pivot IS NULL").select(F.col("block").alias("set"), "id").distinct()
+    sets = sets.join(known, "id", "left").select("set", "id", F.coalesce("known", "id").alias("known"))
+    large = picked.where("block IS NOT NULL AND words IS NOT NULL")
     if not large.isEmpty():
-        links, rest = star_links(large, nodes, bucket, judge)
+        rest = unsettled(large, known, TILE * bucket)
         sets = sets.unionByName(rest.repartition("group").sortWithinPartitions("group", "id").mapInArrow(pick_tiles, "set long, id long, known long"))
     sets = materialise(sets.distinct(), "sets")
     discard(picked)
+    # most sets are settled by now
+    open_ = sets.groupBy("set").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high").select("set")
+    sets = sets.join(open_, "set", "left_semi")
     found = sets.join(nodes.select("id", "h", "codes"), "id").select("set", "h", "codes", "known").repartition("set").sortWithinPartitions("set", "h").mapInArrow(verify, "a long, b long")
-    return found if links is None else found.union(links)
+    return found.union(links)

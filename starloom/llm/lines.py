@@ -202,11 +202,14 @@ def rare_runs(codes: np.ndarray, offsets: np.ndarray, common: np.ndarray, simila
 
 def parities(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """512 parities of each row's codes, as eight integers: an edit changes two of them at most."""
-    place = mix(codes.astype(np.uint64) + np.uint64(9)) % np.uint64(512)
-    out = np.zeros((8, len(offsets) - 1), np.uint64)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    np.bitwise_xor.at(out, ((place >> np.uint64(6)).astype(np.int64), row), np.uint64(1) << (place & np.uint64(63)))
-    return out
+    place = (mix(codes.astype(np.uint64) + np.uint64(9)) % np.uint64(512)).astype(np.int64)
+    out = np.empty((len(offsets) - 1, 8), np.uint64)
+    for at in range(0, len(out), 1024):
+        ends = offsets[at : at + 1025]
+        row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        found = np.bincount(row * 512 + place[ends[0] : ends[-1]], minlength=(len(ends) - 1) * 512)
+        out[at : at + 1024] = np.packbits((found & 1).astype(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
+    return np.ascontiguousarray(out.T)
 
 
 def word_counts(codes: np.ndarray, offsets: np.ndarray, buckets: int = 256) -> np.ndarray:
@@ -241,17 +244,17 @@ def unpacked(column: pa.ChunkedArray, n: list[int], kind: type) -> list[np.ndarr
     return [np.frombuffer(pa.decompress(x.as_buffer(), decompressed_size=size * k, codec="zstd"), kind) for x, k in zip(column, n)]
 
 
-def postings(lines: DataFrame, pairs: int, parts: int, similarity: float, bucket: int, per_piece: int) -> DataFrame:
+def postings(lines: DataFrame, pairs: int, parts: int, similarity: float, per_piece: int) -> DataFrame:
     """lines (id, codes) to their rare runs of words: a row for each part of the key space and up to 4096 lines, with the
     keys' 32 other bits, the lines' ids (as steps) and lengths.
 
-    A run that stands out by its count, more than a bucket holds, is dealt over several parts by line: `parts` times
-    the number of its piece is added to the part.
+    A run that is a good share of a part is dealt over several parts by line: `parts` times the number of its piece is
+    added to the part.
     """
     common = run_counts(lines, pairs)
     usual = pairs / len(common)  # what any value of the low bits has
     counted = 2 ** ((np.arange(256) - 1) / 8)
-    pieces = np.where((counted > bucket) & (counted > 8 * usual), 1 + np.ceil(counted / per_piece), 0).astype(np.int64)
+    pieces = np.where((counted > per_piece / 4) & (counted > 8 * usual), 1 + np.ceil(counted / per_piece), 0).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,18 +374,20 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
         n = np.diff(offsets)
         most, counts = most_edits(n, similarity), []
 
-        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            # words replaced in place are edits: with few of them a pair needs no more
-            out = replaced(codes, offsets, a, b) <= most[a]
-            rest = np.flatnonzero(~out)
+        def glance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            # words replaced in place are edits: few of them tell that a pair is near
+            out = (replaced(codes, offsets, a, b) <= most[a]).astype(np.int8)
+            rest = np.flatnonzero(out == 0)
             if len(rest):
-                # and those whose words differ too much need none
+                # and words that differ too much that it isn't
                 counts[:] = counts or [word_counts(codes, offsets)]
-                rest = rest[unshared(counts[0], a[rest], b[rest]) <= np.maximum(most[a[rest]], most[b[rest]])]
-            out[rest] = pair_edits(codes, offsets, a[rest], b[rest]) <= np.maximum(most[a[rest]], most[b[rest]])
+                out[rest] -= unshared(counts[0], a[rest], b[rest]) > np.maximum(most[a[rest]], most[b[rest]])
             return out
 
-        return n, parities(codes, offsets), near
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return pair_edits(codes, offsets, a, b) <= np.maximum(most[a], most[b])
+
+        return n, parities(codes, offsets), glance, near
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "part", 1):
@@ -405,7 +410,7 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
 
     pairs = (lines.agg(F.sum(F.length("codes")).alias("n")).first()["n"] or 0) // 2
     parts = max(width(lines.sparkSession), int(pairs * 3 * (1 - similarity) / per_part) + 1)
-    dealt = postings(lines, pairs, parts, similarity, bucket, per_part).repartition(parts, "part").sortWithinPartitions("part")
+    dealt = postings(lines, pairs, parts, similarity, per_part).repartition(parts, "part").sortWithinPartitions("part")
     picked = materialise(dealt.mapInArrow(pick, PICKED), "blocks")
     return linked(picked, lines, similarity, bucket, judge)
 

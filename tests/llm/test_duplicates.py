@@ -349,3 +349,42 @@ def test_repeats(docs, none, window, anchor):
     assert repeats.remove_repeats(none).count() == 0
     with pytest.raises(ValueError):
         repeats.remove_repeats(docs, 3, 4)
+
+
+def test_groups_of_candidates_make_no_square_of_pairs(spark, tmp_path):
+    """Crowds of lines around common ones: no link is lost, groups of up to TILE buckets give one row a member, and
+    those whose members pivots connect give none."""
+    import pyarrow as pa
+
+    from starloom.llm import groups
+
+    rng = random.Random(8)
+    texts = set()
+    for size in (400, 90):
+        w = prose(rng, 40).replace("\n", " ").split(" ")
+        for _ in range(size):
+            other = list(w)
+            for _ in range(rng.randint(0, 5)):
+                other[rng.randrange(len(other))] = f"word{rng.randrange(10**6)}"
+            texts.add(" ".join(other))
+    _, _, h, codes, at = lines.line_features(pa.array(["\n".join(sorted(texts))]), 5)
+    rows = {int(x): codes[a:b] for x, a, b in zip(h.view(np.int64), at, at[1:])}
+    spark.createDataFrame([(i, x, c.tobytes()) for i, (x, c) in enumerate(rows.items())], "id long, h long, codes binary").write.parquet(str(tmp_path / "n"))
+    ids, offsets = list(rows), np.cumsum([0, *map(len, rows.values())])
+    a, b = np.triu_indices(len(ids), 1)
+    near = lines.pair_edits(np.concatenate(list(rows.values())), offsets, a, b) <= groups.most_edits(np.maximum(np.diff(offsets)[a], np.diff(offsets)[b]), 0.8)
+    label = graph.local_labels(len(ids), a[near], b[near])
+    for per_part in (4_000_000, 40):  # also with common runs dealt over several parts
+        got = {r["node"]: r["component"] for r in graph.components(lines.similar_lines(spark.read.parquet(str(tmp_path / "n")), bucket=32, per_part=per_part)).collect()}
+        assert Counter(map(frozenset, group(zip(ids, (got.get(i, i) for i in ids))))) == Counter(map(frozenset, group(zip(ids, label.tolist()))))
+
+    large = spark.createDataFrame([(g, i, 40, 0) for g in (1, 2) for i in range(1000)], "block long, id long, words long, pivot long")
+    known = spark.createDataFrame([(i, 0) for i in range(500)], "id long, known long")
+    assert groups.unsettled(large, known, 32 * 32).count() == 2000
+    assert groups.unsettled(large.where("id < 500"), known, 32 * 32).count() == 0
+    crossed = groups.unsettled(large.where("block = 1"), known, 600).groupBy("group").count().collect()
+    assert max(r["count"] for r in crossed) <= 800  # tiles of a wider group
+
+    group_, member = np.zeros(3000, np.int64), np.arange(3000)
+    _, some, one, _ = groups.sets_of(group_, member, np.repeat([10, 11, 20], 1000), 0.8)
+    assert len(some) == 3000 and not len(one)
