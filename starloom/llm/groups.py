@@ -157,18 +157,18 @@ def judged(pairs: DataFrame, nodes: DataFrame, judge: Callable[[pa.Array], Judge
 
 def unsettled(large: DataFrame, known: DataFrame, widest: int) -> DataFrame:
     """Of groups with many members (block, id, words, pivot: a member), what is left to compare where known (id, known)
-    is connected: as (group, id, words, known), in groups of at most about `widest` members each, the groups of which not all is connected,
-    whole; of wider ones the members apart from the pivots' part, with all others."""
-    of_pivot = known.withColumnsRenamed({"id": "pivot", "known": "lead"})
-    sides = large.join(known, "id", "left").join(of_pivot, "pivot", "left")
-    sides = materialise(sides.select("block", "id", "words", F.coalesce("known", "id").alias("known"), F.coalesce("lead", "pivot").alias("lead")), "sides")
-    # most groups are settled by now: all members are with their pivots, and these with each other
-    apart = F.count_if(F.col("known") != F.col("lead"))
-    groups = sides.groupBy("block").agg(F.min("lead").alias("main"), F.max("lead").alias("other_lead"), apart.alias("aparts"), F.count(F.lit(1)).alias("members"))
-    groups = groups.where("aparts > 0 OR main <> other_lead").select("block", "main", "members", F.when(F.col("main") == F.col("other_lead"), F.col("aparts")).otherwise(F.col("members")).alias("aparts"))
-    left = sides.join(groups, "block").withColumn("apart", F.col("known") != F.col("main"))
-    whole = left.where(F.col("members") <= widest).withColumn("group", F.xxhash64("block"))
-    left = left.where(F.col("members") > widest)
+    is connected: as (group, id, words, known), in groups of at most about `widest` members each, the groups of which
+    not all is connected, whole; of wider ones the members apart from a pivot's part, with all others."""
+    sides = large.join(known, "id", "left").select("block", "id", "words", F.coalesce("known", "id").alias("known"), "pivot")
+    sides = materialise(sides, "sides")
+    # most groups are settled by now: all members are with each other
+    groups = sides.groupBy("block").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.count(F.lit(1)).alias("members"))
+    groups = groups.where("low <> high").select("block", "members")
+    whole = sides.join(groups.where(F.col("members") <= widest), "block").withColumn("group", F.xxhash64("block"))
+    wide = sides.join(groups.where(F.col("members") > widest), "block")
+    leads = wide.groupBy("block").agg(F.min("pivot").alias("id")).join(known, "id", "left").select("block", F.coalesce("known", "id").alias("main"))
+    left = wide.join(leads, "block").withColumn("apart", F.col("known") != F.col("main"))
+    left = left.join(left.groupBy("block").agg(F.count_if("apart").alias("aparts")), "block")
     tile = lambda size: F.ceil(F.col(size) / F.lit(widest // 2)).cast("int")
     mine, other = F.when(F.col("apart"), tile("aparts")).otherwise(tile("members")), F.when(F.col("apart"), tile("members")).otherwise(tile("aparts"))
     crossed = left.withColumn("tile", F.pmod(F.xxhash64("id"), mine)).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))

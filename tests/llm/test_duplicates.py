@@ -351,7 +351,7 @@ def test_repeats(docs, none, window, anchor):
         repeats.remove_repeats(docs, 3, 4)
 
 
-def test_groups_of_candidates_make_no_square_of_pairs(spark, tmp_path):
+def test_groups_of_candidates_make_no_square_of_pairs(spark, tmp_path, monkeypatch):
     """Crowds of lines around common ones: no link is lost, groups of up to TILE buckets give one row a member, and
     those whose members pivots connect give none."""
     import pyarrow as pa
@@ -374,7 +374,8 @@ def test_groups_of_candidates_make_no_square_of_pairs(spark, tmp_path):
     a, b = np.triu_indices(len(ids), 1)
     near = lines.pair_edits(np.concatenate(list(rows.values())), offsets, a, b) <= groups.most_edits(np.maximum(np.diff(offsets)[a], np.diff(offsets)[b]), 0.8)
     label = graph.local_labels(len(ids), a[near], b[near])
-    for per_part in (4_000_000, 40):  # also with common runs dealt over several parts
+    for per_part, tile in ((4_000_000, groups.TILE), (40, 4)):  # also with common runs dealt over parts, and in tiles
+        monkeypatch.setattr(groups, "TILE", tile)
         got = {r["node"]: r["component"] for r in graph.components(lines.similar_lines(spark.read.parquet(str(tmp_path / "n")), bucket=32, per_part=per_part)).collect()}
         assert Counter(map(frozenset, group(zip(ids, (got.get(i, i) for i in ids))))) == Counter(map(frozenset, group(zip(ids, label.tolist()))))
 
