@@ -61,6 +61,13 @@ def discard(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table._scratch_path)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is shuffled and merged. Sides that grow with the input must not be broadcast: a
+    written table's size is that of its compressed files, so one under the broadcast limit can take many times as much
+    in the driver."""
+    return df.hint("merge")
+
+
 def free_names(taken: Iterable[str], *names: str) -> list[str]:
     """The names, each with as many underscores as set it apart from those taken, whatever their case."""
     used, out = {x.lower() for x in taken}, []

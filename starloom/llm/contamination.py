@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, byte_table, materialise, mix, runs, window_hashes
+from .common import Words, byte_table, growing, materialise, mix, runs, window_hashes
 
 #: Template tokens of a window; the share of them that must be words; the share of an item's windows that must match.
 WINDOW, LITERALS, COVERAGE = 8, 0.5, 0.5
@@ -175,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lite
     chosen = votes.groupBy("doc", "item", "kind", "asked").agg(F.max(F.struct("n", "told")).alias("best")).select("doc", "item", F.struct("kind", "asked", F.col("best.told").alias("told")).alias("x"))
     meaning = chosen.groupBy("doc", "item").agg(F.collect_set("x").alias("meaning"))
     told = F.transform(F.arrays_zip("own", "slots"), lambda p: F.struct(p["own"]["kind"].alias("kind"), p["own"]["value"].alias("asked"), p["slots"]["value"].alias("told")))
-    judged = hits.join(meaning, ["doc", "item"], "left").withColumn("ok", F.col("exact") | (F.size(F.array_except(told, F.coalesce("meaning", F.array().cast("array<struct<kind:tinyint,asked:bigint,told:bigint>>")))) == 0))
+    judged = hits.join(growing(meaning), ["doc", "item"], "left").withColumn("ok", F.col("exact") | (F.size(F.array_except(told, F.coalesce("meaning", F.array().cast("array<struct<kind:tinyint,asked:bigint,told:bigint>>")))) == 0))
     per_window = judged.where("ok").groupBy("doc", "item", "at").agg(F.max("exact").alias("exact"), F.max("own_named").alias("named"))
     count = lambda c: F.count_if(F.expr(c))
     matched = per_window.groupBy("doc", "item").agg(F.count(F.lit(1)).alias("m0"), count("named").alias("m1"), count("exact").alias("e0"), count("exact AND named").alias("e1"))
@@ -187,7 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lite
     by_names = F.col("m1") * F.col("n0") > F.col("m0") * F.col("n1")
     best = lambda a, b: F.when(by_names, F.col(b)).otherwise(F.col(a))
     told_of = matched.join(counts, "item").select("doc", "item", best("n0", "n1").alias("item_windows"), best("m0", "m1").alias("matched_windows"), best("e0", "e1").alias("exact_windows"))
-    reported = told_of.withColumn("coverage", F.col("matched_windows") / F.col("item_windows")).join(long_run, ["doc", "item"], "left")
+    reported = told_of.withColumn("coverage", F.col("matched_windows") / F.col("item_windows")).join(growing(long_run), ["doc", "item"], "left")
     return reported.where((F.col("coverage") >= coverage) | F.col("long_run")).drop("long_run")
 
 

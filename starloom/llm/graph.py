@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, growing, materialise
 
 #: Edges that a task contracts at a time.
 CHUNK = 1_000_000
@@ -79,8 +79,8 @@ def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
         if _is_stars(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
         up = materialise(now.groupBy("a").agg(F.min("b").alias("m")), "least")
-        large = now.join(up.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        large = now.join(growing(up.withColumnRenamed("a", "b")), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        small = large.join(growing(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         stars, now = now, materialise(small.distinct(), "edges")
         discard(stars, up)

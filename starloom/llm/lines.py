@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, Words, byte_table, bytes_array, discard, free_names, materialise, mix, runs, width
+from .common import BASE, Words, byte_table, bytes_array, discard, free_names, growing, materialise, mix, runs, width
 from .graph import components
 from .groups import BUCKET, PICKED, Judge, code_arrays, linked, most_edits, picked_groups
 from .simhash import whole_groups
@@ -432,15 +432,15 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int
     lines = materialise(whole.drop("codes"), "places")
     discard(whole)
     groups = components(similar_lines(distinct.where("length(codes) > 0").select("id", "h", "codes"), similarity)).select(F.col("node").alias("h"), "component")
-    named = materialise(distinct.join(groups, "h", "left").select("h", "at", "uses", F.coalesce("component", "h").alias("component")), "named")
+    named = materialise(distinct.join(growing(groups), "h", "left").select("h", "at", "uses", F.coalesce("component", "h").alias("component")), "named")
     discard(distinct)
     kept = named.groupBy("component").agg(F.min("at").alias("keep"), F.sum("uses").alias("total")).where("total > 1")
-    by_line = named.join(kept, "component").select("h", "keep")
-    gone = lines.select("_row", "doc_id", "line", "h").join(by_line, "h").where(~F.struct("doc_id", "_row", "line").eqNullSafe(F.col("keep")))
+    by_line = named.join(growing(kept), "component").select("h", "keep")
+    gone = lines.select("_row", "doc_id", "line", "h").join(growing(by_line), "h").where(~F.struct("doc_id", "_row", "line").eqNullSafe(F.col("keep")))
     by_row = gone.groupBy(F.col("_row").alias(row)).agg(F.collect_set("line").alias(lost))
     split = F.split("text", "\n", -1)
     left = F.filter(split, lambda x, i: ~F.array_contains(lost, i))
-    out = numbered.join(by_row, row, "left").drop(row)
+    out = numbered.join(growing(by_row), row, "left").drop(row)
     removed = F.coalesce(F.size(lost), F.lit(0)).cast("long")
     return out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")).withColumn("n_removed", F.when(F.col(lost).isNull(), 0).otherwise(removed).cast("long")).withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).drop(lost)
 

@@ -7,6 +7,7 @@ scoring is a map over all rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -139,8 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, metadata: list[str] | None = None,
     """Fit on docs (doc_id, text, numeric metadata columns) and labels (doc_id, quality 0 or 1).
 
     At most sample_rows labelled ids are taken, by the least hash of the id; their features (not their texts) are
-    gathered. Null ids and null labels are left out; an id with several labels has their mean, rounded; a text that
-    repeats under an id counts each time, but no more than sample_rows rows in all are taken.
+    gathered in one task, and the driver gets the machine only. Null ids and null labels are left out; an id with
+    several labels has their mean, rounded; a text that repeats under an id counts each time, but no more than
+    sample_rows rows in all are taken.
     """
     meta = metadata or []
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.avg("quality")).alias("_label")).orderBy(F.xxhash64("_id", F.lit(9)), "_id").limit(sample_rows)
@@ -155,10 +157,17 @@ def train(docs: DataFrame, labels: DataFrame, metadata: list[str] | None = None,
                 out.append((bucket.astype(np.uint16).tobytes(), value.astype(np.float32).tobytes(), wide.tobytes(), label))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, (pa.binary(), pa.binary(), pa.binary(), pa.float64()))], ["bucket", "value", "dense", "label"])
 
-    rows = picked.mapInArrow(run, "bucket binary, value binary, dense binary, label double").limit(sample_rows).toArrow()
-    gathered = sorted(zip(*(rows.column(i).to_pylist() for i in (2, 0, 1, 3))))  # the order that rows arrive in doesn't matter
-    del rows
-    return fit([(np.frombuffer(b, np.uint16), np.frombuffer(v, np.float32), np.frombuffer(d), y) for d, b, v, y in gathered])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [*batches]
+        if held:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            gathered = sorted(zip(*(rows.column(i).to_pylist() for i in (2, 0, 1, 3))))  # the order that rows arrive in doesn't matter
+            machine = fit([(np.frombuffer(b, np.uint16), np.frombuffer(v, np.float32), np.frombuffer(d), y) for d, b, v, y in gathered])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], ["machine"])
+
+    sample = picked.mapInArrow(run, "bucket binary, value binary, dense binary, label double").limit(sample_rows)
+    learnt = sample.mapInArrow(learn, "machine binary").first()
+    return pickle.loads(learnt["machine"]) if learnt else fit([])
 
 
 def score_quality(docs: DataFrame, machine: FactorisationMachine, metadata: list[str] | None = None) -> DataFrame:

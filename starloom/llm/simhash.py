@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bit_counts, materialise
+from .common import bit_counts, growing, materialise
 from .graph import components, local_labels
 
 BITS = 64
@@ -266,10 +266,10 @@ def simhash_components(docs: DataFrame, radius: int = 2, words: int = 3) -> Data
     each = materialise(fingerprints(docs, words), "fingerprints")
     nodes = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     groups = components(fingerprint_links(nodes, radius)).select(F.col("node").alias("fp"), "component")
-    named = materialise(nodes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
+    named = materialise(nodes.join(growing(groups), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return each.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = named.select("fp", "component").join(growing(least), "component").select("fp", "component_id")
+    return each.join(growing(by_fp), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -389,3 +389,28 @@ def test_groups_of_candidates_make_no_square_of_pairs(spark, tmp_path, monkeypat
     group_, member = np.zeros(3000, np.int64), np.arange(3000)
     _, some, one, _ = groups.sets_of(group_, member, np.repeat([10, 11, 20], 1000), 0.8)
     assert len(some) == 3000 and not len(one)
+
+
+def test_growing_tables_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Small files don't send a table to the driver: sides of joins that grow with the input are shuffled, whatever the
+    limit of broadcasts."""
+    from starloom.llm import groups
+    from starloom.llm.common import materialise
+
+    plans = []
+
+    def noted(df, label, codec="zstd"):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return materialise(df, label, codec)
+
+    for module in (copies, graph, groups, lines, simhash):
+        monkeypatch.setattr(module, "materialise", noted)
+    rng = random.Random(4)
+    texts = [prose(rng, 40) for _ in range(60)]
+    texts += [x + " end" for x in texts[:30]] + texts[30:]
+    make(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    noted(copies.near_copies(docs.select(F.col("doc_id").alias("id"), "text")), "copies")
+    noted(lines.dedup_lines(docs), "deduped")
+    assert {"known", "sets", "copies", "deduped"} <= {label for label, _ in plans}
+    assert not [label for label, plan in plans if "BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" in plan]

@@ -1,5 +1,7 @@
 """The quality classifier and decontamination."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -40,6 +42,21 @@ def test_little_to_learn_from(spark, docs, none):
     assert (again.weight == machine.weight).all()
 
 
+def test_the_driver_holds_no_sample(spark, docs, tmp_path, monkeypatch):
+    """The machine is fitted in a task: labelled rows' features don't come to the driver."""
+    fit, path = quality.fit, str(tmp_path / "pid")
+
+    def noted(rows):
+        with open(path, "w") as out:
+            out.write(str(os.getpid()))
+        return fit(rows)
+
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "fit", noted)
+    assert quality.train(docs, labels).weight.any()
+    assert (tmp_path / "pid").read_text() != str(os.getpid())
+
+
 ITEM = "Maria buys 12 boxes of apples in Lisbon for 30 dollars each, and then sells 7 of them to Peter. How much money did Maria spend on the boxes that she keeps?"
 CHANGED = ITEM.replace("Maria", "Anna").replace("12", "48").replace("30", "25").replace("7 of", "9 of").replace("Peter", "Tom").replace("Lisbon", "Berlin")
 CLEAN = "The river ran past the old stone bridge, and the lanterns of the market were lit long before the winter evening came down over the harbor."
