@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import BASE, Words, byte_table, bytes_array, discard, free_names, growing, materialise, mix, runs, width
 from .graph import components
-from .groups import BUCKET, PICKED, Judge, code_arrays, linked, most_edits, picked_groups
-from .simhash import whole_groups
+from .groups import BUCKET, PICKED, Judge, code_arrays, linked, most_edits
+from .postings import COLUMNS, PART_POSTINGS, key_counts, packed_rows, picker, piece_numbers
 
 SIMILARITY, MIN_WORDS = 0.8, 5
 #: Bytes that end words: ASCII but for letters and digits.
@@ -33,8 +33,6 @@ UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar
 #: Values, at most, of the table that tells which runs of words are common. It sets their order, and how common
 #: ones are dealt, only.
 RANKS = 1 << 24
-#: Runs of words that a part of the key space has, about.
-PART_POSTINGS = 4_000_000
 
 
 def spaced(texts: pa.Array) -> pa.Array:
@@ -139,39 +137,13 @@ def word_runs(codes: np.ndarray, offsets: np.ndarray, run: int) -> tuple[np.ndar
 
 
 def run_counts(lines: DataFrame, pairs: int) -> np.ndarray:
-    """For each value of the low bits of a run of words, 8 log2 of how often it occurs in all lines, plus 1; 0 if never.
+    """How common runs of words are by their low bits (see key_counts), for at most RANKS values."""
 
-    One byte each, for at most RANKS values: a table of bounded size, whatever the lines."""
-    size = 1 << min(max((pairs // 2).bit_length(), 20), RANKS.bit_length() - 1)
-    slice_ = 1 << 16
+    def hashes(codes: pa.Array) -> Iterator[np.ndarray]:
+        for at in range(0, len(codes), 4096):
+            yield word_runs(*code_arrays(codes.slice(at, 4096)), 3)[1]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint32)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                np.add.at(total, (word_runs(*code_arrays(batch.column(0).slice(at, 4096)), 3)[1] & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
-        for i, some in enumerate(total.reshape(-1, slice_)):
-            if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed(some)], pa.binary())], ["slice", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, np.zeros(slice_, np.int64)
-        ranks = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.where(total > 0, np.minimum(255, 1 + 8 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8).tobytes()], pa.binary())], ["slice", "ranks"])
-        for batch in batches:
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if i != now:
-                    if now is not None:
-                        yield ranks()
-                    now, total = i, np.zeros(slice_, np.int64)
-                total += np.frombuffer(pa.decompress(x.as_buffer(), decompressed_size=4 * slice_, codec="zstd"), np.uint32)
-        if now is not None:
-            yield ranks()
-
-    counted = lines.select("codes").mapInArrow(count, "slice int, counts binary")
-    out = np.zeros(size, np.uint8)
-    for r in counted.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, ranks binary").collect():
-        out[r["slice"] * slice_ : (r["slice"] + 1) * slice_] = np.frombuffer(r["ranks"], np.uint8)
-    return out
+    return key_counts(lines.select("codes"), hashes, 1 << min(max((pairs // 2).bit_length(), 20), RANKS.bit_length() - 1))
 
 
 def rare_runs(codes: np.ndarray, offsets: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
@@ -235,45 +207,19 @@ def unshared(counts: np.ndarray, a: np.ndarray, b: np.ndarray, together: int = 4
     return out
 
 
-def packed(values: np.ndarray) -> bytes:
-    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
-
-
-def unpacked(column: pa.ChunkedArray, n: list[int], kind: type) -> list[np.ndarray]:
-    size = np.dtype(kind).itemsize
-    return [np.frombuffer(pa.decompress(x.as_buffer(), decompressed_size=size * k, codec="zstd"), kind) for x, k in zip(column, n)]
-
-
 def postings(lines: DataFrame, pairs: int, parts: int, similarity: float, per_piece: int) -> DataFrame:
-    """lines (id, codes) to their rare runs of words: a row for each part of the key space and up to 4096 lines, with the
-    keys' 32 other bits, the lines' ids (as steps) and lengths.
-
-    A run that is a good share of a part is dealt over several parts by line: `parts` times the number of its piece is
-    added to the part.
-    """
+    """lines (id, codes) to the packed rows of their rare runs of words."""
     common = run_counts(lines, pairs)
-    usual = pairs / len(common)  # what any value of the low bits has
-    counted = 2 ** ((np.arange(256) - 1) / 8)
-    pieces = np.where((counted > per_piece / 4) & (counted > 8 * usual), 1 + np.ceil(counted / per_piece), 0).astype(np.int64)
+    pieces = piece_numbers(pairs / len(common), per_piece)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 some = batch.slice(at, 4096)
                 codes, offsets = code_arrays(some.column(1))
-                ids, n = np.asarray(some.column(0)), np.diff(offsets)
-                row, key, rank = rare_runs(codes, offsets, common, similarity)
-                part = (key & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
-                hot = np.flatnonzero(pieces[rank])
-                part[hot] += np.uint64(parts) * (1 + mix(ids[row[hot]].view(np.uint64)) % pieces[rank[hot]].astype(np.uint64))
-                by = np.argsort(part, kind="stable")
-                part, row, block = part[by].astype(np.int32), row[by], (key[by] >> np.uint64(32)).astype(np.uint32)
-                cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
-                each = [(block[a:b], np.diff(ids[row[a:b]], prepend=0), n[row[a:b]].astype(np.int32)) for a, b in zip(cuts, cuts[1:])]
-                columns = [pa.array(part[cuts[:-1]]), pa.array(np.diff(cuts)), *(pa.array([x[0].tobytes() if c == 0 else packed(x[c]) for x in each], pa.binary()) for c in range(3))]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "n", "blocks", "ids", "words"])
+                yield packed_rows(np.asarray(some.column(0)), np.diff(offsets), *rare_runs(codes, offsets, common, similarity), parts, pieces)
 
-    return lines.select("id", "codes").mapInArrow(run, "part int, n long, blocks binary, ids binary, words binary")
+    return lines.select("id", "codes").mapInArrow(run, COLUMNS)
 
 
 def replaced(codes: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -389,29 +335,10 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, bucket: int
 
         return n, parities(codes, offsets), glance, near
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "part", 1):
-            part, count = np.asarray(table["part"]), table["n"].to_pylist()
-            for one in np.unique(part).tolist():
-                here = pa.array(np.flatnonzero(part == one))
-                some, k = table.take(here), [count[i] for i in here.to_pylist()]
-                block = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in some["blocks"]])
-                by = np.argsort(block, kind="stable")
-                block = block[by]
-                start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-                size = np.repeat(np.diff(np.r_[start, len(block)]), np.diff(np.r_[start, len(block)]))
-                if one >= parts:
-                    size[:] = bucket + 1
-                shared = np.flatnonzero(size > 1)
-                by, block, size = by[shared], block[shared].astype(np.int64), size[shared]
-                ids = np.concatenate([np.cumsum(x) for x in unpacked(some["ids"], k, np.int64)])[by]
-                n = np.concatenate(unpacked(some["words"], k, np.int32))[by].astype(np.int64)
-                yield from picked_groups((one % parts << 32) + block, ids, n, size, similarity, bucket)
-
     pairs = (lines.agg(F.sum(F.length("codes")).alias("n")).first()["n"] or 0) // 2
     parts = max(width(lines.sparkSession), int(pairs * 3 * (1 - similarity) / per_part) + 1)
     dealt = postings(lines, pairs, parts, similarity, per_part).repartition(parts, "part").sortWithinPartitions("part")
-    picked = materialise(dealt.mapInArrow(pick, PICKED), "blocks")
+    picked = materialise(dealt.mapInArrow(picker(parts, similarity, bucket), PICKED), "blocks")
     return linked(picked, lines, similarity, bucket, judge)
 
 

@@ -237,6 +237,30 @@ def edits(a, b):
 LINES = ["the quick brown fox jumps over the lazy dog near the old stone bridge today", "The quick brown fox jumps over the lazy dog near the old stone bridge today!", "the quick brown fox jumps over the lazy cat near the old stone bridge today", "an entirely different line about copper lanterns and winter markets by the sea", "short line", "", "Page 1 of 20 of the yearly report of the harbor office", "Page 7 of 35 of the yearly report of the harbor office"]
 
 
+@pytest.mark.parametrize("bucket,per_part", [(512, 4_000_000), (8, 40)])
+def test_near_copies_are_all_pairs_of_the_similarity(spark, tmp_path, bucket, per_part):
+    """No similar pair is left out, neither among short texts and those with as many edits as the similarity bears nor
+    among texts full of passages that many others have. Also with common shingles dealt over parts."""
+    rng = random.Random(17)
+    passages = [prose(rng, 30).split() for _ in range(12)]
+    texts = []
+    for i in range(150):
+        w = prose(rng, rng.choice([4, 20, 46, 50, 95, 140])).split()
+        for _ in range(rng.choice([0, 0, 1, 6]) if i % 2 else 0):
+            w += rng.choice(passages)
+        other = list(w)
+        for k in range(len(w) // 45):
+            other[min(len(w) - 1, 45 * k + rng.randrange(4, 40))] = f"altered{i}"
+        texts += [" ".join(w), " ".join(other)]
+    make(spark, list(enumerate(texts))).select(F.col("doc_id").alias("id"), "text").write.parquet(str(tmp_path / "c"))
+    got = {r["id"]: r["component"] for r in copies.near_copies(spark.read.parquet(str(tmp_path / "c")), bucket=bucket, per_part=per_part).collect()}
+    sets = [shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    label = graph.local_labels(len(sets), *(np.array(x, np.int64) for x in zip(*near)))
+    assert len(near) > 100
+    assert got == {i: int(label[i]) for i in {x for pair in near for x in pair}}
+
+
 def test_near_copies_take_the_pigeonhole_search(spark, monkeypatch):
     """Without segments, what is within two bits is found by the search alone and still decided by shingles."""
     from starloom.llm import copies
