@@ -63,6 +63,12 @@ def neighbours(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield place, place + shift
 
 
+def like(ids: np.ndarray, n: np.ndarray, signs: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows a[i] and b[i] may be near, by their lengths and signs: an edit changes two parities at most."""
+    most = most_edits(np.maximum(n[a], n[b]), similarity)
+    return (ids[a] != ids[b]) & (np.abs(n[a] - n[b]) <= most) & (np.bitwise_count(signs[a] ^ signs[b]) <= 2 * most)
+
+
 def by_length(group: np.ndarray, ids: np.ndarray, n: np.ndarray, known: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """The sets (hash of the members, member) that pairs of a like length connect within groups: in the order of
     lengths these are runs, which end where the next length is out of reach. Sets of which all is known to be connected
@@ -79,18 +85,29 @@ def by_length(group: np.ndarray, ids: np.ndarray, n: np.ndarray, known: np.ndarr
     return whole[some], ids[some]
 
 
-def sets_of(group: np.ndarray, ids: np.ndarray, n: np.ndarray, similarity: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sets_of(group: np.ndarray, ids: np.ndarray, n: np.ndarray, similarity: float, known: np.ndarray | None = None, signs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The sets of lines (hash of the members, member) that pairs of a like length of a group connect, each set once.
     Groups of FEW members give their pairs (one, other) instead, as these repeat from group to group. Pairs known to be
-    connected don't count."""
+    connected don't count, nor do those whose signs (see picked_groups) rule them out, if given."""
     known = ids if known is None else known
+    signs = np.zeros(len(ids), np.uint64) if signs is None else signs
     size = np.diff(np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])) if len(group) else np.empty(0, np.int64)
     few = np.repeat(size, size) <= FEW
+    signed = ~few & (np.repeat(np.maximum.reduceat(signs, np.cumsum(size) - size), size) != 0) if len(group) else few
+    if signed.any():
+        # what is like no other member can be left out
+        many, alike = np.flatnonzero(signed), ~few & ~signed
+        for a, b in neighbours(group[many]):
+            a, b = many[a], many[b]
+            near = like(ids, n, signs, a, b, similarity) & (known[a] != known[b])
+            alike[a[near]] = alike[b[near]] = True
+        kept = np.flatnonzero(few | alike)
+        group, ids, n, known, signs, few = group[kept], ids[kept], n[kept], known[kept], signs[kept], few[kept]
     total, some = by_length(group[~few], ids[~few], n[~few], known[~few], similarity)
-    group, ids, n, known = group[few], ids[few], n[few], known[few]
+    group, ids, n, known, signs = group[few], ids[few], n[few], known[few], signs[few]
     low, high = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for a, b in neighbours(group):
-        near = np.flatnonzero((np.abs(n[a] - n[b]) <= most_edits(np.maximum(n[a], n[b]), similarity)) & (known[a] != known[b]))
+        near = np.flatnonzero(like(ids, n, signs, a, b, similarity) & (known[a] != known[b]))
         low.append(np.minimum(ids[a[near]], ids[b[near]]))
         high.append(np.maximum(ids[a[near]], ids[b[near]]))
     one, other = np.concatenate(low), np.concatenate(high)
@@ -103,8 +120,8 @@ def sets_of(group: np.ndarray, ids: np.ndarray, n: np.ndarray, similarity: float
     return total[new], some[new], one[first], other[first]
 
 
-def pivot_pairs(group: np.ndarray, ids: np.ndarray, n: np.ndarray, similarity: float, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's first pivot; and the pairs (id, pivot) of a like length of members and their group's pivots.
+def pivot_pairs(group: np.ndarray, ids: np.ndarray, n: np.ndarray, signs: np.ndarray, similarity: float, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's first pivot; and the pairs (id, pivot), alike by length and signs, of members and their group's pivots.
     These are the least by a hash, so that groups that share members share pivots."""
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size = np.diff(np.r_[first, len(group)])
@@ -112,27 +129,28 @@ def pivot_pairs(group: np.ndarray, ids: np.ndarray, n: np.ndarray, similarity: f
     pairs = [np.empty((2, 0), np.int64)]
     for k in range(pivots):
         lead = np.repeat(by[first + np.minimum(k, size - 1)], size)
-        near = np.flatnonzero((np.abs(n - n[lead]) <= most_edits(np.maximum(n, n[lead]), similarity)) & (ids != ids[lead]))
+        near = np.flatnonzero(like(ids, n, signs, np.arange(len(ids)), lead, similarity))
         pairs.append(np.stack([ids[near], ids[lead[near]]]))
     return ids[np.repeat(by[first], size)], *np.unique(np.concatenate(pairs, axis=1), axis=1)
 
 
-def picked_groups(block: np.ndarray, ids: np.ndarray, n: np.ndarray, size: np.ndarray, similarity: float, bucket: int) -> Iterator[pa.RecordBatch]:
-    """Rows of groups that stand together (PICKED): of groups of at most bucket members the sets, without words and
+def picked_groups(block: np.ndarray, ids: np.ndarray, n: np.ndarray, size: np.ndarray, similarity: float, bucket: int, signs: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of groups that stand together (PICKED; signs, if given: 64 parities of each row's words): of groups of at most bucket members the sets, without words and
     pivot, or the pairs (id, pivot), without block and of 0 words; members of larger ones, by their size, with a pivot
     that is here; and members' pairs with pivots in all groups of more than FEW, without block and words."""
     rows = lambda *columns: pa.RecordBatch.from_arrays([pa.nulls(len(columns[1]), pa.int64()) if c is None else pa.array(c) for c in columns], ["block", "id", "words", "pivot"])
     small = size <= bucket
-    whole, member, one, other = sets_of(block[small], ids[small], n[small], similarity)
+    whole, member, one, other = sets_of(block[small], ids[small], n[small], similarity, signs=None if signs is None else signs[small])
+    signs = np.zeros(len(ids), np.uint64) if signs is None else signs
     yield rows(whole, member, None, None)
     yield rows(None, other, np.zeros(len(one), np.int64), one)
     some = small & (size > FEW)
     if some.any():
-        _, one, other = pivot_pairs(block[some], ids[some], n[some], similarity, 1)
+        _, one, other = pivot_pairs(block[some], ids[some], n[some], signs[some], similarity, 1)
         yield rows(None, one, None, other)
-    block, ids, n = block[~small], ids[~small], n[~small]
+    block, ids, n, signs = block[~small], ids[~small], n[~small], signs[~small]
     if len(block):
-        pivot, one, other = pivot_pairs(block, ids, n, similarity, PIVOTS)
+        pivot, one, other = pivot_pairs(block, ids, n, signs, similarity, PIVOTS)
         yield rows(block, ids, n, pivot)
         yield rows(None, one, None, other)
 

@@ -184,6 +184,12 @@ def parities(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
+def signs_of(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64 parities of each row's codes, one at least, as an integer: an edit changes two of them at most."""
+    bit = np.uint64(1) << (mix(codes.astype(np.uint64) + np.uint64(9)) % np.uint64(64))
+    return np.bitwise_xor.reduceat(bit, offsets[:-1]) if len(codes) else np.empty(0, np.uint64)
+
+
 def word_counts(codes: np.ndarray, offsets: np.ndarray, buckets: int = 256) -> np.ndarray:
     """How many of each row's codes are in each of some buckets, up to 255: a row each."""
     place = (mix(codes.astype(np.uint64) + np.uint64(9)) % np.uint64(buckets)).astype(np.int64)
@@ -217,7 +223,7 @@ def postings(lines: DataFrame, pairs: int, parts: int, similarity: float, per_pi
             for at in range(0, batch.num_rows, 4096):
                 some = batch.slice(at, 4096)
                 codes, offsets = code_arrays(some.column(1))
-                yield packed_rows(np.asarray(some.column(0)), np.diff(offsets), *rare_runs(codes, offsets, common, similarity), parts, pieces)
+                yield packed_rows(np.asarray(some.column(0)), np.diff(offsets), *rare_runs(codes, offsets, common, similarity), parts, pieces, signs_of(codes, offsets))
 
     return lines.select("id", "codes").mapInArrow(run, COLUMNS)
 

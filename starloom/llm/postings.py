@@ -18,7 +18,7 @@ from .simhash import whole_groups
 
 #: Keys that a part of the key space has, about.
 PART_POSTINGS = 4_000_000
-COLUMNS = "part int, n long, blocks binary, ids binary, words binary"
+COLUMNS = "part int, n long, blocks binary, ids binary, words binary, signs binary"
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -66,8 +66,9 @@ def key_counts(source: DataFrame, keys: Callable[[pa.Array], Iterator[np.ndarray
     return out
 
 
-#: How often what is this common occurs, about.
+#: How often what is this common occurs, about; from where on parities go with a key, as many may meet there.
 COUNTED = 2 ** ((np.arange(256) - 1) / 8)
+SIGNED = 64
 
 
 def piece_numbers(usual: float, per_piece: int) -> np.ndarray:
@@ -76,21 +77,24 @@ def piece_numbers(usual: float, per_piece: int) -> np.ndarray:
     return np.where((COUNTED > per_piece / 4) & (COUNTED > 8 * usual), 1 + np.ceil(COUNTED / per_piece), 0).astype(np.int64)
 
 
-def packed_rows(ids: np.ndarray, n: np.ndarray, row: np.ndarray, key: np.ndarray, rank: np.ndarray, parts: int, pieces: np.ndarray) -> pa.RecordBatch:
-    """The keys of up to 4096 rows, of these ids and lengths, as COLUMNS: a row for each part of the key space, with
-    the keys' 32 other bits, the ids (as steps) and lengths.
+def packed_rows(ids: np.ndarray, n: np.ndarray, row: np.ndarray, key: np.ndarray, rank: np.ndarray, parts: int, pieces: np.ndarray, signs: np.ndarray | None = None) -> pa.RecordBatch:
+    """The keys of some thousand rows, of these ids and lengths, as COLUMNS: a row for each part of the key space, with
+    the keys' 32 other bits, the ids (as steps), lengths and, if given, 64 parities (see picked_groups). Only common keys
+    take these along, in a row of their own.
 
     A key that is a good share of a part is dealt over several parts by id: `parts` times the number of its piece is
     added to the part."""
     part = (key & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
     hot = np.flatnonzero(pieces[rank])
     part[hot] += np.uint64(parts) * (1 + mix(ids[row[hot]].view(np.uint64)) % pieces[rank[hot]].astype(np.uint64))
-    by = np.argsort(part, kind="stable")
-    part, row, block = part[by].astype(np.int32), row[by], (key[by] >> np.uint64(32)).astype(np.uint32)
-    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+    signed = np.zeros(len(part), bool) if signs is None else COUNTED[rank] >= SIGNED
+    by = np.argsort(part * np.uint64(2) + signed, kind="stable")
+    part, signed, row, block = part[by].astype(np.int32), signed[by], row[by], (key[by] >> np.uint64(32)).astype(np.uint32)
+    cuts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (signed[1:] != signed[:-1]), True]) if len(part) else np.zeros(1, np.int64)
     each = [(block[a:b], np.diff(ids[row[a:b]], prepend=0), n[row[a:b]].astype(np.int32)) for a, b in zip(cuts, cuts[1:])]
     columns = [pa.array(part[cuts[:-1]]), pa.array(np.diff(cuts)), *(pa.array([x[0].tobytes() if c == 0 else packed(x[c]) for x in each], pa.binary()) for c in range(3))]
-    return pa.RecordBatch.from_arrays(columns, ["part", "n", "blocks", "ids", "words"])
+    columns.append(pa.array([signs[row[a:b]].tobytes() if signed[a] else b"" for a, b in zip(cuts, cuts[1:])], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, ["part", "n", "blocks", "ids", "words", "signs"])
 
 
 def picker(parts: int, similarity: float, bucket: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -113,6 +117,7 @@ def picker(parts: int, similarity: float, bucket: int) -> Callable[[Iterator[pa.
                 by, block, size = by[shared], block[shared].astype(np.int64), size[shared]
                 ids = np.concatenate([np.cumsum(x) for x in unpacked(some["ids"], k, np.int64)])[by]
                 n = np.concatenate(unpacked(some["words"], k, np.int32))[by].astype(np.int64)
-                yield from picked_groups((one % parts << 32) + block, ids, n, size, similarity, bucket)
+                signs = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) if len(x.as_py()) else np.zeros(m, np.uint64) for x, m in zip(some["signs"], k)])[by]
+                yield from picked_groups((one % parts << 32) + block, ids, n, size, similarity, bucket, signs)
 
     return pick

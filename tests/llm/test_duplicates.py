@@ -415,6 +415,31 @@ def test_groups_of_candidates_make_no_square_of_pairs(spark, tmp_path, monkeypat
     assert len(some) == 3000 and not len(one)
 
 
+def test_signs_rule_out_unlike_pairs_only():
+    """Crowds on one common run of words: members that parities tell from all others make no rows, any that may be
+    near another do, also one whose parities are all zero."""
+    from starloom.llm import groups
+
+    rng = random.Random(3)
+    ids, n = np.arange(200), np.full(200, 10)
+    signs = np.array([0, 3, *(rng.getrandbits(64) for _ in range(198))], np.uint64)
+    far = lambda i: all((int(signs[i]) ^ int(x)).bit_count() > 4 for j, x in enumerate(signs) if j != i)
+    assert all(map(far, range(2, 200)))
+    some = slice(0, 100)
+    _, member, one, _ = groups.sets_of(np.zeros(100, np.int64), ids[some], n[some], 0.8, signs=signs[some])
+    assert member.tolist() == [0, 1] and not len(one)
+    assert len(groups.sets_of(np.zeros(100, np.int64), ids[some], n[some], 0.8)[1]) == 100
+    rows = pa_rows(groups.picked_groups(np.zeros(200, np.int64), ids, n, np.full(200, 200), 0.8, 128, signs))
+    assert len([r for r in rows if r["block"] is not None]) == 200
+    assert len([r for r in rows if r["block"] is None]) <= 2  # pairs with pivots; 788 without signs
+    rows = pa_rows(groups.picked_groups(np.zeros(200, np.int64), ids, n, np.full(200, 200), 0.8, 128))
+    assert len([r for r in rows if r["block"] is None]) > 700
+
+
+def pa_rows(batches):
+    return [r for b in batches for r in b.to_pylist()]
+
+
 def test_growing_tables_are_not_broadcast(spark, tmp_path, monkeypatch):
     """Small files don't send a table to the driver: sides of joins that grow with the input are shuffled, whatever the
     limit of broadcasts."""
