@@ -68,7 +68,7 @@ def key_counts(source: DataFrame, keys: Callable[[pa.Array], Iterator[np.ndarray
 
 #: How often what is this common occurs, about; from where on parities go with a key, as many may meet there.
 COUNTED = 2 ** ((np.arange(256) - 1) / 8)
-SIGNED = 64
+SIGNED = 8
 
 
 def piece_numbers(usual: float, per_piece: int) -> np.ndarray:
